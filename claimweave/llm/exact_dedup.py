@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shared = save(shared.withColumn("next_gid", F.monotonically_increasing_id()), "radix-groups")
         ended = F.length("digit") < width
         split = save(
-            keyed.join(shared, ["gid", "digit"], "left").select(
+            keyed.join(shared.hint("merge"), ["gid", "digit"], "left").select(
                 "doc_id", "n_chars", "text_sha256", "next_gid", "group_size", "best",
                 F.when(F.col("next_gid").isNotNull() & ~ended, F.col("rest")).alias("rest"),
             ),
