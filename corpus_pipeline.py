@@ -1,18 +1,52 @@
-"""Corpus cleaning and packing as five stages; each is written as Parquet and reread as the next one's documents."""
+"""Corpus cleaning and packing as five stages; each is written as Parquet and reread as the next one's documents.
+
+Every stage but the last returns the columns of documents; the last returns the places of the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.llm.common import save
+from claimweave.llm.decontaminate import drop_contaminated
 from claimweave.llm.exact_dedup import drop_exact_copies
+from claimweave.llm.jaccard_join import drop_near_copies
+from claimweave.llm.packing import pack
+from claimweave.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one stays."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one with the smallest doc_id stays."""
+    return drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of what is left."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: SQL expresses neither the label model nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
