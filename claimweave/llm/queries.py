@@ -5,14 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, packing, toxicity
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, packing, substring_dedup, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text")
+    )
+    back = chat_format.read_chats(chat_format.format_chats(rows.unionByName(fixed)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -34,9 +66,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_fit_packing, op6_toxicity, op8_exact_dedup, op9_decontamination, op10_jaccard_join)
+    f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_token_count, op4_best_fit_packing, op6_toxicity, op8_exact_dedup, op9_decontamination, op10_jaccard_join)
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
