@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, packing, substring_dedup, token_count, toxicity
+from . import brown_lm, chat_format, decontaminate, exact_dedup, jaccard_join, packing, substring_dedup, token_count, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +49,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_shards(token_store.write_shards(table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -66,7 +74,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_token_count, op4_best_fit_packing, op6_toxicity, op8_exact_dedup, op9_decontamination, op10_jaccard_join)
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_substring_dedup,
+        op3_token_count,
+        op4_best_fit_packing,
+        op5_brown_lm,
+        op6_toxicity,
+        op7_token_store,
+        op8_exact_dedup,
+        op9_decontamination,
+        op10_jaccard_join,
+    )
 }
 
 ORACLES: dict[str, str] = {
