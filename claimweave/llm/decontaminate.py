@@ -37,9 +37,11 @@ MAX_WINDOWS = 2_000_000
 class _Vocabulary(dict):
     """Token -> index into hashes and kinds, remembered up to a bound."""
 
+    MOST = 400_000
+
     def __init__(self) -> None:
         super().__init__()
-        self.hashes, self.kinds = [], []
+        self.hashes, self.kinds = np.empty(1024, np.uint64), np.empty(1024, np.int8)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -51,24 +53,21 @@ class _Vocabulary(dict):
             kind = UNIT
         else:
             kind = CAPITAL if token[0].isupper() and token[1:].islower() else LITERAL
-        self.hashes.append(xxhash.xxh3_64_intdigest(low))
-        self.kinds.append(kind)
-        k = self[token] = len(self.hashes) - 1
+        k = len(self)
+        if k == len(self.hashes):
+            self.hashes, self.kinds = np.resize(self.hashes, 2 * k), np.resize(self.kinds, 2 * k)
+        self.hashes[k], self.kinds[k] = xxhash.xxh3_64_intdigest(low), kind
+        self[token] = k
         return k
 
 
 def template(text: str, vocabulary: _Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Tokens, their hashes with placeholders for slots, and the slot of each (0: none)."""
-    if len(vocabulary) > 400_000:
+    if len(vocabulary) > vocabulary.MOST:
         vocabulary.clear()
-        vocabulary.hashes.clear()
-        vocabulary.kinds.clear()
     found = TOKEN.findall(text)
     index = np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found))
-    if vocabulary.__dict__.get("at") != len(vocabulary.hashes):
-        vocabulary.table = np.array(vocabulary.hashes, np.uint64), np.array(vocabulary.kinds, np.int8)
-        vocabulary.at = len(vocabulary.hashes)
-    hashes, kinds = (x[index] for x in vocabulary.table) if len(index) else (np.empty(0, np.uint64), np.empty(0, np.int8))
+    hashes, kinds = vocabulary.hashes[index], vocabulary.kinds[index]
     opens = np.ones(len(kinds), bool)  # at the beginning of a sentence a capital doesn't make a name
     opens[1:] = kinds[:-1] == END
     slots = np.zeros(len(kinds), np.int8)
