@@ -61,8 +61,8 @@ class _Vocabulary(dict):
         return k
 
 
-def template(text: str, vocabulary: _Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens, their hashes with placeholders for slots, and the slot of each (0: none)."""
+def template(text: str, vocabulary: _Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, places of those that make the template, their hashes with placeholders, and the slot of each (0: none)."""
     if len(vocabulary) > vocabulary.MOST:
         vocabulary.clear()
     found = TOKEN.findall(text)
@@ -77,10 +77,9 @@ def template(text: str, vocabulary: _Vocabulary) -> tuple[list[str], np.ndarray,
     beside[1:] = kinds[:-1] == NUMBER
     beside[:-1] |= kinds[1:] == NUMBER
     slots[(kinds == UNIT) & beside] = UNI
-    keep = kinds != END
-    slots, hashes = slots[keep], hashes[keep]
-    hashes = np.where(slots > 0, _SLOT_HASH[slots], hashes)
-    return found if keep.all() else [found[k] for k in np.flatnonzero(keep)], hashes, slots
+    places = np.flatnonzero(kinds != END)
+    slots, hashes = slots[places], hashes[places]
+    return found, places, np.where(slots > 0, _SLOT_HASH[slots], hashes), slots
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -103,33 +102,33 @@ class _Index:
         self.size = []
         vocabulary = _Vocabulary()
         for item_id, text in items:
-            tokens, hashes, slots = template(text or "", vocabulary)
-            width = min(size, len(tokens))
+            found, places, hashes, slots = template(text or "", vocabulary)
+            width = min(size, len(places))
             plain = np.convolve(slots == 0, np.ones(width, int), "valid") if width else np.empty(0)
             usable = np.flatnonzero(plain >= min(literals, width)) if width >= literals else []
             k = len(self.ids)
             self.ids.append(item_id)
-            self.tokens.append([t.lower() for t in tokens])
+            self.tokens.append([found[p].lower() for p in places])
             self.slots.append(slots)
             self.size.append(width)
             self.totals.append(len(usable))
             if len(usable):
                 self.sizes.add(width)
-            found = windows(hashes, width) if width else []
+            keys = windows(hashes, width) if width else []
             for p in usable:
-                self.postings[int(found[p])].append((k, int(p)))
+                self.postings[int(keys[p])].append((k, int(p)))
         self.bits = np.zeros(1 << 20, bool)
         if self.postings:
             self.bits[np.fromiter(self.postings, np.uint64, len(self.postings)) >> np.uint64(44)] = True
 
     def matches(self, text: str, vocabulary: _Vocabulary, least: int, coverage: float) -> Iterator[tuple]:
         """(item_id, n_windows, item_windows, n_slots, exact) of every item that the text contains."""
-        tokens, hashes, slots = template(text, vocabulary)
+        found, places, hashes, _ = template(text, vocabulary)
         hits: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for size in self.sizes:
-            found = windows(hashes, size)
-            for p in np.flatnonzero(self.bits[found >> np.uint64(44)]).tolist():
-                for k, at in self.postings.get(int(found[p]), ()):
+            keys = windows(hashes, size)
+            for p in np.flatnonzero(self.bits[keys >> np.uint64(44)]).tolist():
+                for k, at in self.postings.get(int(keys[p]), ()):
                     if self.size[k] == size:
                         hits[k][p - at].append(at)
         for k, lines in hits.items():
@@ -138,7 +137,7 @@ class _Index:
                 place = {s + x for s in starts for x in range(self.size[k]) if self.slots[k][s + x]}
                 maps: dict[tuple, set] = defaultdict(set)
                 for s in place:
-                    maps[int(self.slots[k][s]), self.tokens[k][s]].add(tokens[s + shift].lower())
+                    maps[int(self.slots[k][s]), self.tokens[k][s]].add(found[places[s + shift]].lower())
                 if all(len(v) == 1 for v in maps.values()):
                     covered.update(starts)
                     used |= place
