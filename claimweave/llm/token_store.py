@@ -17,6 +17,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -30,8 +31,8 @@ from .common import save, text_of
 MAGIC = b"CWT1"
 BLOCK = 2048
 #: Ids of a segment at which it is closed; a longer document is a segment of its own.
-SEGMENT = 1 << 21
-HASH_BITS = 11
+SEGMENT = 1 << 22
+HASH_BITS = 9
 LIMIT = 1 << 11
 LITERALS = 1 << 16
 _TOP, _BOTTOM, _SHIFT = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
@@ -46,36 +47,49 @@ class _Model:
         self.two = np.full(lanes << HASH_BITS, -1, np.int32)
         self.one = np.full(lanes << HASH_BITS, -1, np.int32)
         self.trust = np.zeros(lanes << HASH_BITS, np.int8)
-        self.rates = np.tile(np.array([2, 2, 8, 8], np.int32), (lanes * 16, 1))
-        self.last = np.tile(np.array([1, 1, 4, 4], np.int32), (lanes * 4, 1))
+        # Frequencies of the events in two contexts, with their sums: what is predicted and how it fared; the event before.
+        self.contexts = []
+        for states, first, step in ((16, [2, 2, 8, 8], 24), (4, [1, 1, 4, 4], 8)):
+            rates = np.tile(np.array(first, np.int32), (lanes * states, 1))
+            self.contexts.append((rates, rates.reshape(-1), np.full(lanes * states, sum(first), np.int32), step))
         self.before = np.zeros(lanes, np.int64)
         self.prior = np.zeros(lanes, np.int64)
         self.event = np.full(lanes, 3)
         self.base = self.lane.astype(np.int64) << HASH_BITS
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order-2 id, order-1 id (-1: none), and the frequencies of the four events."""
+        """Order-2 id, order-1 id (-1: none), and where the shares of the four events begin, with their total last."""
         mask = (1 << HASH_BITS) - 1
-        self.h2 = self.base + (((self.before * 0x9E3779B1 + self.prior * 0x85EBCA6B) >> 15) & mask)
-        self.h1 = self.base + ((self.before * 0x9E3779B1 >> 11) & mask)
-        p2, p1 = self.two[self.h2], self.one[self.h1]
-        state = self.trust[self.h2] * 4 + (p2 >= 0) * 2 + (p1 >= 0)
-        self.r, self.l = self.lane * 16 + state, self.lane * 4 + self.event
-        return p2, p1, self.rates[self.r] + self.last[self.l]
+        hot = self.before * 0x9E3779B1
+        self.h2 = self.base + (((hot + self.prior * 0x85EBCA6B) >> 15) & mask)
+        self.h1 = self.base + ((hot >> 11) & mask)
+        p2, p1, self.faith = self.two.take(self.h2), self.one.take(self.h1), self.trust.take(self.h2)
+        self.rows = self.lane * 16 + self.faith * 4 + (p2 >= 0) * 2 + (p1 >= 0), self.lane * 4 + self.event
+        rates = self.contexts[0][0].take(self.rows[0], 0) + self.contexts[1][0].take(self.rows[1], 0)
+        ends = np.zeros((5, len(self.lane)), np.int64)
+        for k in range(4):
+            np.add(ends[k], rates[:, k], out=ends[k + 1])
+        return p2, p1, ends
+
+    def share(self, ends: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of each lane's event."""
+        at = event * len(self.lane) + self.lane
+        flat = ends.reshape(-1)
+        low = flat.take(at)
+        return low.astype(_U), (flat.take(at + len(self.lane)) - low).astype(_U)
 
     def update(self, ids: np.ndarray, event: np.ndarray, p2: np.ndarray) -> None:
-        self.rates[self.r, event] += 24
-        self.last[self.l, event] += 8
-        for table, row in ((self.rates, self.r), (self.last, self.l)):
-            full = row[table[row].sum(1) > LIMIT]
+        for (rates, flat, total, step), row in zip(self.contexts, self.rows):
+            flat[row * 4 + event] += step
+            total[row] += step
+            full = row[total.take(row) > LIMIT]
             if len(full):
-                table[full] = (table[full] >> 1) | 1
-        hit = p2 == ids
-        trust = self.trust[self.h2]
-        self.trust[self.h2] = np.where(hit, np.minimum(trust + 1, 3), np.where(trust > 1, 1, 0))
+                rates[full] = (rates[full] >> 1) | 1
+                total[full] = rates[full].sum(1)
+        self.trust[self.h2] = np.where(p2 == ids, np.minimum(self.faith + 1, 3), self.faith >> 1)
         self.two[self.h2] = ids
         self.one[self.h1] = ids
-        self.prior, self.before, self.event = self.before, ids.astype(np.int64), event
+        self.prior, self.before, self.event = self.before, ids, event
 
 
 def _first_seen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +121,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     used, distinct = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
     for t in range(steps):
         now, new = lanes_ids[t], fresh[t]
-        p2, p1, rates = model.predict()
+        p2, p1, ends = model.predict()
         event = np.where(p2 == now, 0, np.where(p1 == now, 1, np.where(new, 3, 2)))
-        ends = rates.cumsum(1)
-        own = rates[model.lane, event]
-        width //= ends[:, 3].astype(_U)
-        low += (ends[model.lane, event] - own).astype(_U) * width
-        width *= own.astype(_U)
+        begin, own = model.share(ends, event)
+        width //= ends[4].astype(_U)
+        low += begin * width
+        width *= own
         deep = np.flatnonzero(event >= 2)
         if len(deep):
             e = event[deep]
@@ -170,14 +183,13 @@ def decode(payload: bytes, block: int = BLOCK) -> np.ndarray:
     distinct = np.zeros(blocks, np.int64)
     ids = np.zeros((steps, blocks), np.uint32)
     for t in range(steps):
-        p2, p1, rates = model.predict()
-        ends = rates.cumsum(1)
-        width //= ends[:, 3].astype(_U)
+        p2, p1, ends = model.predict()
+        width //= ends[4].astype(_U)
         value = ((code - low) // width).astype(np.int64)
-        event = np.minimum((value[:, None] >= ends).sum(1), 3)
-        own = rates[model.lane, event]
-        low += (ends[model.lane, event] - own).astype(_U) * width
-        width *= own.astype(_U)
+        event = (value >= ends[1]) + (value >= ends[2]).astype(np.int64) + (value >= ends[3])
+        begin, own = model.share(ends, event)
+        low += begin * width
+        width *= own
         now = np.where(event == 0, p2, p1).astype(np.int64)
         new = event == 3
         deep = np.flatnonzero(event >= 2)
@@ -263,6 +275,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(1)
+def _word_encoder(path: str) -> WordEncoder:
+    """A worker keeps the words that it has encoded from one task to the next."""
+    return WordEncoder(path)
+
+
 _SEGMENTS = "shard int, segment int, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
 
 
@@ -272,7 +290,7 @@ def _segments(path: str, end_id: int, block: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, shard, number = WordEncoder(path), TaskContext.get().partitionId(), 0
+        words, shard, number = _word_encoder(path), TaskContext.get().partitionId(), 0
         docs, parts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
