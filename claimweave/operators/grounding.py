@@ -32,7 +32,22 @@ def _spaced(text: Column) -> Column:
 def _by_pattern(method: str, page: Column, pattern: Column) -> Column:
     """Where pattern first matches page; null if it doesn't."""
     at = F.regexp_instr(page, pattern)
-    return F.when(at > 0, _spot(method, at - 1, at - 1 + F.length(F.regexp_extract(page, pattern, 0) if isinstance(pattern, str) else F.regexp_substr(page, pattern))))
+    return F.when(at > 0, _spot(method, at - 1, at - 1 + F.length(F.regexp_substr(page, pattern))))
+
+
+def _fold(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+
+
+def _folded(page: Column, quote: Column) -> Column:
+    """Where the letters and digits of the quote, eight at least, follow each other, whatever lies between them."""
+
+    def spot(at: Column, size: Column) -> Column:
+        letters = lambda chars: F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda k: F.get(chars, k).rlike("[A-Za-z0-9]"))
+        return let(let(F.split(page, ""), letters), lambda p: _spot("folded", F.get(p, at - 1), F.get(p, at + size - 2) + 1))
+
+    hit = lambda q: let(F.when(F.length(q) >= 8, F.instr(_fold(page), q)), lambda at: F.when(at > 0, spot(at, F.length(q))))
+    return let(_fold(quote), hit)
 
 
 def significant_tokens(text: Column) -> Column:
@@ -72,13 +87,11 @@ def locate(page: Column | str, quote: Column | str) -> Column:
 
     def inside(page: Column, q: Column) -> Column:
         at = F.instr(page, q)
-        folded = F.regexp_replace(F.lower(q), "[^a-z0-9]", "")
-        loose = F.concat(F.lit("(?i)"), F.array_join(F.split(folded, "(?<=.)(?=.)"), "[^a-zA-Z0-9]*"))
         return F.when(F.length(q) >= 3, F.coalesce(
             F.when(at > 0, _spot("exact", at - 1, at - 1 + F.length(q))),
             _by_pattern("whitespace", page, _spaced(q)),
             _by_pattern("caseless", page, F.concat(F.lit("(?iu)"), _spaced(q))),
-            F.when(F.length(folded) >= 8, _by_pattern("folded", page, loose)),
+            _folded(page, q),
             _scattered(page, q),
             _anchored(page, q),
         ))
