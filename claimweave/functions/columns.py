@@ -22,10 +22,14 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def _literal(x) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
+
+
 def lookup(table: dict, key: Column, kind: str = "string") -> Column:
     """table[key], null for unknown keys."""
-    parts = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*parts), key).cast(kind)
+    entries = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key).cast(kind)
 
 
 def squash(c: Column) -> Column:

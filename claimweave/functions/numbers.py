@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import AT, SPACE, TO, col, lookup, squash
+from .columns import AT, SPACE, TO, col, let, lookup, squash
 
 NUMBER = r"\d[\d,]*(?:\.\d+)?|\.\d+"
 
@@ -39,12 +39,14 @@ UNITS = {
 
 def parse_numeric_literal(raw: Column | str) -> Column:
     """The first number in raw; negative behind a minus sign, or with ( before it and ) after its beginning."""
-    raw = col(raw)
-    at = F.regexp_instr(raw, F.lit(NUMBER))
-    before, rest = F.substr(raw, F.lit(1), at - 1), F.substr(raw, at)
-    size = F.replace(F.regexp_extract(raw, NUMBER, 0), F.lit(",")).try_cast("double")
-    minus = before.rlike(f"-{SPACE}*$") | (before.contains("(") & rest.contains(")"))
-    return F.when(size < float("inf"), F.when(minus, -size).otherwise(size))
+
+    def signed(raw: Column, at: Column, size: Column) -> Column:
+        before, rest = F.substr(raw, F.lit(1), at - 1), F.substr(raw, at)
+        minus = before.rlike(f"-{SPACE}*$") | (before.contains("(") & rest.contains(")"))
+        return F.when(size < float("inf"), F.when(minus, -size).otherwise(size))
+
+    size = lambda raw: F.replace(F.regexp_extract(raw, NUMBER, 0), F.lit(",")).try_cast("double")
+    return let(col(raw), lambda r: let(F.regexp_instr(r, F.lit(NUMBER)), lambda at: let(size(r), lambda n: signed(r, at, n))))
 
 
 def numbers_in(text: Column | str) -> Column:
@@ -61,13 +63,15 @@ def normalize_number(number: Column | str, raw: Column | str, unit: Column | str
     number = col(number)
     size = F.when(F.isnan(number) | F.abs(number).isin(float("inf")), None).otherwise(number)
     size = F.coalesce(size, parse_numeric_literal(raw)) * F.coalesce(lookup(SCALES, _key(col(scale)), "double"), F.lit(1.0))
-    unit = _key(col(unit))
-    code = lookup(CURRENCIES, F.coalesce(F.nullif(_key(col(currency)), F.lit("")), unit))
-    factor = lookup({k: v[1] for k, v in UNITS.items()}, unit, "double")
-    base = lookup({k: v[0] for k, v in UNITS.items()}, unit)
-    value = F.when(code.isNull(), size * F.coalesce(factor, F.lit(1.0))).otherwise(size)
-    name = F.coalesce(code, base, F.nullif(unit, F.lit("")), F.lit("count"))
-    return F.when(size.isNotNull(), F.struct(value.alias("value"), name.alias("unit")))
+
+    def based(size: Column, unit: Column, code: Column) -> Column:
+        factor = lookup({k: v[1] for k, v in UNITS.items()}, unit, "double")
+        base = lookup({k: v[0] for k, v in UNITS.items()}, unit)
+        value = F.when(code.isNull(), size * F.coalesce(factor, F.lit(1.0))).otherwise(size)
+        return F.when(size.isNotNull(), F.struct(value.alias("value"), F.coalesce(code, base, F.nullif(unit, F.lit("")), F.lit("count")).alias("unit")))
+
+    code = lambda unit: lookup(CURRENCIES, F.coalesce(F.nullif(_key(col(currency)), F.lit("")), unit))
+    return let(size, lambda n: let(_key(col(unit)), lambda u: let(code(u), lambda c: based(n, u, c))))
 
 
 def units_comparable(a: Column | str, b: Column | str) -> Column:
@@ -76,11 +80,14 @@ def units_comparable(a: Column | str, b: Column | str) -> Column:
 
 def _grouped(value: Column, digits: int, groups: str) -> Column:
     """value rounded half away from zero to at most digits decimals, with group separators."""
-    scaled = F.floor(F.abs(value) * 10**digits + 0.5).cast("decimal(38,0)")
-    whole = F.floor(scaled / 10**digits).cast("decimal(38,0)").cast("string")
-    part = F.rtrim(F.lpad((scaled % 10**digits).cast("decimal(38,0)").cast("string"), digits, "0"), F.lit("0"))
-    text = F.concat(F.regexp_replace(whole, groups, ","), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
-    return F.when((value < 0) & (scaled > 0), F.concat(F.lit("-"), text)).otherwise(text)
+
+    def shown(scaled: Column) -> Column:
+        whole = F.floor(scaled / 10**digits).cast("decimal(38,0)").cast("string")
+        part = F.rtrim(F.lpad((scaled % 10**digits).cast("decimal(38,0)").cast("string"), digits, "0"), F.lit("0"))
+        sign = F.when((value < 0) & (scaled > 0), "-").otherwise("")
+        return F.concat(sign, F.regexp_replace(whole, groups, ","), F.rtrim(F.concat(F.lit("."), part), F.lit(".")))
+
+    return let(F.floor(F.abs(value) * 10**digits + 0.5).cast("decimal(38,0)"), shown)
 
 
 #: Where separators stand: every three digits, or three and then every two.
@@ -89,15 +96,16 @@ WESTERN, INDIAN = r"(?<=\d)(?=(?:\d{3})+$)", r"(?<=\d)(?=(?:\d\d)*\d{3}$)"
 
 def format_normalized(value: Column | str, unit: Column | str) -> Column:
     """Readable magnitude: rupees in crore or lakh with two decimals, anything else with three."""
-    value, unit = col(value), col(unit)
-    size = F.abs(value)
-    rupees = (
-        F.when(size >= 1e7, F.concat(F.lit("₹"), _grouped(value / 1e7, 2, INDIAN), F.lit(" crore")))
-        .when(size >= 1e5, F.concat(F.lit("₹"), _grouped(value / 1e5, 2, INDIAN), F.lit(" lakh")))
-        .otherwise(F.concat(F.lit("₹"), _grouped(value, 2, INDIAN)))
-    )
-    plain = _grouped(value, 3, WESTERN)
-    return F.when(unit == "INR", rupees).when(unit == "%", F.concat(plain, F.lit("%"))).otherwise(F.trim(F.concat_ws(" ", plain, unit)))
+
+    def shown(v: Column, unit: Column) -> Column:
+        size = F.abs(v)
+        by = F.when(size >= 1e7, 1e7).when(size >= 1e5, 1e5).otherwise(1.0)
+        word = F.when(size >= 1e7, " crore").when(size >= 1e5, " lakh").otherwise("")
+        rupees = F.concat(F.lit("₹"), let(v / by, lambda x: _grouped(x, 2, INDIAN)), word)
+        tail = F.when(unit == "%", unit).when(unit == "", "").otherwise(F.concat(F.lit(" "), unit))
+        return F.when(unit == "INR", rupees).otherwise(F.concat(_grouped(v, 3, WESTERN), tail))
+
+    return let(col(value), lambda v: let(col(unit), lambda u: shown(v, u)))
 
 
 # How documents print scale words.

@@ -40,20 +40,26 @@ def _finite(c: Column) -> Column:
 
 def compare_numbers(a: Column, b: Column) -> Column:
     """struct<relation, detail, ratio> of two facts with numbers; ratio is b / a, infinite for a = 0."""
-    x, y = a["normalized_number"], b["normalized_number"]
     unit, other = F.coalesce(a["normalized_unit"], F.lit("")), F.coalesce(b["normalized_unit"], F.lit(""))
-    gap, size = F.abs(x - y), F.greatest(F.abs(x), F.abs(y))
-    same = F.when(unit == "%", gap <= POINTS).when(size == 0, F.lit(True)).otherwise(F.try_divide(gap, size) <= RELATIVE)
-    ratio = F.when(x == 0, F.when(same, 1.0).otherwise(float("inf"))).otherwise(F.try_divide(y, x))
-    near = lambda r, k: (F.abs(r - k) / k < 0.005) | (F.abs(r - 1 / k) * k < 0.005)
-    hint = reduce(lambda c, k: c.when(near(F.abs(ratio), F.lit(k[0])), k[1]), RATIOS[1:], F.when(near(F.abs(ratio), F.lit(RATIOS[0][0])), RATIOS[0][1]))
-    shown, against = format_normalized(x, unit), format_normalized(y, unit)
     unknown = lambda text: _value("UNKNOWN", text)
+
+    def known(x: Column, y: Column) -> Column:
+        gap, size = F.abs(x - y), F.greatest(F.abs(x), F.abs(y))
+        same = F.when(unit == "%", gap <= POINTS).when(size == 0, F.lit(True)).otherwise(F.try_divide(gap, size) <= RELATIVE)
+        return let(same, lambda s: let(F.when(x == 0, F.when(s, 1.0).otherwise(float("inf"))).otherwise(F.try_divide(y, x)), lambda r: told(x, y, s, r)))
+
+    def told(x: Column, y: Column, same: Column, ratio: Column) -> Column:
+        near = lambda k: (F.abs(F.abs(ratio) - k) / k < 0.005) | (F.abs(F.abs(ratio) - 1 / k) * k < 0.005)
+        hint = reduce(lambda c, k: c.when(near(k[0]), k[1]), RATIOS[1:], F.when(near(RATIOS[0][0]), RATIOS[0][1]))
+        detail = F.concat(format_normalized(x, unit), F.when(same, " equals ").otherwise(" against "), format_normalized(y, unit))
+        text = F.when(same, detail).otherwise(F.concat_ws("; ", detail, hint))
+        return F.struct(F.when(same, "SAME").otherwise("DIFFERENT").alias("relation"), text.alias("detail"), ratio.cast("double").alias("ratio"))
+
+    x, y = a["normalized_number"], b["normalized_number"]
     return (
         F.when(~_finite(x) | ~_finite(y), unknown(F.lit("A value has no number")))
         .when(unit != other, unknown(F.concat(F.lit("No common unit: "), unit, F.lit(" and "), other)))
-        .when(same, _value("SAME", F.concat(shown, F.lit(" equals "), against), ratio))
-        .otherwise(_value("DIFFERENT", F.concat_ws("; ", F.concat(shown, F.lit(" against "), against), hint), ratio))
+        .otherwise(let(x, lambda x: let(y, lambda y: known(x, y))))
     )
 
 
