@@ -133,7 +133,7 @@ class LabelModel:
         return 1 / (1 + strong.sum(1))
 
 
-def linear(votes: np.ndarray, target: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
+def linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.1, steps: int = 40) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton steps."""
     x = np.hstack([votes, np.ones((len(votes), 1))])
     penalty = np.full(x.shape[1], ridge)
