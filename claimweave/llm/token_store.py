@@ -92,6 +92,12 @@ class _Model:
         self.prior, self.before, self.event = self.before, ids, event
 
 
+def _settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Widths of lanes that are renewed: one whose leading word isn't settled yet is cut off at the next carry."""
+    tight = (low ^ (low + width)) >= _TOP
+    return np.where(tight, (~low + _U(1)) & (_BOTTOM - _U(1)), width)
+
+
 def _first_seen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each id of a block: the number that it got when first seen in the block, and whether this is that time."""
     _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
@@ -117,7 +123,9 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         number[: len(p), k], fresh[: len(p), k] = _first_seen(p)
     model = _Model(blocks)
     low, width = np.zeros(blocks, _U), np.full(blocks, 2**64 - 1, _U)
-    out = np.zeros((blocks, 2 * steps + 8), np.uint16)
+    columns = 2 * steps + 8
+    out = np.zeros((blocks, columns), np.uint16)
+    flat = out.reshape(-1)
     used, distinct = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
     for t in range(steps):
         now, new = lanes_ids[t], fresh[t]
@@ -134,18 +142,15 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
             part = width[deep] // size
             low[deep] += np.where(e == 2, number[t, deep], now[deep]).astype(_U) * part
             width[deep] = part
-        while True:
-            near = (low ^ (low + width)) < _TOP
-            tight = ~near & (width < _BOTTOM)
-            if tight.any():
-                width[tight] = (~low[tight] + _U(1)) & (_BOTTOM - _U(1))
-            go = np.flatnonzero(near | tight)
-            if not len(go):
-                break
-            out[go, used[go]] = low[go] >> _TOP_SHIFT
-            used[go] += 1
-            low[go] <<= _SHIFT
-            width[go] <<= _SHIFT
+        go = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
+        while len(go):
+            x, w = low.take(go), _settled(low.take(go), width.take(go))
+            at = used.take(go)
+            flat[go * columns + at] = x >> _TOP_SHIFT
+            used[go] = at + 1
+            x, w = x << _SHIFT, w << _SHIFT
+            low[go], width[go] = x, w
+            go = go[((x ^ (x + w)) < _TOP) | (w < _BOTTOM)]
         model.update(now, event, p2)
         distinct += new
     for _ in range(4):
@@ -172,7 +177,7 @@ def decode(payload: bytes, block: int = BLOCK) -> np.ndarray:
     words = np.frombuffer(payload, np.uint16, int(size.sum()), 12 + 8 * blocks)
     words = np.concatenate([words, np.zeros(8, np.uint16)])
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    ends_at = at + size
+    last = len(words) - 1
     steps = min(block, total)
     model = _Model(blocks)
     low, width, code = np.zeros(blocks, _U), np.full(blocks, 2**64 - 1, _U), np.zeros(blocks, _U)
@@ -201,19 +206,15 @@ def decode(payload: bytes, block: int = BLOCK) -> np.ndarray:
             low[deep] += k.astype(_U) * part
             width[deep] = part
             now[deep] = np.where(e == 2, seen[deep, np.minimum(k, steps - 1)], k)
-        while True:
-            near = (low ^ (low + width)) < _TOP
-            tight = ~near & (width < _BOTTOM)
-            if tight.any():
-                width[tight] = (~low[tight] + _U(1)) & (_BOTTOM - _U(1))
-            go = np.flatnonzero(near | tight)
-            if not len(go):
-                break
-            here = np.minimum(at[go], len(words) - 1)
-            code[go] = (code[go] << _SHIFT) | np.where(at[go] < ends_at[go], words[here], 0).astype(_U)
-            at[go] += 1
-            low[go] <<= _SHIFT
-            width[go] <<= _SHIFT
+        go = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
+        while len(go):
+            x, w = low.take(go), _settled(low.take(go), width.take(go))
+            here = at.take(go)
+            code[go] = (code.take(go) << _SHIFT) | words.take(np.minimum(here, last)).astype(_U)
+            at[go] = here + 1
+            x, w = x << _SHIFT, w << _SHIFT
+            low[go], width[go] = x, w
+            go = go[((x ^ (x + w)) < _TOP) | (w < _BOTTOM)]
         ids[t] = now
         fresh = np.flatnonzero(new)
         seen[fresh, distinct[fresh]] = now[fresh]
@@ -249,30 +250,35 @@ class WordEncoder:
     Ids of a word don't depend on its neighbours, so words are looked up and only new ones are encoded.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.words = re.compile(_latin_pattern()[0])
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.most = most
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> np.ndarray:
         if _OTHER.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
         found, known = self.words.findall(text.lower()), self.known
         new = set(found).difference(known)
         if new:
             if len(known) > self.most:
                 known.clear()
                 new = set(found)
-            new = list(new)
-            for word, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = e.ids
-        out: list[int] = []
-        for ids in map(known.__getitem__, found):
-            out += ids
-        return out
+            self._learn(list(new))
+        return np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint16)
+
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new words as one text with spaces between them; each is a word of it."""
+        e = self.library.encode(" ".join(new), add_special_tokens=False)
+        ids, ends = np.array(e.ids, np.uint16), np.searchsorted(np.array(e.word_ids), np.arange(len(new)), "right")
+        if ends[-1] != len(ids) or (np.diff(ends, prepend=0) <= 0).any():
+            raise ValueError("words don't stay apart")
+        for word, a, b in zip(new, [0, *ends.tolist()], ends.tolist()):
+            self.known[word] = ids[a:b].tobytes()
 
 
 @lru_cache(1)
@@ -299,14 +305,13 @@ def _segments(path: str, end_id: int, block: int, segment: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = words(text.as_py())
-                ids.append(end_id)
+                ids = np.append(words(text.as_py()), np.uint16(end_id))
                 if parts and size + len(ids) > segment:
                     yield row()
                     number, size = number + 1, 0
                     docs, parts = [], []
                 docs.append(doc_id.as_py())
-                parts.append(np.array(ids, np.uint16 if max(ids) < LITERALS else np.int64))
+                parts.append(ids)
                 size += len(ids)
         if parts:
             yield row()

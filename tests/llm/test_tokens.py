@@ -110,7 +110,7 @@ def test_words_agree_with_the_library():
     words = S.WordEncoder(path("word_bpe_49k.json"))
     more = ["É\x1c a b\x85c 's don't DON'T ½² ª", "Σας", "ŉ ß ǅ ĳ", "a´b", "x" * 3000]
     for text in [t or "" for t in TEXTS] + more:
-        assert words(text) == words.library.encode(text, add_special_tokens=False).ids
+        assert words(text).tolist() == words.library.encode(text, add_special_tokens=False).ids
 
 
 def test_shards(make):
