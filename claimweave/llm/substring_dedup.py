@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import save, text_of
 
 #: A unit ends at a line break, or after . ! or ? before white space.
 UNIT = re.compile(r"[^\n]+?(?:[.!?](?=[ \t\r])|(?=\n)|\Z)")
@@ -52,7 +52,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Rows that repeat a doc_id are told apart by a number, so that of whole copies one stays.
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("text"))
-    found = base.mapInArrow(run, "doc_id long, row long, start int, length int, digest binary")
+    # Written once: both sides below read the same units and row numbers, even if a task is run again.
+    found = save(base.mapInArrow(run, "doc_id long, row long, start int, length int, digest binary"), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "row")
     shared = found.groupBy("digest").agg(F.min(rank).alias("keep"), F.count("*").alias("copies")).filter("copies > 1")
     copies = found.join(shared.hint("merge"), "digest")
