@@ -1,32 +1,16 @@
-"""Shared plumbing of the training-data operators: work tables, text normal forms, connected components."""
+"""Shared plumbing of the training-data operators: text normal forms, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters deleted or split on as white space: [\x20\x09-\x0D].
-WHITE = " \t\n\x0b\x0c\r"
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="claimweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from ..operators.work import is_empty, save
 
+__all__ = ["components", "is_empty", "save", "squeezed", "text_of"]
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared work folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/claimweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Characters deleted or split on as white space: [\x20\x09-\x0D].
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def text_of(column: str | Column) -> Column:
@@ -39,10 +23,6 @@ def squeezed(text: Column) -> Column:
     return F.translate(text, WHITE, "")
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.limit(1).collect()
-
-
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the smallest node of its connected component.
 
