@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators.work import is_empty, save
 
-__all__ = ["components", "is_empty", "save", "squeezed", "text_of"]
+__all__ = ["UNSPACED", "components", "is_empty", "save", "squeezed", "text_of"]
 
 #: Characters deleted or split on as white space: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
+#: Inside of a regex class: characters of scripts that put no spaces between words (Han, kana, Thai, Lao, Burmese, Khmer).
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 
 
 def text_of(column: str | Column) -> Column:

@@ -133,3 +133,27 @@ def test_repeated_units_sample(sample):
                 seen[digest] = (d, start)
     got = {(r.doc_id, r.start, r.keep_doc_id, r.keep_start) for r in S.repeated_units(sample).collect()}
     assert got == want
+
+
+def test_repeated_passages_of_short_sentences(make):
+    verse = " ".join(f"Line {k} goes on. Who knows?\nNot I!" for k in range(10))
+    chinese = "。".join(f"第{k}句話說的是天氣很好" for k in "一二三四五六七八") + "。"
+    pairs = [(1, "One. " + verse), (2, "Another start here.\n" + verse + "\nAnd so it ends."), (3, "開頭。" + chinese), (4, "別的開頭在這裡。" + chinese + "結尾。"), (5, "Yes.\nNo."), (6, "Yes.\nNo."), (7, "la.\n" * 100)]
+    cut = {r.doc_id: r.text for r in S.without_repeats(make(pairs)).collect()}
+    assert [cut[d] == dict(pairs)[d] for d in (1, 3, 5, 6)] == [True] * 4
+    assert cut[2].split() == "Another start here. And so it ends.".split()
+    assert cut[4] == "別的開頭在這裡。結尾。" and cut[7].split() == ["la."]
+
+
+def test_units_cover_what_repeats():
+    """Whatever stands around a passage, the units in it are the same and leave no sentence out."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        own, left, right = ([" ".join(f"w{x}" for x in rng.integers(0, 99, n)) + "." for n in rng.integers(1, 11, 12)] for _ in range(3))
+        passage = "\n".join(own)
+        found = {d for *_, d in S.units(passage, 8)}
+        text = "\n".join(left) + "\n" + passage + "\n" + "\n".join(right)
+        inside = [(s, n) for s, n, d in S.units(text, 8) if d in found]
+        covered = {x for s, n in inside for x in range(s, s + n)}
+        at = text.index(passage)
+        assert all(x in covered or text[x] == "\n" for x in range(at, at + len(passage)))
