@@ -2,7 +2,8 @@
 
 Numbers, units and names become typed placeholders. Windows of the resulting templates are hash-joined between
 documents and benchmark items; a match counts if the slots that it covers map consistently, so that a question with
-other numbers or names is found and a chance alignment is not.
+other numbers or names is found and a chance alignment is not. Beside the templates, windows of the plain tokens find
+verbatim copies of every item, also of those that are too short or have too few literals for a template.
 """
 
 from __future__ import annotations
@@ -17,16 +18,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import UNSPACED, text_of
 
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n%$€£]")
+_REST = r"\d+(?:[.,]\d+)*|[^\w\s,;:'\"()\[\]{}`…“”„‘’«»–—·•、，；：（）「」『』【】《》]|\n"
+#: Words, numbers, and signs but punctuation within sentences; in scripts without spaces each character is a word.
+TOKEN = re.compile(rf"[{UNSPACED}]|[^\W\d_{UNSPACED}]+|{_REST}")
+_JAVA_UNSPACED = re.sub(r"\\U000(\w{5})", r"\\x{\1}", UNSPACED)
+_SPACED, _UNSPACED = re.compile(rf"[^\W\d_]+|{_REST}"), re.compile(f"[{UNSPACED}]")
 # Words that count as numbers, and words and signs that count as units beside a number.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNIT_WORDS = frozenset(
     "% $ € £ percent dollar dollars euro euros pound pounds cent cents mm cm m km inch inches foot feet yard yards mile miles g kg mg lb lbs oz gram grams kilogram kilograms ton tons tonne tonnes"
     " ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years degree degrees".split()
 )
-LITERAL, END, NUMBER, UNIT, CAPITAL = range(5)
+LITERAL, END, NUMBER, UNIT, CAPITAL, SIGN = range(6)
 NUM, UNI, NAME = 1, 2, 3
 _SLOT_HASH = np.array([0, 0x9E6C63D0676A9A99, 0xB5297A4D3F84D5B5, 0xE7037ED1A0B428DB], np.uint64)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -45,12 +50,14 @@ class _Vocabulary(dict):
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        if token in ".!?\n":
+        if token in ".!?。！？\n":
             kind = END
         elif token[0].isdigit() or low in NUMBER_WORDS:
             kind = NUMBER
         elif low in UNIT_WORDS:
             kind = UNIT
+        elif not token[0].isalnum() and not _UNSPACED.match(token):
+            kind = SIGN
         else:
             kind = CAPITAL if token[0].isupper() and token[1:].islower() else LITERAL
         k = len(self)
@@ -61,25 +68,35 @@ class _Vocabulary(dict):
         return k
 
 
-def template(text: str, vocabulary: _Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, places of those that make the template, their hashes with placeholders, and the slot of each (0: none)."""
-    if len(vocabulary) > vocabulary.MOST:
-        vocabulary.clear()
-    found = TOKEN.findall(text)
-    index = np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found))
-    hashes, kinds = vocabulary.hashes[index], vocabulary.kinds[index]
-    opens = np.ones(len(kinds), bool)  # at the beginning of a sentence a capital doesn't make a name
-    opens[1:] = kinds[:-1] == END
-    slots = np.zeros(len(kinds), np.int8)
-    slots[kinds == NUMBER] = NUM
-    slots[(kinds == CAPITAL) & ~opens] = NAME
-    beside = np.zeros(len(kinds), bool)
-    beside[1:] = kinds[:-1] == NUMBER
-    beside[:-1] |= kinds[1:] == NUMBER
-    slots[(kinds == UNIT) & beside] = UNI
-    places = np.flatnonzero(kinds != END)
-    slots, hashes = slots[places], hashes[places]
-    return found, places, np.where(slots > 0, _SLOT_HASH[slots], hashes), slots
+class _Template:
+    """The tokens of a text, the places of those that make its template, and two readings of it.
+
+    A capital makes a name but at the beginning of a sentence in the first reading, and everywhere in the second; so a
+    question behind a colon, and a name behind a hard line break, are found by one of them. Each reading has the hashes
+    with placeholders and the slots (0: none). plain are the hashes of all tokens but the ends of sentences.
+    """
+
+    def __init__(self, text: str, vocabulary: _Vocabulary) -> None:
+        if len(vocabulary) > vocabulary.MOST:
+            vocabulary.clear()
+        tokens = TOKEN if not text.isascii() and _UNSPACED.search(text) else _SPACED
+        self.found = found = tokens.findall(text)
+        index = np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found))
+        hashes, kinds = vocabulary.hashes[index], vocabulary.kinds[index]
+        self.plain = hashes[kinds != END]
+        seen = np.flatnonzero(kinds != SIGN)
+        hashes, kinds = hashes[seen], kinds[seen]
+        opens = np.ones(len(kinds), bool)
+        opens[1:] = kinds[:-1] == END
+        slots = np.zeros(len(kinds), np.int8)
+        slots[kinds == NUMBER] = NUM
+        beside = np.zeros(len(kinds), bool)
+        beside[1:] = kinds[:-1] == NUMBER
+        beside[:-1] |= kinds[1:] == NUMBER
+        slots[(kinds == UNIT) & beside] = UNI
+        own = np.flatnonzero(kinds != END)
+        self.places, capital, opens = seen[own], kinds[own] == CAPITAL, opens[own]
+        self.readings = [(np.where(s > 0, _SLOT_HASH[s], hashes[own]), s) for s in (np.where(capital & ~opens, NAME, slots[own]), np.where(capital, NAME, slots[own]))]
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -93,66 +110,113 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+class _Postings(dict):
+    """Window hash -> (owner, place) of the windows of items; sealed, a table of bits tells most others apart."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.sizes, self.bits = set(), np.zeros(1 << 20, bool)
+
+    def put(self, owner: int, hashes: np.ndarray, size: int, places) -> None:
+        if len(places):
+            self.sizes.add(size)
+        keys = windows(hashes, size)
+        self.bits[keys[places] >> np.uint64(44)] = True
+        for p in places:
+            self.setdefault(int(keys[p]), []).append((owner, int(p)))
+
+    def find(self, keys: np.ndarray, but: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+        """(owner, place in the item, place in keys) of all keys, but those that stand at the same place in but."""
+        maybe = self.bits[keys >> np.uint64(44)]
+        if but is not None:
+            maybe &= keys != but
+        for p in np.flatnonzero(maybe).tolist():
+            for owner, at in self.get(int(keys[p]), ()):
+                yield owner, at, p
+
+
 class _Index:
-    """The template windows of some benchmark items."""
+    """The windows of some benchmark items: of both readings of their templates, and of their plain tokens."""
 
     def __init__(self, items: list[tuple[int, str]], size: int, literals: int) -> None:
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.ids, self.tokens, self.slots, self.totals, self.sizes = [], [], [], [], set()
-        self.size = []
+        self.templates, self.verbatim = _Postings(), _Postings()
+        self.ids, self.tokens, self.slots, self.size, self.totals, self.dense = [], [], [], [], [], []
+        self.plain_size, self.plain_totals = [], []
         vocabulary = _Vocabulary()
-        for item_id, text in items:
-            found, places, hashes, slots = template(text or "", vocabulary)
-            width = min(size, len(places))
-            plain = np.convolve(slots == 0, np.ones(width, int), "valid") if width else np.empty(0)
-            usable = np.flatnonzero(plain >= min(literals, width)) if width >= literals else []
-            k = len(self.ids)
+        for k, (item_id, text) in enumerate(items):
+            t = _Template(text or "", vocabulary)
+            n = len(t.places)
+            width = min(size, n)
+            within = np.ones(width, int)
             self.ids.append(item_id)
-            self.tokens.append([found[p].lower() for p in places])
-            self.slots.append(slots)
+            self.tokens.append([t.found[p].lower() for p in t.places])
+            self.slots.append([slots for _, slots in t.readings])
             self.size.append(width)
-            self.totals.append(len(usable))
-            if len(usable):
-                self.sizes.add(width)
-            keys = windows(hashes, width) if width else []
-            for p in usable:
-                self.postings[int(keys[p])].append((k, int(p)))
-        self.bits = np.zeros(1 << 20, bool)
-        if self.postings:
-            self.bits[np.fromiter(self.postings, np.uint64, len(self.postings)) >> np.uint64(44)] = True
+            self.totals.append(0)
+            self.dense.append(np.zeros(0, bool))
+            if width >= max(literals, 1):
+                usable = [np.convolve(slots == 0, within, "valid") >= literals for _, slots in t.readings]
+                usable[1] &= np.convolve(t.readings[0][1] != t.readings[1][1], within, "valid") > 0
+                for r, (hashes, _) in enumerate(t.readings):
+                    self.templates.put(2 * k + r, hashes, width, np.flatnonzero(usable[r]))
+                self.totals[k] = int(usable[0].sum())
+                # Eight characters say less than eight words, so windows with such are held to the share alone.
+                self.dense[k] = np.convolve([_UNSPACED.match(w) is not None for w in self.tokens[k]], within, "valid") > 0
+            width = min(size, len(t.plain))
+            self.plain_size.append(width)
+            self.plain_totals.append(len(t.plain) - width + 1 if width else 0)
+            if width:
+                self.verbatim.put(k, t.plain, width, np.arange(len(t.plain) - width + 1))
 
     def matches(self, text: str, vocabulary: _Vocabulary, least: int, coverage: float) -> Iterator[tuple]:
         """(item_id, n_windows, item_windows, n_slots, exact) of every item that the text contains."""
-        found, places, hashes, _ = template(text, vocabulary)
-        hits: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for size in self.sizes:
-            keys = windows(hashes, size)
-            for p in np.flatnonzero(self.bits[keys >> np.uint64(44)]).tolist():
-                for k, at in self.postings.get(int(keys[p]), ()):
-                    if self.size[k] == size:
-                        hits[k][p - at].append(at)
+        t = _Template(text, vocabulary)
+        found, places = t.found, t.places
+        hits: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for size in self.templates.sizes:
+            first, second = (windows(hashes, size) for hashes, _ in t.readings)
+            for keys, but in ((first, None), (second, first)):
+                for owner, at, p in self.templates.find(keys, but):
+                    if self.size[owner // 2] == size:
+                        hits[owner // 2][owner % 2, p - at].append(at)
+        told = set()
         for k, lines in hits.items():
             covered, used, exact = set(), set(), True
-            for shift, starts in lines.items():
-                place = {s + x for s in starts for x in range(self.size[k]) if self.slots[k][s + x]}
+            for (r, shift), starts in lines.items():
+                place = {s + x for s in starts for x in range(self.size[k]) if self.slots[k][r][s + x]}
                 maps: dict[tuple, set] = defaultdict(set)
                 for s in place:
-                    maps[int(self.slots[k][s]), self.tokens[k][s]].add(found[places[s + shift]].lower())
+                    maps[int(self.slots[k][r][s]), self.tokens[k][s]].add(found[places[s + shift]].lower())
                 if all(len(v) == 1 for v in maps.values()):
                     covered.update(starts)
                     used |= place
                     exact &= all({word} == v for (_, word), v in maps.items())
-            if covered and (len(covered) >= least or len(covered) >= coverage * self.totals[k]):
+            if covered and (sum(not self.dense[k][s] for s in covered) >= least or len(covered) >= coverage * self.totals[k]):
+                told.add(k)
                 yield self.ids[k], len(covered), self.totals[k], len(used), exact
+        copies: dict[int, set[int]] = defaultdict(set)
+        for size in self.verbatim.sizes:
+            for k, at, _ in self.verbatim.find(windows(t.plain, size)):
+                if self.plain_size[k] == size and k not in told:
+                    copies[k].add(at)
+        for k, covered in copies.items():
+            if len(covered) >= coverage * self.plain_totals[k]:
+                yield self.ids[k], len(covered), self.plain_totals[k], 0, True
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, literals: int = 4, least: int = 3, coverage: float = 0.5, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row per document and benchmark item that it contains: doc_id, item_id, n_windows, item_windows, coverage, n_slots, exact.
 
-    A window is size template tokens, literals of them no placeholders; an item of fewer tokens is one window, and one
-    of fewer than literals tokens matches nothing. On each alignment of item and document every slot value of the item
-    must stand for a single value in the document, else its windows don't count. The document contains the item if
-    least windows or the share coverage of the item's windows match; exact: all slot values are the item's own.
+    A window is size template tokens, literals of them no placeholders; an item of fewer tokens is one window. On each
+    alignment of item and document every slot value of the item must stand for a single value in the document, else its
+    windows don't count. The document contains the item if least windows or the share coverage of the item's windows
+    match; exact: all slot values are the item's own. Windows with characters of a script without spaces count for the
+    share alone.
+
+    The document also contains the item if the share coverage of the windows of its plain tokens match, signs and numbers
+    included; an item of fewer than size tokens is one window, however short, so an item of one word is in every document
+    with that word. Such rows count plain windows, have no slots and are exact. An item without any token (punctuation
+    alone) matches nothing.
 
     Null and empty texts match nothing; a null doc_id or item_id is returned as null; repeated rows give repeated rows
     of documents, and repeated items are matched once each. Other columns are ignored; empty tables give an empty result.
@@ -162,8 +226,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_of(item_text_col).alias("text"))
-    n_chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = 1 + int(n_chars) // (2 * max_windows)  # a token and the gap after it take two characters at least
+    # Each run of letters or digits counts as one token, and so does every other character; characters of scripts without
+    # spaces stay apart. A token begins three windows at most.
+    shortened = F.regexp_replace("text", rf"[\p{{L}}&&[^{_JAVA_UNSPACED}]]+|[0-9]+", "x")
+    n_tokens = items.agg(F.sum(F.length(F.regexp_replace(shortened, r"[ \t\r]+", "")))).first()[0] or 0
+    passes = 1 + 3 * int(n_tokens) // max_windows
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     result = None
     for k in range(passes):

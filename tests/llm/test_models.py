@@ -133,3 +133,13 @@ def test_decontamination_finds_planted_passages(spark, sample):
     items = [(r.item_id, r.text) for r in bench.collect()]
     want = {(r.doc_id, i) for r in sample.collect() for i, t in items if t in (r.text or "")}
     assert want <= {(r.doc_id, r.item_id) for r in D.contaminated(sample, bench).collect()}
+
+
+def test_decontamination_finds_short_and_plain_items(spark, make):
+    items = ["What is 17 + 25 - 8 * 3?", "What is the capital of France?", "法國的首都是哪一座城市？", "Who wrote Hamlet?", "Which river flows through the old town of Geneva in Switzerland?", "2 + 2 = 4", "..."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    pairs = [(k, f"Some words here. Question: {t} Answer below.") for k, t in enumerate(items)]
+    pairs += [(10, 'He asked:"What is the capital of Spain?"'), (11, "Which river flows through the old town of\nVienna in Austria?"), (12, "我問：法國的首都是哪一座城市？你說。"), (13, "What is 17 + 25 + 8 * 3?"), (14, "法國的首都很大，哪一座城市是首都？"), (15, "2 + 2 = 5")]
+    for passes in (D.MAX_WINDOWS, 20):
+        got = {(r.doc_id, r.item_id, r.exact) for r in D.contaminated(make(pairs), bench, max_windows=passes).collect()}
+        assert got == {(k, k, True) for k in range(6)} | {(10, 1, False), (11, 4, False), (12, 2, True)}
