@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -254,11 +254,20 @@ def segment_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FORMS = ["exact", "whitespace", "caseless", "folded", "fabricated"]
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their last line of some length."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.try_element_at(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) >= 12), F.lit(-1)).alias("line")).filter("line is not null")
+
+
+def _made_up(line: Column) -> Column:
+    return F.concat(F.lit("zzqx "), line, F.lit(" qqzx zzqq"))
+
+
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One quote per document, from its second line on where there is one: as it is, spaced out, in capitals, punctuated, made up."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.try_element_at(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) >= 12), F.lit(-1)).alias("line")).filter("line is not null")
+    d = _lines(spark, sf_dir)
     line, form = F.trim("line"), F.pmod(F.col("doc_id"), F.lit(5)).cast("int")
-    quotes = [line, F.regexp_replace(line, " ", "   "), F.upper(line), F.regexp_replace(line, " ", " - "), F.concat(F.lit("zzqx "), line, F.lit(" qqzx zzqq"))]
+    quotes = [line, F.regexp_replace(line, " ", "   "), F.upper(line), F.regexp_replace(line, " ", " - "), _made_up(line)]
     return d.select("doc_id", "text", form.alias("form"), F.element_at(F.array(*quotes), form + 1).alias("quote"))
 
 
@@ -278,6 +287,15 @@ def ground_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("l.start").alias("char_start"), F.col("l.end").alias("char_end"))
 
 
+@query("""
+WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 12)[-1] AS line FROM documents)
+SELECT doc_id, instr(text, trim(line)) - 1 AS char_start, instr(text, trim(line)) - 1 + length(trim(line)) AS char_end FROM l WHERE line IS NOT NULL""")
+def ground_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the unaltered quote of every document that has one is."""
+    rows = _lines(spark, sf_dir).select("doc_id", grounding.locate("text", F.trim("line")).alias("l"))
+    return rows.select("doc_id", F.col("l.start").alias("char_start"), F.col("l.end").alias("char_end"))
+
+
 # ---- claims, blocks, verdicts --------------------------------------------------------------------------------------
 
 _WITH = "WITH " + star.FACTS_SQL
@@ -434,6 +452,14 @@ def quarantine_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.grounding_rate(rows.filter("l is not null"), rows.filter("l is null")).select("document_id", "kept", "rejected")
 
 
+@query("SELECT source AS document_id, count(*) AS kept, count(*) AS rejected FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 12)[-1] AS line FROM documents) WHERE line IS NOT NULL GROUP BY source")
+def quarantine_rate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact and a made-up quote of every document that has one, grounded and counted by source."""
+    quotes = F.explode(F.array(F.trim("line"), _made_up(F.trim("line")))).alias("quote")
+    rows = _lines(spark, sf_dir).select(F.col("source").alias("document_id"), "text", quotes).select("document_id", grounding.locate("text", "quote").alias("l"))
+    return store.grounding_rate(rows.filter("l is not null"), rows.filter("l is null")).select("document_id", "kept", "rejected")
+
+
 # ---- registry ------------------------------------------------------------------------------------------------------
 
 

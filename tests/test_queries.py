@@ -49,6 +49,15 @@ def test_quotes_are_where_they_are_said_to_be(spark):
     assert {m for _, m in by["folded"]} <= {"exact", "folded", "scattered"}
 
 
+def test_every_document_is_grounded(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    lines = {d: [x.strip(" ") for x in (t or "").split("\n") if len(x.strip(" ")) >= 12] for d, t in texts.items()}
+    rows = core.QUERIES["ground_exact_all"](spark, SF).collect()
+    assert {r.doc_id: texts[r.doc_id][r.char_start : r.char_end] for r in rows} == {d: x[-1] for d, x in lines.items() if x}
+    rates = core.QUERIES["quarantine_rate_all"](spark, SF).collect()
+    assert sum(r.kept for r in rates) == sum(r.rejected for r in rates) == len(rows)
+
+
 def test_units_lie_in_their_pages(spark):
     pages = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for u in core.QUERIES["segment_units"](spark, SF).collect():
