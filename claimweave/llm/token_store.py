@@ -1,14 +1,17 @@
 """Token-id shards, compressed by an adaptive context-mixing range coder.
 
 File format: a Parquet table whose rows are segments, each of whole documents in ascending doc_id order: shard, segment,
-doc_ids, lengths, and a payload of independently reset blocks. A block codes BLOCK ids: the ids last seen after the same
-two ids and after the same id are its order-2 and order-1 predictions, the ids seen so far in the block its order-0
-prediction. Adaptive frequencies of which prediction holds, mixed over two contexts, drive the range coder.
+doc_ids, lengths, and a payload of independently reset, checksummed blocks.
 
-    payload  b"CWT1", uint32 ids, uint32 blocks, then per block uint32 bytes and uint32 crc32 of its ids, then the
-             bytes of all blocks
+    payload  b"CWT2", uint32 ids, uint32 ids a block, uint32 blocks, uint8 whether ids exceed 16 bits, then per block
+             uint32 bytes and uint32 crc32 of its ids, then the bytes of all blocks
 
-Blocks of a segment are coded in step with each other, one numpy lane per block.
+Within a block three predictions meet: order 2, the id last seen behind the same two ids; order 1, the id last seen
+behind the same id; order 0, all ids seen so far by how often they occurred. An id is coded as a symbol: order 2 holds,
+order 1 holds, new in the block, or one of a row of frequency levels that order 0 sorts its ids into. Adaptive
+frequencies of the symbols, mixed over how well order 2 did here and over the symbol before, drive the range coder; the
+place within a level, or a new id itself, follows. Blocks of a segment are coded in step with each other, one numpy lane
+per block.
 """
 
 from __future__ import annotations
@@ -28,198 +31,309 @@ from pyspark.sql.window import Window
 
 from .common import save, text_of
 
-MAGIC = b"CWT1"
-BLOCK = 2048
+MAGIC = b"CWT2"
+#: Ids of a block: longer ones compress better, shorter ones are coded faster.
+BLOCK = 8192
 #: Ids of a segment at which it is closed; a longer document is a segment of its own.
 SEGMENT = 1 << 22
-HASH_BITS = 9
-LIMIT = 1 << 11
-LITERALS = 1 << 16
-_TOP, _BOTTOM, _SHIFT = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
+#: New ids are written as 16 bits, or as 32 where a segment has larger ones.
+WORD = 1 << 16
+#: Symbols are coded as a group and a member of it. Symbols 0 and 1: the order-2 and order-1 id; 2: new; then the levels.
+GROUP = 7
+ALPHABET = GROUP * GROUP
+#: Sum at which a frequency table is halved.
+LIMIT = 1 << 10
 _U = np.uint64
+_HEAD = "<4sIIIB"
+_HEAD_BYTES = struct.calcsize(_HEAD)
+_BOTTOM, _LEAD, _BITS = _U(1 << 48), _U(48), _U(16)
+_HI, _LO = np.divmod(np.arange(ALPHABET), GROUP)
+_FAITH = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int32)
+
+
+def _step(size: int) -> np.ndarray:
+    """Row k: what a frequency table's ends gain when symbol k occurs."""
+    return np.triu(np.full((GROUP, 8), size, np.uint16), 1)
+
+
+_STEPS = _step(24), _step(8), _step(24)
+_ROW = np.where(np.arange(GROUP)[:, None] == 0, GROUP + np.arange(8), np.arange(GROUP)[:, None]).reshape(-1)
+
+
+def _symbols(block: int) -> np.ndarray:
+    """The symbol of an id that occurred so many times: levels of one count each, then wider by a quarter each."""
+    symbol, k, least = np.full(block + 2, 2), 2, 1.0
+    while least <= block:
+        k = min(k + 1, ALPHABET - 1)
+        symbol[int(least) :] = k
+        least = max(least + 1, least * 1.25)
+    return symbol
 
 
 class _Model:
-    """What the blocks of a segment have seen: both coder and decoder keep one."""
-
-    def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.two = np.full(lanes << HASH_BITS, -1, np.int32)
-        self.one = np.full(lanes << HASH_BITS, -1, np.int32)
-        self.trust = np.zeros(lanes << HASH_BITS, np.int8)
-        # Frequencies of the events in two contexts, with their sums: what is predicted and how it fared; the event before.
-        self.contexts = []
-        for states, first, step in ((16, [2, 2, 8, 8], 24), (4, [1, 1, 4, 4], 8)):
-            rates = np.tile(np.array(first, np.int32), (lanes * states, 1))
-            self.contexts.append((rates, rates.reshape(-1), np.full(lanes * states, sum(first), np.int32), step))
-        self.before = np.zeros(lanes, np.int64)
-        self.prior = np.zeros(lanes, np.int64)
-        self.event = np.full(lanes, 3)
-        self.base = self.lane.astype(np.int64) << HASH_BITS
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order-2 id, order-1 id (-1: none), and where the shares of the four events begin, with their total last."""
-        mask = (1 << HASH_BITS) - 1
-        hot = self.before * 0x9E3779B1
-        self.h2 = self.base + (((hot + self.prior * 0x85EBCA6B) >> 15) & mask)
-        self.h1 = self.base + ((hot >> 11) & mask)
-        p2, p1, self.faith = self.two.take(self.h2), self.one.take(self.h1), self.trust.take(self.h2)
-        self.rows = self.lane * 16 + self.faith * 4 + (p2 >= 0) * 2 + (p1 >= 0), self.lane * 4 + self.event
-        rates = self.contexts[0][0].take(self.rows[0], 0) + self.contexts[1][0].take(self.rows[1], 0)
-        ends = np.zeros((5, len(self.lane)), np.int64)
-        for k in range(4):
-            np.add(ends[k], rates[:, k], out=ends[k + 1])
-        return p2, p1, ends
-
-    def share(self, ends: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size of each lane's event."""
-        at = event * len(self.lane) + self.lane
-        flat = ends.reshape(-1)
-        low = flat.take(at)
-        return low.astype(_U), (flat.take(at + len(self.lane)) - low).astype(_U)
-
-    def update(self, ids: np.ndarray, event: np.ndarray, p2: np.ndarray) -> None:
-        for (rates, flat, total, step), row in zip(self.contexts, self.rows):
-            flat[row * 4 + event] += step
-            total[row] += step
-            full = row[total.take(row) > LIMIT]
-            if len(full):
-                rates[full] = (rates[full] >> 1) | 1
-                total[full] = rates[full].sum(1)
-        self.trust[self.h2] = np.where(p2 == ids, np.minimum(self.faith + 1, 3), self.faith >> 1)
-        self.two[self.h2] = ids
-        self.one[self.h1] = ids
-        self.prior, self.before, self.event = self.before, ids, event
-
-
-def _settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Widths of lanes that are renewed: one whose leading word isn't settled yet is cut off at the next carry."""
-    tight = (low ^ (low + width)) >= _TOP
-    return np.where(tight, (~low + _U(1)) & (_BOTTOM - _U(1)), width)
-
-
-def _first_seen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each id of a block: the number that it got when first seen in the block, and whether this is that time."""
+    """What the blocks of a segment have seen: coder and decoder each keep one. Ids go by the number that they got when first seen in the block."""
+
+    def __init__(self, lanes: int, block: int) -> None:
+        lane = np.arange(lanes)
+        self.bits = max(4, int(block - 1).bit_length())
+        self.base, self.base2, self.base_s, self.base8 = lane * block, lane << self.bits, lane * ALPHABET, lane * 8
+        # Predicted numbers plus one, 0: none; those of order 2 with two bits that say how well they did.
+        self.one, self.two = np.zeros(lanes * block, np.int32), np.zeros(lanes << self.bits, np.int32)
+        # Order 0: occurrences of each number, all numbers by falling level, and where in that row each level begins.
+        self.counts = np.zeros(lanes * block, np.int32)
+        self.order = np.tile(np.arange(block, dtype=np.int32), lanes)
+        self.symbol = _symbols(block)
+        self.rises = np.append(np.diff(self.symbol) > 0, False)
+        self.first = np.zeros(lanes * ALPHABET, np.int64)
+        self.sizes = np.tile(np.array([1, 1, WORD] + [0] * (ALPHABET - 3), np.int64), lanes)
+        # Frequency tables of groups by context and by group before, and of members, as running sums of seven shares.
+        even = np.arange(8, dtype=np.uint16)
+        self.ends = [np.tile(even * np.uint16(w), (lanes * rows, 1)) for rows, w in ((8, 2), (GROUP, 1), (GROUP + 8, 2))]
+        self.rows = [e.view(np.complex128)[:, 0] for e in self.ends]
+        self.at = lane * 8, lane * GROUP, lane * (GROUP + 8)
+        self.prior = self.before = self.group = np.zeros(lanes, np.int64)
+        self.hot = np.zeros(lanes, np.int64)
+        self.t = 0
+
+    def predict(self) -> np.ndarray:
+        """Ends of the groups' shares, eight numbers a lane; sets the predicted numbers."""
+        h = self.hot + self.prior * 0x85EBCA6B
+        h >>= 15
+        h &= (1 << self.bits) - 1
+        h += self.base2
+        self.h1, self.h2 = self.base + self.before, h
+        v = self.two.take(h)
+        self.by1, self.by2, self.faith = self.one.take(self.h1), v >> 2, v & 3
+        self.context = self.faith + ((self.by1 == self.by2) << 2)
+        self.row_a, self.row_b = self.at[0] + self.context, self.at[1] + self.group
+        self.a, self.b = self.rows[0].take(self.row_a).view(np.uint16), self.rows[1].take(self.row_b).view(np.uint16)
+        return self.a + self.b
+
+    def detail(self, hi: np.ndarray) -> np.ndarray:
+        """Ends of the shares of the group's members."""
+        self.row_c = self.at[2] + _ROW.take(hi * 8 + self.context)
+        self.c = self.rows[2].take(self.row_c).view(np.uint16)
+        return self.c
+
+    def update(self, n1: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> None:
+        for rows, row, now, step, k in zip(self.rows, (self.row_a, self.row_b, self.row_c), (self.a, self.b, self.c), _STEPS, (hi, hi, lo)):
+            now += step.take(k, 0).reshape(-1)
+            rows[row] = now.view(np.complex128)
+        self.t += 1
+        if not self.t & 31:
+            for e in self.ends:
+                full = (e[:, 7] > LIMIT).nonzero()[0]
+                if len(full):
+                    e[full, 1:] = np.cumsum((np.diff(e[full]) >> 1) + 1, 1)
+        n32 = n1.astype(np.int32)
+        self.two[self.h2] = (n32 << 2) + _FAITH.take((self.faith << 1) + (self.by2 == n32))
+        self.one[self.h1] = n32
+        number = n1 - 1
+        self.prior, self.before, self.group = self.before, number, hi
+        self.hot = number * 0x9E3779B1
+
+    def rise(self, number: np.ndarray, a: np.ndarray, p: np.ndarray, f: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Move numbers at places p up a level, which ends where theirs begins, at a; returns the numbers that they change places with."""
+        self.first[f] = a + 1
+        self.sizes[f] -= 1
+        self.sizes[f + 1] += 1
+        self.sizes[2::ALPHABET] = WORD
+        at = base + a
+        other = self.order.take(at)
+        self.order[base + p] = other
+        self.order[at] = number.astype(np.int32)
+        return other
+
+
+def _first_seen(ids: np.ndarray) -> np.ndarray:
+    """The number that each id of a block got when first seen in it."""
     _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
     number = np.empty(len(first), np.int64)
     number[np.argsort(first, kind="stable")] = np.arange(len(first))
-    new = np.zeros(len(ids), bool)
-    new[first] = True
-    return number[inverse], new
+    return number[inverse]
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The payload of ids below 65,536."""
+    """The payload of ids below 2**32."""
+    ids = np.asarray(ids).astype(np.int64)
     blocks = -(-len(ids) // block)
-    # The last block may be shorter; lanes are ordered so that those still running are a prefix.
-    parts = [ids[k * block : (k + 1) * block].astype(np.int64) for k in range(blocks)]
-    if any((p >= LITERALS).any() for p in parts):
-        raise ValueError(f"ids must be below {LITERALS}")
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 2**32:
+        raise ValueError("ids must be below 2**32")
+    parts = [ids[k * block : (k + 1) * block] for k in range(blocks)]
     steps = min(block, len(ids))
-    lanes_ids = np.zeros((steps, blocks), np.int64)
-    number, fresh = np.zeros((steps, blocks), np.int64), np.zeros((steps, blocks), bool)
+    wide = bool(len(ids)) and int(ids.max()) >= WORD
+    numbers, literals = np.zeros((steps, blocks), np.int64), np.zeros((steps, blocks), np.int64)
     for k, p in enumerate(parts):
-        lanes_ids[: len(p), k] = p
-        number[: len(p), k], fresh[: len(p), k] = _first_seen(p)
-    model = _Model(blocks)
+        numbers[: len(p), k], literals[: len(p), k] = _first_seen(p), p
+    # The last block may be shorter: its lane runs on with zeros.
+    m = _Model(blocks, steps)
     low, width = np.zeros(blocks, _U), np.full(blocks, 2**64 - 1, _U)
-    columns = 2 * steps + 8
-    out = np.zeros((blocks, columns), np.uint16)
-    flat = out.reshape(-1)
-    used, distinct = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-    for t in range(steps):
-        now, new = lanes_ids[t], fresh[t]
-        p2, p1, ends = model.predict()
-        event = np.where(p2 == now, 0, np.where(p1 == now, 1, np.where(new, 3, 2)))
-        begin, own = model.share(ends, event)
-        width //= ends[4].astype(_U)
-        low += begin * width
-        width *= own
-        deep = np.flatnonzero(event >= 2)
-        if len(deep):
-            e = event[deep]
-            size = np.where(e == 2, distinct[deep], LITERALS).astype(_U)
-            part = width[deep] // size
-            low[deep] += np.where(e == 2, number[t, deep], now[deep]).astype(_U) * part
-            width[deep] = part
-        go = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
+    columns = 4 * steps + 8
+    flat = np.zeros(blocks * columns, np.uint16)
+    used = np.arange(blocks) * columns
+    place = m.order.copy()
+
+    def renew() -> None:
+        go = (width < _BOTTOM).nonzero()[0]
         while len(go):
-            x, w = low.take(go), _settled(low.take(go), width.take(go))
-            at = used.take(go)
-            flat[go * columns + at] = x >> _TOP_SHIFT
+            x, w, at = low.take(go), width.take(go), used.take(go)
+            flat[at] = x >> _LEAD
             used[go] = at + 1
-            x, w = x << _SHIFT, w << _SHIFT
+            x <<= _BITS
+            w <<= _BITS
             low[go], width[go] = x, w
-            go = go[((x ^ (x + w)) < _TOP) | (w < _BOTTOM)]
-        model.update(now, event, p2)
-        distinct += new
+            go = go[w < _BOTTOM]
+
+    def narrow(ends: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Take symbol k's share of the width; returns how far its lower end lies."""
+        at = m.base8 + k
+        begin = ends.take(at).astype(_U)
+        share = ends.take(at + 1).astype(_U) - begin
+        np.floor_divide(width, ends[7::8].astype(_U), out=width)
+        begin *= width
+        np.multiply(width, share, out=width)
+        return begin
+
+    def forward(gain: np.ndarray) -> None:
+        """Move the lower ends; a carry goes into what is written already."""
+        np.add(low, gain, out=low)
+        back = used.take((low < gain).nonzero()[0])
+        while len(back):
+            back -= 1
+            flat[back] += np.uint16(1)
+            back = back[flat.take(back) == 0]
+
+    for t in range(steps):
+        now = numbers[t]
+        own, n1 = m.base + now, now + 1
+        ends = m.predict()
+        count = m.counts.take(own)
+        symbol = m.symbol.take(count)
+        np.putmask(symbol, m.by1 == n1, 1)
+        np.putmask(symbol, m.by2 == n1, 0)
+        hi, lo = _HI.take(symbol), _LO.take(symbol)
+        gain = narrow(ends, hi)
+        gain += narrow(m.detail(hi), lo)
+        f = m.base_s + symbol
+        a, p = m.first.take(f), place.take(own)
+        offset = p - a
+        deep, fresh = symbol >= 2, symbol == 2
+        if wide:
+            width >>= np.where(fresh, _BITS, _U(0))
+            gain += np.where(fresh, literals[t] >> 16, 0).astype(_U) * width
+            forward(gain)
+            renew()
+            gain = _U(0)
+        np.putmask(offset, fresh, literals[t] & (WORD - 1))
+        offset *= deep
+        width //= m.sizes.take(f).view(_U)
+        gain += offset.view(_U) * width
+        forward(gain)
+        m.counts[own] = count + deep
+        up = (m.rises.take(count) & deep).nonzero()[0]
+        if len(up):
+            a, p, base, number = a.take(up), p.take(up), m.base.take(up), now.take(up)
+            other = m.rise(number, a, p, f.take(up), base)
+            place[base + other] = p
+            place[base + number] = a.astype(np.int32)
+        renew()
+        m.update(n1, hi, lo)
     for _ in range(4):
-        out[model.lane, used] = low >> _TOP_SHIFT
+        flat[used] = low >> _LEAD
         used += 1
-        low <<= _SHIFT
-    head = struct.pack("<4sII", MAGIC, len(ids), blocks)
-    sums = np.array([(2 * n, crc32(p.astype("<u4").tobytes())) for n, p in zip(used.tolist(), parts)], "<u4")
-    return head + sums.tobytes() + b"".join(out[k, :n].tobytes() for k, n in enumerate(used.tolist()))
-
-
-_TOP_SHIFT = _U(48)
+        low <<= _BITS
+    size = (used - np.arange(blocks) * columns).tolist()
+    head = struct.pack(_HEAD, MAGIC, len(ids), block, blocks, wide)
+    sums = np.array([(2 * n, crc32(p.astype("<u4").tobytes())) for n, p in zip(size, parts)], "<u4")
+    return head + sums.tobytes() + b"".join(flat[k * columns : k * columns + n].tobytes() for k, n in enumerate(size))
 
 
-def decode(payload: bytes, block: int = BLOCK) -> np.ndarray:
+@np.errstate(divide="ignore")
+def decode(payload: bytes) -> np.ndarray:
     """The ids of a payload; a block whose checksum is wrong raises ValueError."""
-    magic, total, blocks = struct.unpack_from("<4sII", payload)
+    magic, total, block, blocks, wide = struct.unpack_from(_HEAD, payload)
     if magic != MAGIC:
         raise ValueError("not a token payload")
-    sums = np.frombuffer(payload, "<u4", 2 * blocks, 12).reshape(blocks, 2)
+    sums = np.frombuffer(payload, "<u4", 2 * blocks, _HEAD_BYTES).reshape(blocks, 2)
     if not blocks:
         return np.empty(0, np.uint32)
     size = sums[:, 0].astype(np.int64) // 2
-    words = np.frombuffer(payload, np.uint16, int(size.sum()), 12 + 8 * blocks)
+    words = np.frombuffer(payload, np.uint16, int(size.sum()), _HEAD_BYTES + 8 * blocks)
     words = np.concatenate([words, np.zeros(8, np.uint16)])
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    last = len(words) - 1
     steps = min(block, total)
-    model = _Model(blocks)
-    low, width, code = np.zeros(blocks, _U), np.full(blocks, 2**64 - 1, _U), np.zeros(blocks, _U)
+    m = _Model(blocks, steps)
+    # code is what the words hold above the lower end.
+    width, code = np.full(blocks, 2**64 - 1, _U), np.zeros(blocks, _U)
     for _ in range(4):
-        code = (code << _SHIFT) | words[at].astype(_U)
+        code = (code << _BITS) | words[at].astype(_U)
         at += 1
-    seen = np.zeros((blocks, steps), np.int32)
-    distinct = np.zeros(blocks, np.int64)
-    ids = np.zeros((steps, blocks), np.uint32)
-    for t in range(steps):
-        p2, p1, ends = model.predict()
-        width //= ends[4].astype(_U)
-        value = ((code - low) // width).astype(np.int64)
-        event = (value >= ends[1]) + (value >= ends[2]).astype(np.int64) + (value >= ends[3])
-        begin, own = model.share(ends, event)
-        low += begin * width
-        width *= own
-        now = np.where(event == 0, p2, p1).astype(np.int64)
-        new = event == 3
-        deep = np.flatnonzero(event >= 2)
-        if len(deep):
-            e = event[deep]
-            most = np.where(e == 2, np.maximum(distinct[deep], 1), LITERALS)
-            part = width[deep] // most.astype(_U)
-            k = np.minimum(((code[deep] - low[deep]) // np.maximum(part, _U(1))).astype(np.int64), most - 1)
-            low[deep] += k.astype(_U) * part
-            width[deep] = part
-            now[deep] = np.where(e == 2, seen[deep, np.minimum(k, steps - 1)], k)
-        go = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
+
+    def renew() -> None:
+        go = (width < _BOTTOM).nonzero()[0]
         while len(go):
-            x, w = low.take(go), _settled(low.take(go), width.take(go))
-            here = at.take(go)
-            code[go] = (code.take(go) << _SHIFT) | words.take(np.minimum(here, last)).astype(_U)
+            here, w = at.take(go), width.take(go)
+            if not w.all():
+                raise ValueError("damaged payload")
+            w <<= _BITS
+            code[go] = (code.take(go) << _BITS) | words.take(here, mode="clip")
             at[go] = here + 1
-            x, w = x << _SHIFT, w << _SHIFT
-            low[go], width[go] = x, w
-            go = go[((x ^ (x + w)) < _TOP) | (w < _BOTTOM)]
-        ids[t] = now
-        fresh = np.flatnonzero(new)
-        seen[fresh, distinct[fresh]] = now[fresh]
-        distinct[fresh] += 1
-        model.update(now, event, p2)
+            width[go] = w
+            go = go[w < _BOTTOM]
+
+    ones = _U(0x0101010101010101)
+
+    def find(ends: np.ndarray) -> np.ndarray:
+        """The symbol whose share holds the code."""
+        np.floor_divide(width, ends[7::8].astype(_U), out=width)
+        value = (code // width).astype(np.uint16)
+        k = (((ends.reshape(-1, 8) <= value[:, None]).view(_U)[:, 0] * ones) >> _U(56)).view(np.int64)
+        k -= 1
+        here = m.base8 + k
+        begin = ends.take(here).astype(_U)
+        share = ends.take(here + 1).astype(_U) - begin
+        np.subtract(code, begin * width, out=code)
+        np.multiply(width, share, out=width)
+        return k
+
+    seen = np.zeros(blocks * steps, np.uint32)
+    ids = np.zeros((steps, blocks), np.uint32)
+    for t in range(steps):
+        hi = find(m.predict())
+        lo = find(m.detail(hi))
+        symbol = hi * GROUP + lo
+        f = m.base_s + symbol
+        a = m.first.take(f)
+        deep, fresh = symbol >= 2, symbol == 2
+        new = fresh.nonzero()[0]
+        high = _U(0)
+        if wide:
+            width >>= np.where(fresh, _BITS, _U(0))
+            high = code // width * fresh
+            code -= high * width
+            high = high.take(new) << _BITS
+            renew()
+        width //= m.sizes.take(f).view(_U)
+        k = code // width
+        code -= k * width
+        k = k.view(np.int64)
+        p = a + k
+        p[new] = a.take(new)
+        p *= deep
+        number = m.order.take(m.base + p, mode="clip")  # a damaged payload may point anywhere; its checksum tells
+        np.putmask(number, symbol == 0, m.by2 - 1)
+        np.putmask(number, symbol == 1, m.by1 - 1)
+        number = np.maximum(number, 0).astype(np.int64)
+        own = m.base + number
+        seen[own.take(new)] = k.view(_U).take(new) + high
+        ids[t] = seen.take(own)
+        count = m.counts.take(own)
+        m.counts[own] = count + deep
+        up = (m.rises.take(count) & deep).nonzero()[0]
+        if len(up):
+            m.rise(number.take(up), a.take(up), p.take(up), f.take(up), m.base.take(up))
+        renew()
+        m.update(number + 1, hi, lo)
     out = np.ascontiguousarray(ids.T)
     parts = [out[k, : min(block, total - k * block)] for k in range(blocks)]
     for k, p in enumerate(parts):
@@ -228,57 +342,59 @@ def decode(payload: bytes, block: int = BLOCK) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _latin_pattern() -> tuple[str, str]:
-    """The vocabulary's word pattern with its classes spelled out for characters below U+0300, and white space."""
+def _latin_pattern() -> str:
+    """The vocabulary's word pattern with its classes spelled out for characters below U+0300."""
     kinds: dict[str, list[str]] = {"L": [], "N": []}
     for k in range(0x300):
         kind = unicodedata.category(chr(k))[0]
         if kind in kinds:
             kinds[kind].append(re.escape(chr(k)))
     letters, digits, white = "".join(kinds["L"]), "".join(kinds["N"]), "\t-\r \x85\xa0"
-    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{white}{letters}{digits}]+", white
+    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{white}{letters}{digits}]+"
+
+
+#: Characters below U+0300 whose lower case isn't one character below U+0300.
+_GROWING = "".join(c for c in map(chr, range(0x300)) if len(c.lower()) > 1 or c.lower() >= "\u0300")
+#: Text that only the library itself handles: those, marks and scripts from U+0300 on, and what may be a special token.
+_OTHER = re.compile(f"[{_GROWING}\u0300-\U0010ffff]|<\\|")
+
+
+class _Words(dict):
+    """Word -> bytes of its ids by the library's model, remembered up to a bound."""
+
+    def __init__(self, model, most: int) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
+        self.tokens, self.most = model.tokenize, most
+        self.spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
-#: Text that only the library itself handles: combining marks and beyond, İ, whose lower case has two characters, and
-#: what may be a special token.
-_OTHER = re.compile("[İ̀-\U0010ffff]|<\\|")
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+        ids = [t.id for t in self.tokens(word if word.isascii() and word.isprintable() else self.spelled(word)[0][0])]
+        self[word] = found = struct.pack(f"={len(ids)}H", *ids)
+        return found
 
 
 class WordEncoder:
     """Ids of whole texts as tokenizers gives them for word_bpe_49k.json without added special tokens.
 
-    Ids of a word don't depend on its neighbours, so words are looked up and only new ones are encoded.
+    Ids of a word don't depend on its neighbours, so the library's model is asked once for each word. Splitting at words
+    is done here for texts below U+0300, where the library's normal form is lower case alone; other texts go to it whole.
     """
 
     def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = re.compile(_latin_pattern()[0])
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        self.words = re.compile(_latin_pattern())
+        self.known = _Words(self.library.model, most)
 
     def __call__(self, text: str) -> np.ndarray:
         if _OTHER.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
-        found, known = self.words.findall(text.lower()), self.known
-        new = set(found).difference(known)
-        if new:
-            if len(known) > self.most:
-                known.clear()
-                new = set(found)
-            self._learn(list(new))
-        return np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint16)
-
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new words as one text with spaces between them; each is a word of it."""
-        e = self.library.encode(" ".join(new), add_special_tokens=False)
-        ids, ends = np.array(e.ids, np.uint16), np.searchsorted(np.array(e.word_ids), np.arange(len(new)), "right")
-        if ends[-1] != len(ids) or (np.diff(ends, prepend=0) <= 0).any():
-            raise ValueError("words don't stay apart")
-        for word, a, b in zip(new, [0, *ends.tolist()], ends.tolist()):
-            self.known[word] = ids[a:b].tobytes()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.words.findall(text.lower()))), np.uint16)
 
 
 @lru_cache(1)
@@ -323,7 +439,7 @@ def write_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """Encode docs into segments in ascending doc_id order, write them and return the written table.
 
     Null counts as empty and is the end id alone; rows with a null doc_id come first; rows that repeat a doc_id are
-    ordered by text and written each. Other columns are ignored; an empty table gives no segments. Ranges of doc_id
+    ordered by a hash of their text and written each. Other columns are ignored; an empty table gives no segments. Ranges of doc_id
     make the shards, so no task holds more than its range; equal doc_ids beyond that are told apart by their text.
     """
     if path is None:
@@ -336,7 +452,7 @@ def write_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     return save(ordered.mapInArrow(_segments(path, end_id, block, segment), _SEGMENTS), "token-shards")
 
 
-def read_shards(segments: DataFrame, with_ids: bool = False, block: int = BLOCK) -> DataFrame:
+def read_shards(segments: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per document of the segments: doc_id, start, n_tokens, ids_crc32, and ids (binary) if asked for.
 
     start is the number of ids of all documents before it.
@@ -347,7 +463,7 @@ def read_shards(segments: DataFrame, with_ids: bool = False, block: int = BLOCK)
         for batch in batches:
             for r in range(batch.num_rows):
                 doc_ids, lengths, before, payload = (batch.column(k)[r].as_py() for k in range(4))
-                ids, at, out = decode(payload, block).astype("<u4"), 0, []
+                ids, at, out = decode(payload).astype("<u4"), 0, []
                 for doc_id, n in zip(doc_ids, lengths):
                     own = ids[at : at + n].tobytes()
                     out.append((doc_id, before + at, n, crc32(own), own)[: len(schema)])

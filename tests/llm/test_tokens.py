@@ -89,7 +89,7 @@ def test_packing(make):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 65_535), min_size=1, max_size=200), st.integers(1, 30))
 def test_coder_round_trip(ids, block):
-    assert S.decode(S.encode(np.array(ids), block), block).tolist() == ids
+    assert S.decode(S.encode(np.array(ids), block)).tolist() == ids
 
 
 def test_coder_compresses_and_checks():
@@ -102,8 +102,17 @@ def test_coder_compresses_and_checks():
     bad[-20] ^= 255
     with pytest.raises(ValueError):
         S.decode(bytes(bad))
+    wide = np.array([70_000, 5, 2**32 - 1, 70_000, 1 << 31, 5, 5, 5])
+    assert (S.decode(S.encode(wide, 3)) == wide).all() and len(S.decode(S.encode(wide[:0]))) == 0
     with pytest.raises(ValueError):
-        S.encode(np.array([70_000]))
+        S.encode(np.array([2**32]))
+
+
+def test_coder_beats_plain_frequencies(sample):
+    words = S.WordEncoder(path("word_bpe_49k.json"))
+    ids = np.concatenate([words(r.text or "") for r in sample.orderBy("doc_id").collect()])
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert len(S.encode(ids)) * 8 / len(ids) < -(share * np.log2(share)).sum() + 0.1  # without the cost of a table
 
 
 def test_words_agree_with_the_library():
@@ -113,6 +122,16 @@ def test_words_agree_with_the_library():
         assert words(text).tolist() == words.library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_below_the_marks():
+    words = S.WordEncoder(path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    texts = [a + chr(k) + b for k in range(0x300) for a, b in (("a", "b"), ("a ", " b"), ("'", "s"), ("1", "2"))]
+    texts += ["".join(chr(rng.randrange(0x300)) for _ in range(60)) for _ in range(300)]
+    texts += ["".join(rng.choices("aȺȾİb'sS1 .,\u0301é", k=40)) for _ in range(300)]
+    for text in texts:
+        assert words(text).tolist() == words.library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_shards(make):
     from tokenizers import Tokenizer
 
