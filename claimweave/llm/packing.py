@@ -1,8 +1,9 @@
 """Best-fit packing by exact-complement hashing.
 
-Lengths of pieces are counted; the plan is made on the counts alone. For each length, from long to short, a hash of
-single, pair and triple length sums gives combinations that fill the gap exactly; they are used up as far as the counts
-allow. What remains is packed by best fit. Pieces then take their places by rank within their length.
+Lengths of pieces are counted; the plan is made on the counts alone. Sequences begin with the longest piece left. The
+index of available lengths is asked for a single, a pair or a triple that fills the gap exactly; such combinations are
+used as far as the counts allow, and gaps without one are packed by best fit. Pieces then take their places by rank
+within their length.
 """
 
 from __future__ import annotations
@@ -58,82 +59,62 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths, each with the number of sequences that take it; every piece has a place in one.
 
-    Depends on the counts per length only, so its cost doesn't grow with the corpus.
+    Filling gaps with triples and pairs spends short pieces that best fit may need later; so plans that fill with up to
+    three, two and one pieces at a time are made, and the one with the fewest sequences is taken, never more than best
+    fit alone needs. Depends on the counts per length only, so its cost doesn't grow with the corpus.
     """
-    left = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
+    return min((_plan(counts, size, most) for most in (3, 2, 1)), key=lambda patterns: sum(n for _, n in patterns))
 
-    def take(pattern: tuple[int, ...]) -> int:
-        need = np.bincount(pattern, minlength=size + 1)
-        used = np.flatnonzero(need)
-        n = int((left[used] // need[used]).min())
-        if n:
-            left[used] -= n * need[used]
-            out.append((pattern, n))
-        return n
-
-    take((size,))
-    for length in range(size - 1, 0, -1):
-        if left[length]:
-            take((length, size - length))  # a single fills the gap
-        while left[length]:  # a pair does: found in the index of available lengths by complement
-            gap = size - length
-            a = np.arange(1, gap // 2 + 1)
-            ok = a[(left[a] > 0) & (left[gap - a] > 0)]
-            if not any(take((length, gap - int(x), int(x))) for x in ok[::-1]):
-                break
-        gap = size - length
-        while left[length] and gap >= 3:  # a triple does: one length and the index of pair sums
-            here = np.flatnonzero(left[1 : gap - 1]) + 1
-            pairs = _pair_sums(left, gap)
-            tried = False
-            for x in here[::-1].tolist():
-                y = pairs.get(gap - x)
-                if y and take((length, x, gap - x - y, y)):
-                    tried = True
+
+def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Each sequence begins with the longest piece left; its gap is filled exactly if it can be, else by best fit."""
+    left = dict(counts)
+    have = np.zeros(size + 1, bool)
+    have[list(counts)] = True
+    out: list[tuple[tuple[int, ...], int]] = []
+    for length in sorted(counts, reverse=True):
+        while left[length]:
+            need, gap, pattern = {length: 1}, size - length, [length]
+            while gap:
+                free = [x for x in np.flatnonzero(have[: gap + 1]).tolist() if left[x] > need.get(x, 0)]
+                if not free:
                     break
-            if not tried:
-                break
-    _best_fit(left, size, out)
+                for x in _filling(free, gap, left, need, most) or free[-1:]:
+                    pattern.append(x)
+                    need[x] = need.get(x, 0) + 1
+                    gap -= x
+            n = min(left[x] // m for x, m in need.items())
+            for x, m in need.items():
+                left[x] -= n * m
+                have[x] = left[x] > 0
+            out.append((tuple(pattern), n))
     return out
 
 
-def _pair_sums(left: np.ndarray, most: int) -> dict[int, int]:
-    """Sum of two available lengths -> the shorter one."""
-    here = (np.flatnonzero(left[1:most]) + 1).tolist()
-    sums: dict[int, int] = {}
-    for k, a in enumerate(here):
-        if 2 * a > most:
-            break
-        for b in here[k:]:
-            if a + b >= most:
+def _filling(free: list[int], gap: int, left: dict[int, int], need: dict[int, int], most: int) -> list[int] | None:
+    """A single, a pair or a triple of free lengths (ascending) that fills gap, found by complement; the longest first."""
+    if free[-1] == gap:
+        return [gap]
+    known = set(free)
+
+    def pair(rest: int, top: int, taken: int) -> list[int] | None:
+        """Two lengths up to top that sum to rest, each still free beside a piece of length taken."""
+        spare = lambda x: left[x] - need.get(x, 0) - (x == taken)
+        for x in reversed(free[: bisect.bisect_right(free, min(top, rest - 1))]):
+            if 2 * x < rest:
+                return None
+            if rest - x in known and spare(x) > 0 and spare(rest - x) > (x == rest - x):
+                return [x, rest - x]
+        return None
+
+    found = pair(gap, gap, 0) if most > 1 else None
+    if not found and most > 2:
+        for x in reversed(free):
+            if 3 * x < gap:
                 break
-            sums.setdefault(a + b, a)
-    return sums
-
-
-def _best_fit(left: np.ndarray, size: int, out: list) -> None:
-    """Best fit on counts: the longest piece left opens sequences, each gap takes the longest piece that fits."""
-    have = (np.flatnonzero(left)).tolist()
-    while have:
-        pattern, gap = [], size
-        need: dict[int, int] = {}
-        k = len(have) - 1
-        while k >= 0:
-            length = have[k]
-            if length <= gap and need.get(length, 0) < left[length]:
-                pattern.append(length)
-                need[length] = need.get(length, 0) + 1
-                gap -= length
-            else:
-                k = min(k - 1, bisect.bisect_right(have, gap) - 1)
-        n = min(int(left[x]) // m for x, m in need.items())
-        for x, m in need.items():
-            left[x] -= n * m
-        out.append((tuple(pattern), n))
-        have = [x for x in have if left[x]]
+            if two := pair(gap - x, x, x):
+                return [x, *two]
+    return found
 
 
 class _Places:

@@ -1,9 +1,12 @@
 """Token counts, packing and token shards against the libraries themselves."""
 
+import bisect
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,6 +66,29 @@ def test_plan_fills_exactly():
     assert P.plan({600: 3, 424: 2, 200: 1, 224: 1}, 1024) == [((600, 424), 2), ((600, 224, 200), 1)]
 
 
+def _best_fit_decreasing(counts, size):
+    """Sequences that plain best fit takes, one piece at a time."""
+    gaps = []
+    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        k = bisect.bisect_left(gaps, length)
+        gap = gaps.pop(k) if k < len(gaps) else size
+        bisect.insort(gaps, gap - length)
+    return len(gaps)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
+def test_plan_needs_no_more_than_best_fit(counts):
+    assert sum(n for _, n in P.plan(counts, 64)) <= _best_fit_decreasing(counts, 64)
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.001", 193), ("sf0.01", 964), ("sf0.1", 9872)])
+def test_plan_of_the_tables(sf, most):
+    encode = P.Encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+    counts = Counter(n for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet")["text"].to_pylist() for _, n in P.cut(len(encode(text or "")) + 1, 1024))
+    assert -(-sum(k * n for k, n in counts.items()) // 1024) <= sum(n for _, n in P.plan(counts, 1024)) <= min(most, _best_fit_decreasing(counts, 1024))
+
+
 def test_cut():
     assert P.cut(1, 4) == [(0, 1)] and P.cut(4, 4) == [(0, 4)] and P.cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
 
