@@ -91,16 +91,102 @@ def test_language_model_empty(make):
     assert B.score(make([])).collect() == []
 
 
+def brute_scores(pairs, clustered, classes):
+    """The class model token by token: every word that isn't in the core goes where the likelihood of the class bigrams is highest."""
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    texts = [(d, B.words_of(t or "") + [B.END]) for d, t in pairs]
+    learn = [own for d, own in texts if not B.held_out(d)]
+    c = Counter(w for own in learn for w in own)
+    core = sorted((w for w in c if w != B.END), key=lambda w: (-c[w], w))[:clustered]
+    place = {w: k for k, w in enumerate(core, 1)}
+    node = lambda w: 0 if w == B.END else place.get(w) or 1 + len(core) + B.ending(w)
+    bigrams = np.zeros((1 + len(core) + B.ENDINGS,) * 2)
+    for own in learn:
+        for a, w in zip([B.END, *own], own):
+            bigrams[node(a), node(w)] += 1
+    of = B.exchange(bigrams, len(core), classes)
+    context = lambda w: int(of[node(w)])
+    g = Counter()
+    for own in learn:
+        for a, w in zip([B.END, *own], own):
+            g[context(a), context(w)] += 1
+    size = int(of.max()) + 1
+    kind = {w: context(w) for w in core} | {B.END: 0}
+    for word in set(c) - set(kind):
+        behind, before = Counter(), Counter()
+        for own in learn:
+            for a, w, z in zip([B.END, *own], own, [*own[1:], None]):
+                if w == word:
+                    before[context(a)] += 1
+                    behind[context(z)] += 1
+        gains = []
+        for k in range(1, 1 + classes):
+            row, column = sum(g[k, x] for x in range(size)), sum(g[x, k] for x in range(size))
+            own = sum(f(g[k, x] + n) - f(g[k, x]) for x, n in behind.items()) + sum(f(g[x, k] + n) - f(g[x, k]) for x, n in before.items())
+            gains.append(own - f(row + c[word]) + f(row) - f(column + c[word]) + f(column))
+        kind[word] = 1 + int(np.argmax(np.round(gains, 9)))
+    types, sizes = Counter(kind.values()), Counter()
+    for w, n in c.items():
+        sizes[kind[w]] += n
+    once = [w for w in c if c[w] == 1 and w != B.END]
+    discount = min(0.9, max(0.1, len(once) / max(1, len(once) + 2 * sum(n == 2 for n in c.values()))))
+    most = lambda rows: max(range(1, 1 + classes), key=lambda k: (rows[k], -k))
+    all_once = Counter(kind[w] for w in once)
+
+    def of_word(w):
+        if w in kind:
+            return kind[w]
+        own = Counter(kind[x] for x in once if B.ending(x) == B.ending(w))
+        return most(own if own else all_once)
+
+    n, v = sum(c.values()), len(c)
+    bi, before = Counter(), Counter()
+    for own in learn:
+        for a, w in zip([B.END, *own], own):
+            bi[kind[a], kind[w]] += 1
+            before[kind[a]] += 1
+
+    def emission(w):
+        k = of_word(w)
+        if k == 0:
+            return 1.0
+        return (c[w] - discount) / sizes[k] if c[w] else discount * types[k] / sizes[k] if types[k] else 1 / (n + v + 1)
+
+    def step(a, w):
+        prior = (sizes[w] + 1) / (n + 1 + classes)
+        return (bi[a, w] + prior) / (before[a] + 1)
+
+    return [sum(math.log10(step(of_word(a), of_word(w)) * emission(w)) for a, w in zip([B.END, *own], own)) for _, own in texts]
+
+
+@pytest.mark.parametrize("chunk", [B.CHUNK, 50])
+def test_scores_against_brute_force(make, chunk):
+    rng = np.random.default_rng(7)
+    pairs = [(k, " ".join(f"{'abc'[(k + j) % 3]}{x}{'xyz,'[x % 4]}" for j, x in enumerate(rng.zipf(1.4, 25) % 60))) for k in range(40)]
+    pairs += [(100, None), (101, "new words é 12 here"), (102, "a1y a1y a1y a1y b2z")]
+    got = {r.doc_id: r.score for r in B.score(make(pairs), clustered=8, classes=4, chunk=chunk).collect()}
+    for (d, _), want in zip(pairs, brute_scores(pairs, 8, 4)):
+        assert got[d] == pytest.approx(want), d
+
+
 def test_probabilities_sum_to_one():
-    """Over the classes behind a class, and over the words and the unseen one of a class of endings."""
+    """Over the classes behind a class, and over the words and the unseen one of a class."""
     rng = np.random.default_rng(1)
-    bigrams = rng.integers(0, 9, (1 + 5 + B.ENDINGS,) * 2).astype(float)
-    of = B.exchange(bigrams, 5, 3)
-    model = B.Model(5, of, bigrams, np.full(int(of.max()) + 1, 4), 0.5, 100, 10)
-    assert (10**model.step).sum(1) == pytest.approx(np.ones(len(model.step)))
-    k = model.first_ending
-    c = np.array([int(model.sizes[k]) - 3, 1, 1, 1])
-    assert (10 ** model.emissions(np.full(5, k), np.append(c, 0))).sum() == pytest.approx(1)
+    g = rng.integers(0, 9, (5, 5)).astype(float)
+    assert (10 ** B.transitions(g)).sum(1) == pytest.approx(np.ones(5))
+    emissions = B.Emissions(np.array([3, 40]), np.array([1, 4]), np.ones(B.ENDINGS, int), 0.5, 43, 5)
+    c = np.array([37, 1, 1, 1, 0])
+    assert (10 ** emissions(np.ones(5, int), c)).sum() == pytest.approx(1)
+
+
+def test_a_word_with_many_neighbours_takes_several_entries():
+    place, of = {b"x": 1}, np.concatenate([[0, 1], 2 + np.arange(B.ENDINGS)])
+    ids = np.tile(np.array([1, 2], np.uint32), (1 << B._COUNT_BITS) + 5)
+    ids = np.append(ids, 0).astype(np.uint32)
+    row = B._row((0, [next(d for d in range(9) if not B.held_out(d))], [len(ids)], B._packed(ids), bytes([0, 0, 0]), [B.END, b"x", b"w"], [1, 1, 1]), B._CHUNK_SCHEMA)
+    out = next(B._profiles(place, of)(iter([row.select(["doc_ids", "sizes", "ids", "endings", "words"])])))
+    entries = np.frombuffer(out.column(1)[0].as_py(), "<u4").astype(np.int64)
+    assert out.column(0).to_pylist() == [b"w"] and (entries & ((1 << B._COUNT_BITS) - 1)).sum() == 2 * ((1 << B._COUNT_BITS) + 5)
 
 
 def test_exchange_raises_the_likelihood():
