@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.work import is_empty, save
 
-__all__ = ["UNSPACED", "components", "is_empty", "save", "squeezed", "text_of"]
+__all__ = ["UNSPACED", "components", "is_empty", "join_hot", "save", "squeezed", "text_of"]
 
 #: Characters deleted or split on as white space: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -25,20 +25,38 @@ def squeezed(text: Column) -> Column:
     return F.translate(text, WHITE, "")
 
 
+#: A key with more than this share of all rows is hot; there are at most so many such keys.
+HOT = 10_000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows.join(values, key), where a key may have most of the rows; values has a row per key and its rows' number, n.
+
+    Keys with more than 1 / HOT of all rows number HOT at most, so their values are broadcast; all other keys are joined
+    by shuffling, and none of them outweighs the rest.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot = values.filter(F.col("n") > total / HOT)
+    met = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.filter(F.col("n") <= total / HOT), key)
+    return met.unionByName(rest).drop("n")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the smallest node of its connected component.
 
     Each round links a node's whole neighbourhood to the smallest node in it, first upward and then downward, so
-    that a component becomes a star in about log(size) rounds; aggregates combine before they are shuffled.
+    that a component becomes a star in about log(size) rounds; aggregates combine before they are shuffled, and a node
+    with very many neighbours is not shuffled with them.
     """
     links = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.filter("b > a").join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = join_hot(both.filter("b > a"), save(low, label), "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         large = save(large, label)
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        least = save(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), label)
+        small = join_hot(large, least, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         after = save(small.union(least.select("a", F.col("low").alias("b"))).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
         same = _digest(after) == _digest(links)
         links = after

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save, text_of
+from .common import components, join_hot, save, text_of
 
 WORD = re.compile(r"\w+")
 #: MinHash values, and how many of them make a band: a pair of similarity 0.8 shares no band with probability 3e-6.
@@ -26,8 +26,8 @@ HASHES, BAND = 96, 4
 TOLERANCE = 1e-6
 #: Values compared between two looks at the posterior.
 STEP = 16
-#: Members of a bucket or component that one unit of work takes from each of two blocks.
-BLOCK = 512
+#: Members of a bucket or component that one unit of work takes from each of two blocks, and bytes of their hashes.
+BLOCK, BYTES = 512, 1 << 25
 _MULT = (np.random.default_rng(20240229).integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -151,6 +151,11 @@ def _sides(rows: list[dict]) -> tuple[list[int], list[int], bool]:
     return first, [k for k, r in enumerate(rows) if r["block"] != rows[0]["unit"]["i"]], False
 
 
+def _key(words: list[str], text: str) -> bytes:
+    """The same for texts of the same words; a text without words goes by its characters but white space."""
+    return xxhash.xxh3_128_digest(" ".join(words) or "\n" + "".join(text.split()))
+
+
 def _features(id_col: str, text_col: str, size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
 
@@ -160,7 +165,7 @@ def _features(id_col: str, text_col: str, size: int):
             keys, sigs = [], []
             for text in batch.column(1):
                 words = WORD.findall(text.as_py().lower())
-                keys.append(xxhash.xxh3_128_digest(" ".join(words)))
+                keys.append(_key(words, text.as_py()))
                 sigs.append(signature(shingle_hashes(words, hashes, size)).tobytes() if words else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
@@ -176,7 +181,7 @@ def _shingles(size: int):
             keys, sets = [], []
             for key, text in zip(batch.column(0), batch.column(1)):
                 words = WORD.findall(text.as_py().lower())
-                if (key := key.as_py()) == xxhash.xxh3_128_digest(" ".join(words)):
+                if (key := key.as_py()) == _key(words, text.as_py()):
                     keys.append(key)
                     sets.append(shingle_hashes(words, hashes, size).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
@@ -242,8 +247,8 @@ def _verified(threshold: float, tolerance: float):
 
 
 def _dealt(members: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
-    """Deal the members of each group into blocks of about BLOCK and every two blocks into a unit of work."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
+    """Deal the members of each group into blocks of about BLOCK members and BYTES, and every two blocks into a unit of work."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK), F.ceil(F.col("volume") / BYTES)).cast("int")
     rows = members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     rows = rows.select(*columns, "block", *group, other.alias("other"))
@@ -259,8 +264,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are the lower-cased runs of letters, digits and underscores; two texts are linked if the sets of their word
     n-grams have a Jaccard similarity of at least threshold. n_links counts the linked different texts, n_similar the
     other documents that are linked, copies included; class_id is the smallest doc_id of the connected component.
-    Texts with the same words are copies; a text with fewer than size words has one n-gram of all its words; null and
-    wordless texts are copies of each other and have no links to other texts. A row with a null doc_id gets a null
+    Texts with the same words are copies; a text with fewer than size words has one n-gram of all its words; texts without
+    words are copies if they are equal but for white space, null counts as empty, and have no links to other texts. A row with a null doc_id gets a null
     class_id and no links, and counts for nobody. Other columns are ignored. An empty table gives an empty result.
 
     A bucket or component of any size is dealt into blocks of BLOCK members, and two blocks at a time meet in a task,
@@ -280,29 +285,38 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = banded.groupBy("band", "hash").agg(F.count("*").alias("members"), F.sum(token).alias("sum_a"), F.sum(F.xxhash64("key", F.lit(1)).cast("decimal(38,0)")).alias("sum_b")).filter("members > 1")
     # Buckets of the same members are one: copies of a document pair meet once, not in every band.
     buckets = buckets.groupBy("members", "sum_a", "sum_b").agg(F.min(F.struct("band", "hash")).alias("first")).select("members", "first.band", "first.hash")
-    members = banded.join(buckets, ["band", "hash"]).join(classes.select("key", "sig"), "key")
-    near = _dealt(members, ["band", "hash"], ["key", "sig"]).mapInArrow(_candidates(threshold, tolerance), "a binary, b binary")
+    buckets = save(buckets.withColumn("bucket", F.struct("band", "hash")).withColumn("n", F.col("members")), "buckets")
+    met = join_hot(banded.withColumn("bucket", F.struct("band", "hash")).select("bucket", "key"), buckets.select("bucket", "members", "n"), "bucket")
+    members = met.join(classes.select("key", "sig"), "key").withColumn("volume", F.lit(0))
+    near = _dealt(members, ["bucket"], ["key", "sig"]).mapInArrow(_candidates(threshold, tolerance), "a binary, b binary")
     groups = components(near, "candidates")
 
-    sized = groups.join(groups.groupBy("root").agg(F.count("*").alias("members")), "root")
-    sized = save(sized.join(classes, sized["node"] == classes["key"]).select("key", "sig", "copies", "rep", "root", "members"), "members")
-    wanted = sized.select("key", F.col("rep").alias("doc_id"))
+    suspects = save(groups.join(classes, groups["node"] == classes["key"]).select("key", "sig", "copies", "rep", "root"), "members")
+    wanted = suspects.select("key", F.col("rep").alias("doc_id"))
     sets = named.join(wanted, "doc_id").select("key", "text").mapInArrow(_shingles(size), "key binary, shingles binary")
     sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
-    full = sized.join(sets, "key")
+    full = save(suspects.join(sets, "key"), "sets")
+    sizes = save(full.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.octet_length("shingles")).alias("volume"), F.count("*").alias("n")), "sizes")
+    full = join_hot(full, sizes, "root")
     found = save(_dealt(full, ["root"], ["key", "sig", "copies", "shingles"]).mapInArrow(_verified(threshold, tolerance), "key binary, root binary, n_links long, n_similar long"), "links")
 
     linked = found.groupBy("key").agg(F.sum("n_links").alias("n_links"), F.sum("n_similar").alias("n_similar"))
     star = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), "components")
     reps = classes.select("key", "rep", "copies").join(star.withColumnRenamed("node", "key"), "key", "left").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    low = reps.groupBy("root").agg(F.min("rep").alias("class_id"))
-    reps = reps.join(low, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("n_similar", F.lit(0)) + F.col("copies") - 1).alias("n_similar"))
-    result = marked.select("doc_id", "key").join(reps, "key").select("doc_id", "class_id", "n_links", "n_similar")
+    reps = save(reps, "classes")
+    low = save(reps.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "lowest")
+    reps = join_hot(reps, low, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("n_similar", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.col("copies").alias("n"))
+    # A key stands for its exact copies, which may be most rows.
+    result = join_hot(marked.select("doc_id", "key"), save(reps, "keys"), "key").select("doc_id", "class_id", "n_links", "n_similar")
     nameless = base.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_similar"))
     return result.union(nameless)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stand for their class, with all their columns; rows with a null doc_id stay."""
+    """The rows of docs that stand for their class, with all their columns.
+
+    The row with the smallest doc_id of a class stays, with every row that repeats it; rows with a null doc_id stay. Where
+    a doc_id has two texts, both rows go if either isn't the first of its class.
+    """
     gone = jaccard_join(docs, id_col, text_col, **options).filter("class_id <> doc_id").select(F.col("doc_id").alias("__near_id"))
     return docs.join(gone, docs[id_col] == F.col("__near_id"), "left_anti")
