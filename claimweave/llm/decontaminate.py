@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, text_of
+from .common import UNSPACED, save, text_of
 
 _REST = r"\d+(?:[.,]\d+)*|[^\w\s,;:'\"()\[\]{}`…“”„‘’«»–—·•、，；：（）「」『』【】《》]|\n"
 #: Words, numbers, and signs but punctuation within sentences; in scripts without spaces each character is a word.
@@ -219,30 +219,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     alone) matches nothing.
 
     Null and empty texts match nothing; a null doc_id or item_id is returned as null; repeated rows give repeated rows
-    of documents, and repeated items are matched once each. Other columns are ignored; empty tables give an empty result.
+    of documents, and repeated items give a row each. Other columns are ignored; empty tables give an empty result.
 
-    The benchmark is held in blocks of about max_windows windows, each checked for its size before it is broadcast; all
-    documents pass each block once, and nothing is shuffled.
+    Items of equal text are looked for once. Their windows are the hashed side of a join whose other side is never moved:
+    the benchmark is split into blocks of at most max_windows windows, as counted beforehand, and one block at a time is
+    broadcast, looked up by all documents, and let go; a benchmark of one block takes one pass over the documents. Only
+    an item that has more windows than that on its own makes a larger block.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_of(item_text_col).alias("text"))
-    # Each run of letters or digits counts as one token, and so does every other character; characters of scripts without
-    # spaces stay apart. A token begins three windows at most.
-    shortened = F.regexp_replace("text", rf"[\p{{L}}&&[^{_JAVA_UNSPACED}]]+|[0-9]+", "x")
-    n_tokens = items.agg(F.sum(F.length(F.regexp_replace(shortened, r"[ \t\r]+", "")))).first()[0] or 0
-    passes = 1 + 3 * int(n_tokens) // max_windows
+    texts, passes = _blocks(items, max_windows)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     result = None
     for k in range(passes):
-        block = items.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).collect()
+        block = texts.filter(F.col("block") == k).select("number", "text").collect()  # at most max_windows windows
         index = spark.sparkContext.broadcast(_Index([tuple(r) for r in block], size, literals))
-        found = base.mapInArrow(_matcher(index, least, coverage), "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, exact boolean")
+        found = base.mapInArrow(_matcher(index, least, coverage), "doc_id long, number long, n_windows long, item_windows long, n_slots long, exact boolean")
+        if passes > 1:
+            found = save(found, "leaks")
+            index.unpersist()
         result = found if result is None else result.union(found)
-    return result.select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "n_slots", "exact")
+    named = items.join(texts.select("text", "number"), "text").select("number", "item_id")
+    return result.join(named, "number").select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "n_slots", "exact")
+
+
+def _blocks(items: DataFrame, max_windows: int) -> tuple[DataFrame, int]:
+    """(text, number, block) of the distinct texts of items, and the number of blocks: each has max_windows windows at most."""
+    # Each run of letters or digits counts as one token, and so does every other character; characters of scripts without
+    # spaces stay apart. A token begins three windows at most.
+    shortened = F.regexp_replace("text", rf"[\p{{L}}&&[^{_JAVA_UNSPACED}]]+|[0-9]+", "x")
+    texts = items.groupBy("text").agg((3 * F.length(F.regexp_replace(shortened, r"[ \t\r]+", ""))).cast("long").alias("windows"))
+    texts = save(texts.withColumn("number", F.monotonically_increasing_id()), "items")
+    passes = 1 + int(texts.agg(F.sum("windows")).first()[0] or 0) // max_windows
+    while True:
+        dealt = texts.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(passes)))
+        sizes = dealt.groupBy("block").agg(F.sum("windows").alias("windows"), F.count("*").alias("n"))
+        if passes == 1 or not sizes.filter((F.col("windows") > max_windows) & (F.col("n") > 1)).limit(1).collect():
+            return dealt, passes
+        passes *= 2
 
 
 def _matcher(index, least: int, coverage: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("item_windows", pa.int64()), ("n_slots", pa.int64()), ("exact", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("number", pa.int64()), ("n_windows", pa.int64()), ("item_windows", pa.int64()), ("n_slots", pa.int64()), ("exact", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, own = _Vocabulary(), index.value
@@ -254,6 +272,9 @@ def _matcher(index, least: int, coverage: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that contain no benchmark item, with all their columns; rows with a null doc_id stay."""
+    """The rows of docs that contain no benchmark item, with all their columns.
+
+    Rows with a null doc_id stay; where a doc_id has two texts, both rows go if either contains an item.
+    """
     gone = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__leak_id")).filter("__leak_id is not null").distinct()
     return docs.join(gone, docs[id_col] == F.col("__leak_id"), "left_anti")

@@ -113,7 +113,7 @@ def test_join_of_the_table(spark):
     common = Counter(pair for own in holders.values() for pair in combinations(sorted(own), 2))
     linked = Counter(d for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) for d in (a, b))
     got = {r.doc_id: r.n_links for r in J.jaccard_join(docs).collect()}
-    assert got == {d: linked[first[w]] for d, w in texts} and sum(linked.values()) >= 200
+    assert got == {d: linked[first[w]] for d, w in texts} and len(linked) >= 10
 
 
 def test_posterior():

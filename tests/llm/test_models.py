@@ -1,6 +1,7 @@
 """The label model, the class-based language model and decontamination."""
 
 import math
+import re
 from collections import Counter
 from zlib import crc32
 
@@ -221,6 +222,74 @@ def test_decontamination_finds_planted_passages(spark, sample):
     assert want <= {(r.doc_id, r.item_id) for r in D.contaminated(sample, bench).collect()}
 
 
+def naive_template(text):
+    """tokens, places of the template's tokens, slots of both readings, tokens without sentence ends."""
+    found = D.TOKEN.findall(text)
+    low = [t.lower() for t in found]
+    number = [t[0].isdigit() or w in D.NUMBER_WORDS for t, w in zip(found, low)]
+    end = [t in ".!?。！？\n" for t in found]
+    sign = [not (e or x or w in D.UNIT_WORDS or t[0].isalnum() or re.match(f"[{D.UNSPACED}]", t)) for t, w, e, x in zip(found, low, end, number)]
+    seen = [k for k in range(len(found)) if not sign[k]]
+    slots = {}
+    for j, k in enumerate(seen):
+        beside = [seen[x] for x in (j - 1, j + 1) if 0 <= x < len(seen)]
+        capital = not (end[k] or number[k] or low[k] in D.UNIT_WORDS) and found[k][0].isupper() and found[k][1:].islower()
+        own = 1 if number[k] else 2 if low[k] in D.UNIT_WORDS and any(number[x] for x in beside) else 0
+        opens = j == 0 or end[seen[j - 1]]
+        slots[k] = (3 if capital and not opens else own), (3 if capital else own)
+    places = [k for k in seen if not end[k]]
+    return low, places, [[slots[k][r] for k in places] for r in (0, 1)], [w for w, e in zip(low, end) if not e]
+
+
+def naive_matches(text, item):
+    """(n_windows, item_windows, n_slots, exact) if text contains item."""
+    low, places, readings, plain = naive_template(text)
+    ilow, iplaces, ireadings, iplain = naive_template(item)
+    size, words = min(8, len(iplaces)), [ilow[p] for p in iplaces]
+    key = lambda at, p, slots, w: tuple(("", slots[x]) if slots[x] else (w[at[x]],) for x in range(p, p + size))
+    usable = [[sum(not s for s in slots[p : p + size]) >= 4 for p in range(len(iplaces) - size + 1)] if size >= 4 else [] for slots in ireadings]
+    mine = {}
+    for r in (0, 1):
+        for p, ok in enumerate(usable[r]):
+            if ok and (r == 0 or ireadings[0][p : p + size] != ireadings[1][p : p + size]):
+                mine.setdefault(key(iplaces, p, ireadings[r], ilow), []).append((r, p))
+    lines = {}
+    for p in range(len(places) - size + 1) if mine else ():
+        for k in {key(places, p, slots, low) for slots in readings}:
+            for r, at in mine.get(k, ()):
+                lines.setdefault((r, p - at), set()).add(at)
+    covered, used, exact = set(), set(), True
+    for (r, shift), starts in lines.items():
+        place = {x for at in starts for x in range(at, at + size) if ireadings[r][x]}
+        maps = {}
+        for x in place:
+            maps.setdefault((ireadings[r][x], words[x]), set()).add(low[places[x + shift]])
+        if all(len(v) == 1 for v in maps.values()):
+            covered |= starts
+            used |= place
+            exact &= all(v == {w} for (_, w), v in maps.items())
+    dense = lambda at: any(re.match(f"[{D.UNSPACED}]", w) for w in words[at : at + size])
+    if covered and (sum(not dense(at) for at in covered) >= 3 or len(covered) >= 0.5 * sum(usable[0])):
+        return len(covered), sum(usable[0]), len(used), exact
+    size = min(8, len(iplain))
+    have = {tuple(plain[p : p + size]) for p in range(len(plain) - size + 1)}
+    windows = [tuple(iplain[p : p + size]) for p in range(len(iplain) - size + 1)] if size else []
+    n = sum(w in have for w in windows)
+    return (n, len(windows), 0, True) if n and n >= 0.5 * len(windows) else None
+
+
+def test_decontamination_against_brute_force(spark, sample):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    texts = {r.doc_id: r.text or "" for r in sample.collect()}
+    altered = {10**6 + k: "So then: " + re.sub(r"\d+", lambda m: str(int(m[0]) + 3), t).replace(" the ", " The ") for k, t in items.items() if t}
+    texts |= altered | {2 * 10**6 + k: " ".join(t.split()[3:]) for k, t in items.items() if t}
+    want = {(d, i, *m) for d, t in texts.items() for i, own in items.items() if (m := naive_matches(t, own or ""))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_windows, r.item_windows, r.n_slots, r.exact) for r in D.contaminated(docs, bench).collect()}
+    assert got == want and {d for d, *_ in want} & set(altered)
+
+
 def test_decontamination_finds_short_and_plain_items(spark, make):
     items = ["What is 17 + 25 - 8 * 3?", "What is the capital of France?", "法國的首都是哪一座城市？", "Who wrote Hamlet?", "Which river flows through the old town of Geneva in Switzerland?", "2 + 2 = 4", "..."]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
