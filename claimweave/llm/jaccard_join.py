@@ -27,7 +27,7 @@ TOLERANCE = 1e-6
 #: Values compared between two looks at the posterior.
 STEP = 16
 #: Members of a bucket or component that one unit of work takes from each of two blocks, and bytes of their hashes.
-BLOCK, BYTES = 512, 1 << 25
+BLOCK, BYTES = 256, 1 << 24
 _MULT = (np.random.default_rng(20240229).integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 

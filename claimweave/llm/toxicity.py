@@ -26,7 +26,7 @@ LEXICON = "bastard clown coward creep disgusting dumb filth freak fool garbage i
 PREFIXES = (3, 4, 5, 6, 8)
 #: Bound on the labelled rows that the models are fitted on; a hash of doc_id picks them.
 FIT_ROWS = 20_000
-#: Voters at most.
+#: Mined voters at most, a parameter of the fit: the sample is bounded, and so is what it can support.
 VOTERS = 400
 
 
@@ -75,8 +75,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return base.join(known, "doc_id")
 
 
-def mine(rows: DataFrame, voters: int = VOTERS, least: int = 5) -> list[str]:
-    """The lexicon, then the features that the labels support most, by the lower end of their log odds."""
+def mine(rows: DataFrame, voters: int | None = VOTERS, least: int = 5) -> list[str]:
+    """The lexicon, then the features that the labels support most, by the lower end of their log odds; voters=None takes all of them."""
     schema = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,45 +92,47 @@ def mine(rows: DataFrame, voters: int = VOTERS, least: int = 5) -> list[str]:
     found = rows.select("text", "toxic").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (p + 1)) - F.log((F.col("n") + 0.5) / (n + 1))
     low = odds - 2 * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    best = found.filter(F.col("p") >= least).withColumn("low", low).filter("low > 0.7").orderBy(F.desc(F.col("low") * F.sqrt("p")), "feature").limit(voters)
+    best = found.filter(F.col("p") >= least).withColumn("low", low).filter("low > 0.7").orderBy(F.desc(F.col("low") * F.sqrt("p")), "feature")
+    best = best if voters is None else best.limit(voters)
     return list(dict.fromkeys(LEXICON + [r["feature"] for r in best.select("feature").collect()]))
 
 
 class LabelModel:
     """Latent-class model of binary voters, fitted by expectation maximisation.
 
-    Each voter has a vote rate per class; the given label is one voter more, trusted but not certain. Voters whose
-    votes are correlated beyond what the class explains share one vote: each weighs 1 / (1 + the sum of its residual
-    correlations).
+    Each voter has a vote rate per class, which is its accuracy; the class balance is given. Labels are no voter: they
+    tell which class is the toxic one, by the rates that the rounds begin with. Voters that agree beyond what the class
+    explains are correlated: the model estimates the correlations of their residuals within the classes in every round,
+    and a voter's evidence is divided by one plus the sum of its correlations.
     """
 
-    def __init__(self, trust: float = 0.97, rounds: int = 15) -> None:
-        self.trust, self.rounds = trust, rounds
+    def __init__(self, rounds: int = 30, correlated: float = 0.5) -> None:
+        self.rounds, self.correlated = rounds, correlated
 
     def fit(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """Posterior probabilities of class 1."""
-        given = np.log(self.trust / (1 - self.trust)) * (2 * labels - 1)
-        q = 1 / (1 + np.exp(-given))
+        self.prior = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
         self.weights = np.ones(votes.shape[1])
+        q = labels.astype(float)
         for step in range(self.rounds):
-            self.prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
             self.rates = np.stack([((1 - q) @ votes + 0.1) / ((1 - q).sum() + 1), (q @ votes + 0.5) / (q.sum() + 1)])
-            if step in (2, 7):
-                self.weights = self._shared(votes, q)
+            if step:
+                self._correlate(votes, q)
             yes = np.log(self.rates[1] / self.rates[0]) * self.weights
             no = np.log((1 - self.rates[1]) / (1 - self.rates[0])) * self.weights
-            logit = np.log(self.prior / (1 - self.prior)) + votes @ (yes - no) + no.sum() + given
-            q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            logit = np.log(self.prior / (1 - self.prior)) + votes @ (yes - no) + no.sum()
+            before, q = q, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            if np.abs(q - before).max() < 1e-4:
+                break
         return q
 
-    def _shared(self, votes: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """1 / (1 + sum of positive residual correlations) of each voter."""
+    def _correlate(self, votes: np.ndarray, q: np.ndarray) -> None:
         rest = votes - (np.outer(q, self.rates[1]) + np.outer(1 - q, self.rates[0]))
         scale = np.sqrt((rest**2).sum(0)) + 1e-9
         self.correlations = (rest.T @ rest) / np.outer(scale, scale)
-        strong = np.where(self.correlations > 0.1, self.correlations, 0)
+        strong = np.where(self.correlations > self.correlated, self.correlations, 0)
         np.fill_diagonal(strong, 0)
-        return 1 / (1 + strong.sum(1))
+        self.weights = 1 / (1 + strong.sum(1))
 
 
 def linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.1, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -148,15 +150,15 @@ def linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.1, steps: int
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, voters: int | None = VOTERS, least: int = 5) -> tuple[list[str], np.ndarray, float]:
     """Voters, their weights and the bias. The fitted sample is bounded by fit_rows, so it may reach the driver as votes."""
     rows = save(training_rows(docs, labels, id_col, text_col, label_col, fit_rows), "labelled")
-    names = mine(rows)
-    voters = Voters(names)
+    names = mine(rows, voters, least)
+    found_by = Voters(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([voters(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["doc_id", "toxic", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([found_by(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["doc_id", "toxic", "votes"])
 
     known = sorted(tuple(r) for r in rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, votes array<long>").collect())
     if not any(t for _, t, _ in known):  # nothing to learn from: the lexicon alone
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return names, *linear(votes, posterior)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, fit_rows: int = FIT_ROWS, **options) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Learns only from labelled rows whose crc32(doc_id as text) mod 4 is not 2; those are held_out, and so is a null
@@ -176,7 +178,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     score of no votes. Repeated rows get a row each; of repeated labels the toxic one counts, null labels are left out;
     without any toxic label the lexicon decides. Other columns are ignored; an empty table gives an empty result.
     """
-    names, weights, bias = fit(docs, labels, id_col, text_col, label_col, fit_rows)
+    names, weights, bias = fit(docs, labels, id_col, text_col, label_col, fit_rows, **options)
     voters = Voters(names)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -192,6 +194,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with all their columns; rows with a null doc_id stay."""
+    """The rows of docs that aren't predicted toxic, with all their columns.
+
+    Rows with a null doc_id stay; where a doc_id has two texts, both rows go if either is predicted toxic.
+    """
     gone = score(docs, labels, id_col, **options).filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__toxic_id")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__toxic_id"), "left_anti")
