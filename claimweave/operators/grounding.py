@@ -43,7 +43,8 @@ def _folded(page: Column, quote: Column) -> Column:
     """Where the letters and digits of the quote, eight at least, follow each other, whatever lies between them."""
 
     def spot(at: Column, size: Column) -> Column:
-        letters = lambda chars: F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda k: F.get(chars, k).rlike("[A-Za-z0-9]"))
+        # Characters with a letter or digit of ASCII in their lower case, so that places count characters of the page.
+        letters = lambda chars: F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda k: F.get(chars, k).rlike("[A-Za-z0-9\u0130\u212a]"))
         return let(let(F.split(page, ""), letters), lambda p: _spot("folded", F.get(p, at - 1), F.get(p, at + size - 2) + 1))
 
     hit = lambda q: let(F.when(F.length(q) >= 8, F.instr(_fold(page), q)), lambda at: F.when(at > 0, spot(at, F.length(q))))

@@ -113,8 +113,8 @@ def page_units(text: str, boilerplate: set[str]) -> Iterator[dict]:
             bases.append(m[0].strip().lower())
         heading = _heading(t)
         if heading and not whole:
-            yield from unit(here)  # before the heading joins the context
-            headings.append(t)
+            headings.append(t)  # the unit that it closes lists it too
+            yield from unit(here)
             start = here
             continue
         if not lines:

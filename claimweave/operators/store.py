@@ -92,3 +92,104 @@ def registry_view(entries: DataFrame, namespace: str | None = None) -> DataFrame
     """Entries without embeddings, the most used first."""
     rows = entries if namespace is None else entries.filter(F.col("namespace") == namespace)
     return rows.drop("embedding").orderBy("namespace", F.desc("occurrences"), "normal")
+
+
+# ---- lookups and changes of single tables --------------------------------------------------------------------------
+
+
+def list_documents(documents: DataFrame) -> DataFrame:
+    """Documents, the last ingested first."""
+    return documents.orderBy(F.desc("ingested_at"), "document_id")
+
+
+def get_document(documents: DataFrame, document_id: str) -> DataFrame:
+    return documents.filter(F.col("document_id") == document_id)
+
+
+def document_status(documents: DataFrame, document_id: str) -> DataFrame:
+    return get_document(documents, document_id).select("document_id", "status", "error")
+
+
+def page_texts(pages: DataFrame, document_id: str, page_number: int | None = None) -> DataFrame:
+    """The pages of a document in order, or one of them."""
+    rows = pages.filter(F.col("document_id") == document_id)
+    return (rows if page_number is None else rows.filter(F.col("page_number") == page_number)).orderBy("page_number")
+
+
+def get_fact(facts: DataFrame, fact_id: str) -> DataFrame:
+    return facts.filter(F.col("id") == fact_id)
+
+
+def count_facts(facts: DataFrame, document_id: str | None = None) -> DataFrame:
+    return (facts if document_id is None else facts.filter(F.col("document_id") == document_id)).agg(F.count("*").alias("n"))
+
+
+def pending_facts(facts: DataFrame) -> DataFrame:
+    """Facts that no registry entry stands for yet."""
+    return facts.filter(F.col("canonical_predicate_id").isNull())
+
+
+def set_canonical(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """facts with canonical_subject_id, canonical_predicate_id and value_id of ids (id and those three) where it has them."""
+    names = ["canonical_subject_id", "canonical_predicate_id", "value_id"]
+    new = ids.select("id", *[F.col(n).alias(f"__{n}") for n in names])
+    out = facts.join(new, "id", "left").withColumns({n: F.coalesce(f"__{n}", n) for n in names})
+    return out.select(*facts.columns)
+
+
+def list_quarantine(quarantine: DataFrame, document_id: str | None = None, reason: str | None = None, limit: int = 200) -> DataFrame:
+    for name, value in (("document_id", document_id), ("reason", reason)):
+        if value is not None:
+            quarantine = quarantine.filter(F.col(name) == value)
+    return quarantine.orderBy("document_id", "page_number", "unit", "claim_pos").limit(limit)
+
+
+def quarantine_by_reason(quarantine: DataFrame) -> DataFrame:
+    return quarantine.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def clear_relations(tables: Tables) -> Tables:
+    return tables | {"relations": tables["relations"].limit(0)}
+
+
+def reset(tables: Tables) -> Tables:
+    return {name: t.limit(0) for name, t in tables.items()}
+
+
+def admit(documents: DataFrame, arriving: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(admitted, refused) of arriving documents (document_id, source_path): one whose path is known is refused unless forced."""
+    known = documents.select("source_path").distinct()
+    if force:
+        return arriving, arriving.limit(0)
+    return arriving.join(known, "source_path", "left_anti"), arriving.join(known, "source_path", "left_semi")
+
+
+def replace_documents(tables: Tables, arriving: DataFrame) -> Tables:
+    """tables without the documents whose path an arriving document has, nor what hangs on them."""
+    old = tables["documents"].join(arriving.select("source_path").distinct(), "source_path", "left_semi").select("document_id")
+    gone = tables["facts"].join(old, "document_id", "left_semi").select("id")
+    out = {name: t.join(old, "document_id", "left_anti").select(*t.columns) if "document_id" in t.columns else t for name, t in tables.items()}
+    rel = tables["relations"]
+    for side in ("fact_a_id", "fact_b_id"):
+        rel = rel.join(gone.withColumnRenamed("id", side), side, "left_anti")
+    return out | {"relations": rel.select(*tables["relations"].columns)}
+
+
+def write_tables(tables: Tables, path: str) -> None:
+    """Every table as Parquet under path; the old one of that name is replaced."""
+    for name, t in tables.items():
+        t.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_tables(spark, path: str, names: list[str]) -> Tables:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def whole_facts(facts: DataFrame, pages: DataFrame, relations: DataFrame) -> DataFrame:
+    """Each fact with its evidence within its page (char_start, char_end) and its relations, surest first."""
+    page = pages.select("document_id", "page_number", F.col("text").alias("__page"))
+    own = F.struct((-F.col("confidence")).alias("order"), F.col("id").alias("relation_id"), "verdict", "other")
+    ends = relations.select("id", "verdict", "confidence", F.col("fact_a_id").alias("fact"), F.col("fact_b_id").alias("other")).union(relations.select("id", "verdict", "confidence", "fact_b_id", "fact_a_id"))
+    met = ends.groupBy("fact").agg(F.transform(F.sort_array(F.collect_list(own)), lambda r: F.struct(r["relation_id"].alias("id"), r["verdict"].alias("verdict"), r["other"].alias("other"))).alias("relations"))
+    rows = facts.join(page, ["document_id", "page_number"], "left").join(met, F.col("id") == F.col("fact"), "left").drop("fact")
+    return rows.withColumn("evidence", evidence_window(F.col("__page"), F.col("char_start"), F.col("char_end"))).drop("__page")

@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet under spark.checkpoint.dir and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet under spark.checkpoint.dir and read it back: cuts lineage, survives lost executors.
+
+    The setting must name a folder that all machines share; only a session of one machine (local master) does without.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="claimweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/claimweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
@@ -20,5 +25,11 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it has fewer partitions than that; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).collect()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,7 @@ from ..functions.vectors import cosine
 from ..operators import blocking, grounding, ingest, registry, store
 from ..operators import segmentation as S
 from ..sources import responses, star
+from ..operators.work import save, spread
 from .reconcile import judged_pairs, relations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores even where they are a single file."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _cents(c):
     return F.floor(c * 100 + 0.5).cast("long")
 
@@ -145,8 +153,10 @@ def period_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     fy = (y + F.when(m >= 4, 1).otherwise(0)).cast("string")
     names = table(spark, sf_dir, "orders").select(F.explode(F.array(F.concat(F.lit("FY"), fy), F.concat(F.lit("CY"), y.cast("string")), F.concat(F.lit("March 31, "), fy))).alias("name")).distinct()
     p = names.select("name", P.parse_period("name").alias("p"))
-    a, b = (p.select(F.col("name").alias(n), F.col("p").alias(f"p{n}"), F.lit(1).alias("one")) for n in "ab")
-    return a.join(b, "one").select("a", "b", P.compare_periods("pa", "pb").alias("relation"), P.period_months("pb").alias("months"))
+    a, b = (p.select(F.col("name").alias(n), F.col("p").alias(f"p{n}")) for n in "ab")
+    # Every period's own list of all names: three for each year that has orders, so the list stays small.
+    b = b.agg(F.collect_list(F.struct("b", "pb")).alias("others"))
+    return a.crossJoin(F.broadcast(b)).select("a", "pa", F.inline("others")).select("a", "b", P.compare_periods("pa", "pb").alias("relation"), P.period_months("pb").alias("months"))
 
 
 # ---- text ----------------------------------------------------------------------------------------------------------
@@ -203,7 +213,7 @@ _LINES = r"SELECT doc_id, source, trim(x, ' ' || chr(9) || chr(13)) AS line FROM
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
+    return texts(spark, sf_dir).select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
 
 
 @query(rf"""
@@ -219,7 +229,7 @@ _ASCII = lambda words: r"(^|[^A-Za-z0-9_])(" + "|".join(words).replace("'", "''"
 
 @query(f"SELECT doc_id, regexp_matches(lower(text), '[0-9]') OR regexp_matches(lower(text), '{_ASCII(S.SIGNAL_WORDS)}') OR regexp_matches(lower(text), '{_ASCII(S.DATE_WORDS)}') AS salient FROM documents")
 def salient_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.is_salient("text").alias("salient"))
+    return texts(spark, sf_dir).select("doc_id", S.is_salient("text").alias("salient"))
 
 
 @query(rf"""
@@ -232,7 +242,7 @@ def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the pages of their source."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("page_number"), "text")
+    return texts(spark, sf_dir).select(F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("page_number"), "text")
 
 
 @query(r"""
@@ -254,9 +264,9 @@ def segment_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FORMS = ["exact", "whitespace", "caseless", "folded", "fabricated"]
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _closing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their last line of some length."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.try_element_at(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) >= 12), F.lit(-1)).alias("line")).filter("line is not null")
+    return texts(spark, sf_dir).select("doc_id", "text", "source", F.try_element_at(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) >= 12), F.lit(-1)).alias("line")).filter("line is not null")
 
 
 def _made_up(line: Column) -> Column:
@@ -265,7 +275,7 @@ def _made_up(line: Column) -> Column:
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One quote per document, from its second line on where there is one: as it is, spaced out, in capitals, punctuated, made up."""
-    d = _lines(spark, sf_dir)
+    d = _closing_lines(spark, sf_dir)
     line, form = F.trim("line"), F.pmod(F.col("doc_id"), F.lit(5)).cast("int")
     quotes = [line, F.regexp_replace(line, " ", "   "), F.upper(line), F.regexp_replace(line, " ", " - "), _made_up(line)]
     return d.select("doc_id", "text", form.alias("form"), F.element_at(F.array(*quotes), form + 1).alias("quote"))
@@ -280,11 +290,10 @@ def ground_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 12)[-1] AS line FROM documents)
-SELECT doc_id, instr(text, trim(line)) - 1 AS char_start, instr(text, trim(line)) - 1 + length(trim(line)) AS char_end FROM l WHERE line IS NOT NULL AND doc_id % 5 = 0""")
+SELECT doc_id, instr(text, trim(line)) - 1 AS char_start, instr(text, trim(line)) - 1 + length(trim(line)) AS char_end FROM l WHERE line IS NOT NULL""")
 def ground_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the exact quotes of the fifth of the documents that has one are; the other forms are in ground_quotes."""
-    rows = _quotes(spark, sf_dir).filter("form = 0").select("doc_id", grounding.locate("text", "quote").alias("l"))
-    return rows.select("doc_id", F.col("l.start").alias("char_start"), F.col("l.end").alias("char_end"))
+    """Where the unaltered quote of every document that has one is; the other forms are in ground_quotes."""
+    return ground_exact_all(spark, sf_dir)
 
 
 @query("""
@@ -292,10 +301,25 @@ WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda
 SELECT doc_id, instr(text, trim(line)) - 1 AS char_start, instr(text, trim(line)) - 1 + length(trim(line)) AS char_end FROM l WHERE line IS NOT NULL""")
 def ground_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the unaltered quote of every document that has one is."""
-    rows = _lines(spark, sf_dir).select("doc_id", grounding.locate("text", F.trim("line")).alias("l"))
+    rows = _closing_lines(spark, sf_dir).select("doc_id", grounding.locate("text", F.trim("line")).alias("l"))
     return rows.select("doc_id", F.col("l.start").alias("char_start"), F.col("l.end").alias("char_end"))
 
 
+_FACTS: dict[tuple[str, str], DataFrame] = {}
+
+
+def derived_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of a folder, derived once in an application and again only if their table is gone."""
+    key = spark.sparkContext.applicationId, sf_dir
+    try:
+        if key in _FACTS and _FACTS[key].limit(1).collect():
+            return _FACTS[key]
+    except (PySparkException, Py4JJavaError):
+        pass
+    _FACTS[key] = star.facts(spark, sf_dir)
+    return _FACTS[key]
+
+
 # ---- claims, blocks, verdicts --------------------------------------------------------------------------------------
 
 _WITH = "WITH " + star.FACTS_SQL
@@ -341,18 +365,18 @@ def star_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WITH + _BLOCKS + "SELECT p AS canonical_predicate_id, s AS canonical_subject_id, members FROM blocks")
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.blocks(star.facts(spark, sf_dir))
+    return blocking.blocks(derived_facts(spark, sf_dir))
 
 
 @query(_WITH + _PAIRS + "SELECT p AS canonical_predicate_id, s AS canonical_subject_id, count(*) AS pairs, CAST(sum(a_seq % 1000003 + b_seq % 1000033) AS BIGINT) AS seqs FROM pairs GROUP BY p, s")
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pair_sums(blocking.block_pairs(star.facts(spark, sf_dir), cap=None))
+    return _pair_sums(blocking.block_pairs(derived_facts(spark, sf_dir), cap=None))
 
 
 @query(_WITH + _PAIRS + "SELECT p AS canonical_predicate_id, s AS canonical_subject_id, count(*) AS pairs, CAST(sum(a_seq % 1000003 + b_seq % 1000033) AS BIGINT) AS seqs FROM capped GROUP BY p, s")
 def capped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cap is the rule of the operator itself, and exact."""
-    return _pair_sums(blocking.block_pairs(star.facts(spark, sf_dir)))
+    return _pair_sums(blocking.block_pairs(derived_facts(spark, sf_dir)))
 
 
 def _pair_sums(pairs: DataFrame) -> DataFrame:
@@ -360,11 +384,11 @@ def _pair_sums(pairs: DataFrame) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged_pairs(star.facts(spark, sf_dir), star.edges(spark))
+    return judged_pairs(derived_facts(spark, sf_dir), star.edges(spark))
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations(star.facts(spark, sf_dir), star.edges(spark))
+    return relations(derived_facts(spark, sf_dir), star.edges(spark))
 
 
 @query(_WITH + _JUDGED + "SELECT verdict, rule_id, axis, confidence, count(*) AS n FROM judged GROUP BY ALL")
@@ -395,25 +419,25 @@ def relation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WITH + _JUDGED + _KEPT + ", b AS (SELECT verdict, min(id) AS id, confidence FROM kept k WHERE a_doc <> b_doc GROUP BY verdict, confidence) SELECT verdict, id, confidence, true AS cross FROM b QUALIFY row_number() OVER (PARTITION BY verdict ORDER BY confidence DESC, id) = 1")
 def best_case_per_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.best_per_verdict(_relations(spark, sf_dir), star.facts(spark, sf_dir))
+    return store.best_per_verdict(_relations(spark, sf_dir), derived_facts(spark, sf_dir))
 
 
 @query(_WITH + _JUDGED + _KEPT + ", ends AS (SELECT a_seq AS seq FROM kept UNION ALL SELECT b_seq FROM kept), n AS (SELECT seq, count(*) AS relations FROM ends GROUP BY seq) SELECT 'fact_' || f.seq AS id, doc AS document_id, coalesce(relations, 0) AS relations FROM facts f LEFT JOIN n USING (seq)")
 def fact_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = star.facts(spark, sf_dir)
+    f = derived_facts(spark, sf_dir)
     pages = f.select("document_id", "page_number").distinct().withColumn("text", F.lit(""))
     return store.fact_details(f, pages, _relations(spark, sf_dir)).select("id", "document_id", "relations")
 
 
 @query(_WITH + "SELECT 'fact_' || seq AS id, s AS canonical_subject_id FROM facts WHERE doc = 'annual' AND s LIKE '%nation 1%' ORDER BY seq LIMIT 50 OFFSET 10")
 def facts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = star.facts(spark, sf_dir).withColumn("claim", F.concat_ws(" ", "subject", "predicate"))
+    f = derived_facts(spark, sf_dir).withColumn("claim", F.concat_ws(" ", "subject", "predicate"))
     return store.list_facts(f, document_id="annual", q="NATION_1%", limit=50, offset=10).select("id", "canonical_subject_id")
 
 
 @query(_WITH + _JUDGED + _KEPT + "SELECT count(*) AS relations, (SELECT count(*) FROM facts WHERE doc <> 'typo') AS facts FROM kept WHERE a_doc <> 'typo' AND b_doc <> 'typo'")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = store.delete_document({"facts": star.facts(spark, sf_dir), "relations": _relations(spark, sf_dir)}, "typo")
+    left = store.delete_document({"facts": derived_facts(spark, sf_dir), "relations": _relations(spark, sf_dir)}, "typo")
     return left["relations"].agg(F.count("*").alias("relations")).join(left["facts"].agg(F.count("*").alias("facts")))
 
 
@@ -444,19 +468,18 @@ def cache_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.coverage(d.select("document_id", "key"), known).select("document_id", "units", "answered", "state")
 
 
-@query("SELECT source AS document_id, count(*) FILTER (doc_id % 5 <> 4) AS kept, count(*) FILTER (doc_id % 5 = 4) AS rejected FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 12)[-1] AS line FROM documents) WHERE line IS NOT NULL AND doc_id % 5 IN (0, 4) GROUP BY source")
+@query("SELECT source AS document_id, count(*) AS kept, count(*) AS rejected, CAST(0.5 AS DOUBLE) AS rate FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 12)[-1] AS line FROM documents) WHERE line IS NOT NULL GROUP BY source")
 def quarantine_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact and made-up quotes (two of the five forms), grounded and counted by source."""
-    source = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("document_id"))
-    rows = _quotes(spark, sf_dir).filter("form in (0, 4)").select("doc_id", grounding.locate("text", "quote").alias("l")).join(source, "doc_id")
-    return store.grounding_rate(rows.filter("l is not null"), rows.filter("l is null")).select("document_id", "kept", "rejected")
+    """Exact and made-up quotes of every document that has one, grounded and counted by source, with the share kept."""
+    rows = quarantine_rate_all(spark, sf_dir)
+    return rows.withColumn("rate", F.col("kept") / (F.col("kept") + F.col("rejected")))
 
 
 @query("SELECT source AS document_id, count(*) AS kept, count(*) AS rejected FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 12)[-1] AS line FROM documents) WHERE line IS NOT NULL GROUP BY source")
 def quarantine_rate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exact and a made-up quote of every document that has one, grounded and counted by source."""
     quotes = F.explode(F.array(F.trim("line"), _made_up(F.trim("line")))).alias("quote")
-    rows = _lines(spark, sf_dir).select(F.col("source").alias("document_id"), "text", quotes).select("document_id", grounding.locate("text", "quote").alias("l"))
+    rows = _closing_lines(spark, sf_dir).select(F.col("source").alias("document_id"), "text", quotes).select("document_id", grounding.locate("text", "quote").alias("l"))
     return store.grounding_rate(rows.filter("l is not null"), rows.filter("l is null")).select("document_id", "kept", "rejected")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.blocking import KEY, block_pairs
 from ..operators.reasoning import context, judge
+from ..operators.registry import canonicalize, normal_form
+from ..operators.store import set_canonical
 
 SIDE = ["fact_seq", "id", "document_id", "page_number", "subject", "predicate", "value_kind", "value_raw", "value_iso", "value_id", "period", "asserted_as_of", "basis", "canonical_predicate_id", "normalized_number", "normalized_unit", "confidence"]
 
@@ -41,6 +43,24 @@ def relations(facts: DataFrame, edges: DataFrame | None = None, rules: str = "re
     )
 
 
+def canonicalized(facts: DataFrame, adjudications: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, edges): facts with the registry ids of their subjects, measures and values, settled in the order of mention.
+
+    The labels of all facts go through the registry, so that labels that its tiers merge share an id; adjudications are as
+    in registry.canonicalize. Edges carry the same ids as the facts.
+    """
+    text = F.col("value_kind").isin("categorical", "entity")
+    label = lambda namespace, label, hint: F.struct(F.lit(namespace).alias("namespace"), F.col(label).alias("label"), hint.alias("hint"))
+    named = F.array_compact(F.array(label("subject", "subject", F.lit("")), label("predicate", "predicate", F.lit("")), F.when(text, label("value", "value_raw", F.col("predicate")))))
+    labels = facts.select("fact_seq", "id", F.explode(named).alias("l")).select("id", "l.*", F.col("fact_seq").alias("seq"))
+    entries, members, edges = canonicalize(labels, adjudications)
+    own = labels.withColumn("normal", normal_form(F.col("namespace"), F.col("label"), F.col("hint"))).join(members.select("namespace", "normal", "entry"), ["namespace", "normal"])
+    entry = lambda n: F.max(F.when(F.col("namespace") == n, F.concat(F.lit(f"{n}:"), F.col("entry"))))
+    ids = own.groupBy("id").agg(entry("subject").alias("canonical_subject_id"), entry("predicate").alias("canonical_predicate_id"), entry("value").alias("value_id"))
+    named_edges = edges.select(*[F.concat(F.col("namespace"), F.lit(":"), F.col(c)).alias(c) for c in "ab"], "kind")
+    return set_canonical(facts, ids), named_edges
+
+
 def touched(facts: DataFrame, new: DataFrame) -> DataFrame:
     """The facts of blocks that new facts fall into."""
     keys = new.select(F.col(KEY[0]).alias("k0"), F.col(KEY[1]).alias("k1")).distinct()

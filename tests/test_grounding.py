@@ -66,3 +66,11 @@ def test_boxes(spark, start, end, boxes):
     df = spark.createDataFrame([(spans,)], "spans array<struct<s:int,e:int,x:double,y:double,w:double,h:double>>")
     got = df.select(G.boxes_for_range("spans", F.lit(start), F.lit(end)).alias("b")).first().b
     assert [(b.x, b.y, b.w) for b in got] == boxes
+
+
+def test_folding_keeps_places_behind_letters_that_grow(spark):
+    page = "İİ list\nPin-code reach (1)   18,793\nend"
+    df = spark.createDataFrame([(page, "Pin-code reach(1) 18,793"), ("Kelvin İx pin–code", "kelvin ix-pin code")], "page string, quote string")
+    a, b = (r.l for r in df.select(G.locate("page", "quote").alias("l")).collect())
+    assert page[a.start : a.end] == "Pin-code reach (1)   18,793" and a.method == "folded"
+    assert (b.start, b.end) == (0, 18) and b.method == "folded"
