@@ -54,15 +54,27 @@ def lexical_pairs(forms: DataFrame, least: float = LEXICAL) -> DataFrame:
     return pairs.withColumn("score", score).filter(F.col("score") >= least).select("namespace", "a", "b", "score")
 
 
-def shortlist(labels: DataFrame, entries: DataFrame, least: float = SHORTLIST, top: int = TOP) -> DataFrame:
+#: Labels that are compared with all entries at a time.
+BLOCK = 2_048
+
+
+def shortlist(labels: DataFrame, entries: DataFrame, least: float | None = SHORTLIST, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """The top entries by cosine for each label, both (namespace, normal, embedding): namespace, normal, entry, score, rank.
 
-    Distinct labels are few beside the facts that use them; each is compared with the entries of its namespace.
+    Labels are broadcast about block at a time, so what is broadcast doesn't grow with them, and entries aren't moved.
     """
     entry = entries.select("namespace", F.col("normal").alias("entry"), F.col("embedding").alias("__other"))
-    scored = labels.join(entry, "namespace").filter(F.col("normal") != F.col("entry")).withColumn("score", cosine("embedding", "__other")).filter(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("namespace", "normal").orderBy(F.desc("score"), "entry"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select("namespace", "normal", "entry", "score", "rank")
+    rows = labels.select("namespace", "normal", "embedding")
+    blocks = -(-rows.count() // block) or 1
+    best = Window.partitionBy("namespace", "normal").orderBy(F.desc("score"), "entry")
+    out = None
+    for k in range(blocks):
+        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("namespace", "normal"), F.lit(blocks)) == k)
+        scored = entry.join(F.broadcast(part), "namespace").filter(F.col("normal") != F.col("entry")).withColumn("score", cosine("embedding", "__other"))
+        scored = scored if least is None else scored.filter(F.col("score") >= least)
+        found = scored.select("namespace", "normal", "entry", "score").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def canonicalize(labels: DataFrame, adjudications: DataFrame | None = None, least: float = LEXICAL) -> tuple[DataFrame, DataFrame, DataFrame]:

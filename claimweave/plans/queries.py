@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from ..functions import numbers as N
 from ..functions import periods as P
 from ..functions import text as T
-from ..functions.vectors import cosine
 from ..operators import blocking, grounding, ingest, registry, store
 from ..operators import segmentation as S
 from ..sources import responses, star
@@ -200,11 +199,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id
 SELECT query_id, vec_id, rank, CAST(floor(c * 100000 + 0.5) AS BIGINT) AS score FROM r WHERE rank <= 3""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest vectors of a stated set of queries (ids divisible by 100) among all: the shortlist of the registry."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    scored = e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("c", cosine("query", "embedding"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
-    return scored.withColumn("rank", best).filter("rank <= 3").select("query_id", "vec_id", "rank", F.floor(F.col("c") * 100000 + 0.5).cast("long").alias("score"))
+    e = table(spark, sf_dir, "embeddings").select(F.lit("vector").alias("namespace"), F.col("vec_id").alias("normal"), "embedding")
+    found = registry.shortlist(e.filter("normal % 100 = 0"), e, least=None)
+    return found.select(F.col("normal").alias("query_id"), F.col("entry").alias("vec_id"), "rank", F.floor(F.col("score") * 100000 + 0.5).cast("long").alias("score"))
 
 
 # ---- segmentation --------------------------------------------------------------------------------------------------
