@@ -1,6 +1,8 @@
 """Corpus cleaning and packing as five stages; each is written as Parquet and reread as the next one's documents.
 
-Every stage but the last returns the columns of documents; the last returns the places of the packed pieces.
+Every stage but the last returns the columns of documents, whatever others they have; the last returns the places of the
+packed pieces. Null texts count as empty. An empty table passes every stage. A row with a null doc_id passes every stage
+but exact_dedup, where it counts like any other, and is packed.
 """
 
 from __future__ import annotations
@@ -16,27 +18,27 @@ from claimweave.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Rows that repeat one go with it; where a doc_id has two texts, both go if either is rejected."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts, white space apart, one row stays: the longest, then the smallest doc_id. Null, empty and blank texts are equal."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest doc_id stays."""
+    """Of each class of linked documents the one with the smallest doc_id stays, with rows that repeat it; a text without words is linked to equal ones alone."""
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go. Rows that repeat one go with it; empty texts contain none."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of what is left."""
+    """Places of all pieces of what is left; rows that repeat a document are packed each, an empty text is its end id."""
     return pack(docs)
 
 
