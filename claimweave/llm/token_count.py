@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-CHUNK, OVERLAP = 32_768, 512
+CHUNK, OVERLAP = 8_192, 512
 
 
 class PieceModel:

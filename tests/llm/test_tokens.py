@@ -44,6 +44,11 @@ def test_chunks_agree_with_the_whole(model):
     assert widened
 
 
+def test_long_documents_of_the_tables(model):
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist() if len(t or "") > 2 * C.CHUNK][:60]
+    assert len(texts) > 30 and [C.count_long(model, t)[0] for t in texts] == [len(model.model.encode(t)) for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_places_everything(counts):
