@@ -145,4 +145,4 @@ def title_from_filename(name: Column | str) -> Column:
     base = F.regexp_replace(F.substring_index(col(name), "/", -1), r"\.[^.]*$", "")
     base = F.regexp_replace(F.regexp_replace(base, "(?i)^up_[a-z0-9]+_", ""), r"^\d+[-_]", "")
     words = F.split(F.trim(F.regexp_replace(base, "[-_]+", " ")), " ")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1))), " ")

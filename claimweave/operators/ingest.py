@@ -63,11 +63,22 @@ def split_grounded(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return claims.filter("grounding.status = 'grounded'"), claims.filter("grounding.status <> 'grounded'").withColumn("reason", F.col("grounding.status"))
 
 
-def ingest_stats(pages: DataFrame, units: DataFrame, kept: DataFrame, quarantine: DataFrame) -> DataFrame:
-    """Counters per document: pages, those with text, units, skipped ones, facts, and quarantined claims by reason."""
+def ingest_stats(pages: DataFrame, units: DataFrame, kept: DataFrame, quarantine: DataFrame, requests: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """Counters per document: pages, those with text, units, skipped ones, facts, and quarantined claims by reason.
+
+    With requests (document_id, hit, error): units answered, errors, answers from the cache and beside it. With claims, all
+    that were extracted: their number, and how many were left out as duplicates.
+    """
     p = pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.count_if(F.length(F.trim("text")) > 50).alias("pages_with_text"))
     u = units.groupBy("document_id").agg(F.count("*").alias("units"), F.count_if(~F.col("salient")).alias("skipped"))
     k = kept.groupBy("document_id").agg(F.count("*").alias("facts"))
     q = quarantine.groupBy("document_id").agg(F.count("*").alias("quarantined"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
     out = p.join(u, "document_id", "left").join(k, "document_id", "left").join(q, "document_id", "left")
+    if requests is not None:
+        failed = F.col("error").isNotNull()
+        r = requests.groupBy("document_id").agg(F.count_if(~failed).alias("extracted"), F.count_if(failed).alias("errors"), F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("cache_misses"))
+        out = out.join(r, "document_id", "left")
+    if claims is not None:
+        out = out.join(claims.groupBy("document_id").agg(F.count("*").alias("claims")), "document_id", "left").fillna(0)
+        out = out.withColumn("duplicates", F.col("claims") - F.col("facts") - F.col("quarantined"))
     return out.fillna(0)

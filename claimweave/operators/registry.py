@@ -77,6 +77,25 @@ def shortlist(labels: DataFrame, entries: DataFrame, least: float | None = SHORT
     return out
 
 
+# What an adjudicator may say of a label and a candidate.
+RELATIONS = {"predicate": ["same", "broader", "narrower", "different"], "subject": ["same", "different"], "value": ["same", "exclusive", "compatible", "different"]}
+
+
+def adjudications(answers: DataFrame, shortlisted: DataFrame) -> DataFrame:
+    """namespace, normal, candidate, relation of answers (namespace, normal, match, relation) about shortlisted labels.
+
+    match is the rank of the candidate that the answer is about. An answer that names no candidate of the list, or a
+    relation that its namespace doesn't have, counts as different, and so has no candidate.
+    """
+    listed = shortlisted.select("namespace", "normal", F.col("rank").alias("match"), F.col("entry").alias("candidate"))
+    known = F.lit(False)
+    for namespace, relations in RELATIONS.items():
+        known = known | ((F.col("namespace") == namespace) & F.col("relation").isin(relations))
+    about = F.coalesce(known, F.lit(False)) & (F.col("relation") != "different") & F.col("candidate").isNotNull()
+    told = answers.join(listed, ["namespace", "normal", "match"], "left")
+    return told.select("namespace", "normal", F.when(about, F.col("candidate")).alias("candidate"), F.when(about, F.col("relation")).otherwise("different").alias("relation"))
+
+
 def canonicalize(labels: DataFrame, adjudications: DataFrame | None = None, least: float = LEXICAL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, members, edges) of labels (namespace, label, hint, seq).
 

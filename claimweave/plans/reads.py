@@ -212,6 +212,22 @@ def chain_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.groupBy("j.decision.verdict", "j.decision.rule_id", "j.decision.axis", "j.decision.confidence").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))) AS c FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s)
+SELECT q.vec_id AS label, CASE WHEN (q.vec_id // 100) % 2 = 0 THEN r.vec_id END AS candidate, CASE WHEN (q.vec_id // 100) % 2 = 0 AND r.vec_id IS NOT NULL THEN 'same' ELSE 'different' END AS relation
+FROM e q LEFT JOIN r ON query_id = q.vec_id AND rank = (q.vec_id // 100) % 5 AND rank <= 3 WHERE q.vec_id % 100 = 0""")
+def adjudicated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about the shortlists of the stated queries: some name no candidate, some a relation that subjects don't have."""
+    e = table(spark, sf_dir, "embeddings").select(F.lit("subject").alias("namespace"), F.col("vec_id").alias("normal"), "embedding")
+    q = e.filter("normal % 100 = 0")
+    number = F.floor(F.col("normal") / 100)
+    answers = q.select("namespace", "normal", (number % 5).cast("int").alias("match"), F.when(number % 2 == 0, "same").otherwise("exclusive").alias("relation"))
+    told = registry.adjudications(answers, registry.shortlist(q, e, least=None))
+    return told.select(F.col("normal").alias("label"), "candidate", "relation")
+
+
 @query("""SELECT 'subject' AS namespace, lower(replace(s_name, '#', ' ')) AS normal, 3 AS occurrences, lower(s_name) || '|' || lower(s_name) || ' ltd.' AS aliases FROM supplier""")
 def registry_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the suppliers' names with all spellings that they came in."""
@@ -311,14 +327,17 @@ def fact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("id", "evidence.before", "evidence.mark", told.alias("relations"))
 
 
-@query(_WITH + "SELECT doc AS document_id, count(*) FILTER (seq % 5 = 1) AS quote_not_found, count(*) FILTER (seq % 5 = 2) AS value_not_in_quote, count(*) FILTER (seq % 5 NOT IN (1, 2)) AS facts, count(DISTINCT seq % 7) AS pages FROM facts GROUP BY doc")
+@query(_WITH + "SELECT doc AS document_id, count(*) FILTER (seq % 3 = 0) AS cache_hits, count(*) FILTER (seq % 11 = 0) AS errors, count(*) + count(*) FILTER (seq % 4 = 0) AS claims, count(*) FILTER (seq % 4 = 0) AS duplicates, count(*) FILTER (seq % 5 = 1) AS quote_not_found, count(*) FILTER (seq % 5 = 2) AS value_not_in_quote, count(*) FILTER (seq % 5 NOT IN (1, 2)) AS facts, count(DISTINCT seq % 7) AS pages FROM facts GROUP BY doc")
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of pages, facts and quarantine by reason, where claims are rejected by the rest of their number by five."""
     f = derived_facts(spark, sf_dir).withColumn("rest", F.col("fact_seq") % 5)
     pages = f.select("document_id", "page_number").distinct().withColumn("text", F.lit("x" * 60))
     units = pages.withColumn("salient", F.lit(True))
     bad = f.filter("rest in (1, 2)").withColumn("reason", F.when(F.col("rest") == 1, "quote_not_found").otherwise("value_not_in_quote"))
-    return ingest.ingest_stats(pages, units, f.filter("rest not in (1, 2)"), bad).select("document_id", "quote_not_found", "value_not_in_quote", "facts", "pages")
+    requests = f.select("document_id", (F.col("fact_seq") % 3 == 0).alias("hit"), F.when(F.col("fact_seq") % 11 == 0, "no answer").alias("error"))
+    claims = f.select("document_id").unionAll(f.filter("fact_seq % 4 = 0").select("document_id"))
+    counted = ingest.ingest_stats(pages, units, f.filter("rest not in (1, 2)"), bad, requests, claims)
+    return counted.select("document_id", "cache_hits", "errors", "claims", "duplicates", "quote_not_found", "value_not_in_quote", "facts", "pages")
 
 
 @query(_WITH + "SELECT CASE WHEN seq % 5 = 1 THEN 'quote_not_found' ELSE 'value_not_in_quote' END AS reason, count(*) AS n FROM facts WHERE seq % 5 IN (1, 2) GROUP BY ALL")
