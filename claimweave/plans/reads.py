@@ -346,8 +346,8 @@ def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.quarantine_by_reason(f.filter("rest in (1, 2)").withColumn("reason", F.when(F.col("rest") == 1, "quote_not_found").otherwise("value_not_in_quote")))
 
 
-@query(_WITH + "SELECT 'fact_' || seq AS id FROM facts WHERE doc = 'typo' AND seq % 5 = 1 ORDER BY ((seq % 7) + 1), seq LIMIT 50")
+@query(_WITH + "SELECT 'fact_' || seq AS id FROM facts WHERE doc = 'quarterly' AND seq % 5 = 1 ORDER BY ((seq % 7) + 1), seq LIMIT 50")
 def quarantine_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 rejected claims of one document and reason; the limit is the list's own."""
     f = derived_facts(spark, sf_dir).filter("fact_seq % 5 = 1").withColumns({"reason": F.lit("quote_not_found"), "unit": F.lit(0), "claim_pos": F.col("fact_seq")})
-    return store.list_quarantine(f, "typo", "quote_not_found", 50).select("id")
+    return store.list_quarantine(f, "quarterly", "quote_not_found", 50).select("id")
