@@ -164,6 +164,11 @@ def test_repeated_passages_of_short_sentences(make):
     assert cut[4] == "別的開頭在這裡。結尾。" and cut[7].split() == ["la."]
 
 
+def test_every_sentence_if_asked_for(make):
+    got = S.repeated_units(make([(5, "Yes.\nNo."), (6, "Yes.\nNo."), (7, "Perhaps. no")]), min_words=1).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.keep_doc_id, r.copies) for r in got) == [(6, 0, 4, 5, 2), (6, 5, 3, 5, 3), (7, 9, 2, 5, 3)]
+
+
 def test_units_cover_what_repeats():
     """Whatever stands around a passage, the units in it are the same and leave no sentence out."""
     rng = np.random.default_rng(3)
