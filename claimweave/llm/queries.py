@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, chat_format, decontaminate, exact_dedup, jaccard_join, packing, substring_dedup, token_count, token_store, toxicity
+from . import brown_lm, chat_format, decontaminate, exact_dedup, jaccard_join, merkle, packing, substring_dedup, token_count, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), carry={"tampered": merkle.tampered_leaf()})
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), "path"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash("path").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,10 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_decontamination,
         op10_jaccard_join,
+        op13_merkle_manifest,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
