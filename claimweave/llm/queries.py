@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, chat_format, decontaminate, exact_dedup, jaccard_join, merkle, packing, substring_dedup, token_count, token_store, toxicity
+from . import brown_lm, chat_format, decontaminate, exact_dedup, jaccard_join, merkle, packing, piecewise_hash, prefix_trie, substring_dedup, token_count, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise_hash.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.manifest(table(spark, sf_dir, "documents"), carry={"tampered": merkle.tampered_leaf()})
     rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), "path"))
@@ -92,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_decontamination,
         op10_jaccard_join,
+        op11_piecewise_hash,
+        op12_prefix_trie,
         op13_merkle_manifest,
     )
 }
@@ -99,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
