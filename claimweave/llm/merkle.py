@@ -37,9 +37,9 @@ def _climbed(nodes: DataFrame, with_path: bool) -> DataFrame:
 
     n is the number of nodes of the tree on the level of h. A level of one node is not climbed.
     """
-    block = Window.partitionBy("tree", F.shiftright("idx", BITS)).orderBy("idx")
+    block = Window.partitionBy("tree", "block").orderBy("idx")  # a column, so that all windows share one exchange and sort
     so_far = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    idx, rows, h, waiting, steps = F.col("idx"), nodes, "h", {}, []
+    idx, rows, h, waiting, steps = F.col("idx"), nodes.withColumn("block", F.shiftright("idx", BITS)), "h", {}, []
     for k in range(BITS):
         size = 1 << k
         at, run = F.shiftright(idx, k), F.shiftright(F.col("n") + (size - 1), k)
@@ -55,7 +55,7 @@ def _climbed(nodes: DataFrame, with_path: bool) -> DataFrame:
             steps.append(F.when(run > 1, F.struct(right.alias("on_left"), F.col(f"__step{k}").alias("digest"))))
         h = f"__h{k + 1}"
     rows = rows.withColumns(waiting | {"top": F.col(h)})
-    return rows.withColumn("path", F.array_compact(F.array(*steps))).select(*nodes.columns, "path") if with_path else rows.select(*nodes.columns, "top")
+    return rows.withColumn("path", F.array_compact(F.array(*steps))).select(*nodes.columns, "block", "path") if with_path else rows.select(*nodes.columns, "block", "top")
 
 
 def _tiers(nodes: DataFrame, most: int, label: str) -> list[DataFrame]:
@@ -63,18 +63,18 @@ def _tiers(nodes: DataFrame, most: int, label: str) -> list[DataFrame]:
     tiers = [nodes]
     while most > 1 or len(tiers) < 2:
         up = _climbed(tiers[-1], False).filter(F.col("idx").bitwiseAND(F.lit(2**BITS - 1)) == 0)
-        tiers.append(save(up.select("tree", F.shiftright("idx", BITS).alias("idx"), F.shiftright(F.col("n") + (2**BITS - 1), BITS).alias("n"), F.col("top").alias("h")), label))
+        tiers.append(save(up.select("tree", F.col("block").alias("idx"), F.shiftright(F.col("n") + (2**BITS - 1), BITS).alias("n"), F.col("top").alias("h")), label))
         most = (most + 2**BITS - 1) >> BITS
     return tiers
 
 
 def _proofs(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
-    """The rows of the lowest tier with path, up to what above (tree, above, ...) adds to it for each tree."""
-    keep = [c for c in above.columns if c not in ("tree", "above")]
-    up = above.withColumn("block", F.lit(0).cast("long"))
+    """The rows of the lowest tier with path, up to what above (tree, block, above, ...) adds to it for each tree's last node."""
+    keep = [c for c in above.columns if c not in ("tree", "block", "above")]
+    up = above
     for nodes in tiers[-2::-1]:
         own = [c for c in nodes.columns if c not in keep]
-        rows = _climbed(nodes, True).withColumn("block", F.shiftright("idx", BITS)).join(up, ["tree", "block"])
+        rows = _climbed(nodes, True).join(up, ["tree", "block"])
         rows = rows.select(*own, *keep, F.concat("path", "above").alias("path"))
         up = rows.select("tree", F.col("idx").alias("block"), *keep, F.col("path").alias("above"))
     return rows
@@ -101,8 +101,8 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tree_col: str =
     subroots = tiers[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(trees).cast("long").alias("n"), "h")
     over = _tiers(subroots, trees, "merkle-top")
     root = over[-1].first()
-    start = over[-1].select("tree", F.array().cast(PATH).alias("above"))
-    above = _proofs(over, start).select(F.col("idx").alias("tree"), F.col("h").alias("subroot"), F.col("path").alias("above"))
+    start = over[-1].select("tree", F.col("idx").alias("block"), F.array().cast(PATH).alias("above"))
+    above = _proofs(over, start).select(F.col("idx").alias("tree"), F.lit(0).cast("long").alias("block"), F.col("h").alias("subroot"), F.col("path").alias("above"))
     return _proofs(tiers, above).select("doc_id", F.col("h").alias("leaf"), "subroot", F.lit(root and root["h"]).cast("string").alias("root"), "path", *(carry or {}))
 
 

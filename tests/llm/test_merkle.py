@@ -94,3 +94,9 @@ def test_three_tiers(spark, tmp_path, monkeypatch):
 def test_fold(spark):
     path = F.array(F.struct(F.lit(True).alias("on_left"), F.lit("a").alias("digest")), F.struct(F.lit(False).alias("on_left"), F.lit("").alias("digest")))
     assert spark.range(1).select(M.fold(F.lit("x"), path)).first()[0] == h(h("a", "x"))
+
+
+def test_one_exchange_for_all_levels(spark):
+    nodes = spark.range(1_000).select(F.lit(0).cast("long").alias("tree"), F.col("id").alias("idx"), F.lit(1_000).cast("long").alias("n"), F.col("id").cast("string").alias("h"))
+    plan = M._climbed(nodes, True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
