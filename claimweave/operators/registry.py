@@ -33,25 +33,35 @@ def forms(labels: DataFrame) -> DataFrame:
     )
 
 
+def words_of(form: Column | str) -> Column:
+    return F.array_distinct(F.filter(F.split(form, " "), lambda w: w != ""))
+
+
+def dice(a: Column, b: Column) -> Column:
+    return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+
+
+def prefix_size(n: Column, least: float) -> Column:
+    """How many of the rarest of n words two sets of a Dice similarity of least must have one in common of."""
+    # Dice >= t of sizes x and y needs an overlap of at least t / (2 - t) * x.
+    share = least / (2 - least)
+    return F.greatest(F.lit(1), n - F.ceil(share * n - 1e-9) + 1).cast("int")
+
+
 def lexical_pairs(forms: DataFrame, least: float = LEXICAL) -> DataFrame:
     """namespace, a, b, score: normal forms whose Dice similarity of words is at least least, a the earlier.
 
     Prefix filter: two such sets share one of their rarest words, as many as may be missing and one more.
     """
-    words = F.array_distinct(F.filter(F.split("normal", " "), lambda w: w != ""))
-    rows = forms.select("namespace", "normal", "seq", words.alias("words")).filter(F.size("words") > 0)
+    rows = forms.select("namespace", "normal", "seq", words_of("normal").alias("words")).filter(F.size("words") > 0)
     each = rows.select("namespace", "normal", F.explode("words").alias("word"))
     rare = each.groupBy("namespace", "word").agg(F.count("*").alias("n"))
     ranked = each.join(rare, ["namespace", "word"]).groupBy("namespace", "normal").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
-    # Dice >= t of sizes x and y needs an overlap of at least t / (2 - t) * x.
-    share = least / (2 - least)
-    keep = F.greatest(F.lit(1), F.size("ranked") - F.ceil(share * F.size("ranked") - 1e-9) + 1).cast("int")
-    prefix = ranked.select("namespace", "normal", F.explode(F.slice("ranked", F.lit(1), keep)).alias("r")).select("namespace", "normal", F.col("r.word").alias("word"))
+    prefix = ranked.select("namespace", "normal", F.explode(F.slice("ranked", F.lit(1), prefix_size(F.size("ranked"), least))).alias("r")).select("namespace", "normal", F.col("r.word").alias("word"))
     met = prefix.alias("x").join(prefix.alias("y"), ["namespace", "word"]).filter("x.normal <> y.normal").select("namespace", F.col("x.normal").alias("a"), F.col("y.normal").alias("b")).distinct()
     side = lambda n: rows.select("namespace", F.col("normal").alias(n), F.col("seq").alias(f"{n}_seq"), F.col("words").alias(f"{n}_words"))
     pairs = met.join(side("a"), ["namespace", "a"]).join(side("b"), ["namespace", "b"]).filter("a_seq < b_seq")
-    score = 2.0 * F.size(F.array_intersect("a_words", "b_words")) / (F.size("a_words") + F.size("b_words"))
-    return pairs.withColumn("score", score).filter(F.col("score") >= least).select("namespace", "a", "b", "score")
+    return pairs.withColumn("score", dice(F.col("a_words"), F.col("b_words"))).filter(F.col("score") >= least).select("namespace", "a", "b", "score")
 
 
 #: Labels that are compared with all entries at a time.
@@ -96,6 +106,41 @@ def adjudications(answers: DataFrame, shortlisted: DataFrame) -> DataFrame:
     return told.select("namespace", "normal", F.when(about, F.col("candidate")).alias("candidate"), F.when(about, F.col("relation")).otherwise("different").alias("relation"))
 
 
+def settled_in_rounds(labels: DataFrame, near: DataFrame) -> DataFrame:
+    """namespace, normal, entry, tier of labels (namespace, normal).
+
+    near (namespace, a, b, tier, score, a_order, a_entry): label b may join a, which comes before it; a_entry is the entry
+    of a, where a was settled before. A label is settled once all its earlier neighbours are: it joins the best of those
+    that are entries (lowest tier, highest score, first in order), else it is an entry itself. A round reads the neighbours
+    of labels that are still open, and no others.
+    """
+    key = ["namespace", "normal"]
+    rest = save(near, "near")
+    step = labels.join(rest.select("namespace", F.col("b").alias("normal")).distinct(), key, "left_anti").select(*key, F.col("normal").alias("entry"), F.lit("minted").alias("tier"))
+    out = step = save(step, "settled")
+    while not is_empty(rest):
+        named = step.select("namespace", F.col("normal").alias("a"), F.col("entry").alias("__entry"))
+        rest = save(rest.join(named, ["namespace", "a"], "left").withColumn("a_entry", F.coalesce("a_entry", "__entry")).drop("__entry"), "near")
+        best = F.min(F.when(F.col("a_entry") == F.col("a"), F.struct("tier", (-F.col("score")).alias("s"), "a_order", "a")))
+        judged = rest.groupBy("namespace", "b").agg(best.alias("best"), F.bool_and(F.col("a_entry").isNotNull()).alias("ready")).filter("ready")
+        tier = F.when(F.col("best").isNull(), "minted").when(F.col("best.tier") == 0, "lexical").otherwise("adjudicated")
+        step = save(judged.select("namespace", F.col("b").alias("normal"), F.coalesce("best.a", "b").alias("entry"), tier.alias("tier")), "settled")
+        out = out.union(step)
+        rest = rest.join(step.select("namespace", F.col("normal").alias("b")), ["namespace", "b"], "left_anti")
+    return out
+
+
+def adjudicated_edges(asked: DataFrame, entry_of: DataFrame) -> DataFrame:
+    """namespace, a, b, kind of answers (namespace, a, b, relation) about label b and an earlier one a, between their entries (namespace, normal, entry)."""
+    to = entry_of.select("namespace", F.col("normal").alias("x"), F.col("entry").alias("x_entry"))
+    rel = asked.filter(F.col("relation").isin("broader", "narrower", "exclusive", "compatible"))
+    rel = rel.join(to.withColumnsRenamed({"x": "a", "x_entry": "a_entry"}), ["namespace", "a"]).join(to.withColumnsRenamed({"x": "b", "x_entry": "b_entry"}), ["namespace", "b"])
+    # broader: the label contains the candidate.
+    flip = F.col("relation") == "broader"
+    kind = F.when(F.col("relation").isin("broader", "narrower"), "subsumes").otherwise(F.col("relation"))
+    return rel.select("namespace", F.when(flip, F.col("b_entry")).otherwise(F.col("a_entry")).alias("a"), F.when(flip, F.col("a_entry")).otherwise(F.col("b_entry")).alias("b"), kind.alias("kind")).filter("a <> b").distinct()
+
+
 def canonicalize(labels: DataFrame, adjudications: DataFrame | None = None, least: float = LEXICAL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, members, edges) of labels (namespace, label, hint, seq).
 
@@ -107,35 +152,20 @@ def canonicalize(labels: DataFrame, adjudications: DataFrame | None = None, leas
     """
     known = save(forms(labels), "forms")
     near = lexical_pairs(known, least).select("namespace", "a", "b", F.lit(0).alias("tier"), "score")
+    earlier = known.select("namespace", F.col("normal").alias("a"), F.col("seq").alias("a_seq"))
     if adjudications is not None:
         seqs = known.select("namespace", F.col("normal").alias("b"), F.col("seq").alias("b_seq"))
         asked = adjudications.select("namespace", F.col("normal").alias("b"), F.col("candidate").alias("a"), "relation")
-        earlier = known.select("namespace", F.col("normal").alias("a"), F.col("seq").alias("a_seq"))
         asked = save(asked.join(seqs, ["namespace", "b"]).join(earlier, ["namespace", "a"]).filter("a_seq < b_seq"), "asked")
         near = near.union(asked.filter("relation = 'same'").select("namespace", "a", "b", F.lit(1).alias("tier"), F.lit(1.0).alias("score")))
-    near = save(near, "near")
-    settled = save(known.join(near.select("namespace", F.col("b").alias("normal")).distinct(), ["namespace", "normal"], "left_anti").select("namespace", "normal", F.col("normal").alias("entry"), F.lit("minted").alias("tier")), "settled")
-    open_ = save(known.join(settled, ["namespace", "normal"], "left_anti").select("namespace", "normal"), "open")
-    while not is_empty(open_):
-        state = near.join(open_.withColumnRenamed("normal", "b"), ["namespace", "b"]).join(settled.select("namespace", F.col("normal").alias("a"), F.col("entry").alias("a_entry")), ["namespace", "a"], "left")
-        seq = known.select("namespace", F.col("normal").alias("a"), "seq")
-        # Only entries can be joined; of equal scores the earliest.
-        best = F.min(F.when(F.col("a_entry") == F.col("a"), F.struct("tier", (-F.col("score")).alias("s"), "seq", "a")))
-        judged = state.join(seq, ["namespace", "a"]).groupBy("namespace", "b").agg(best.alias("best"), F.bool_and(F.col("a_entry").isNotNull()).alias("ready")).filter("ready")
-        step = judged.select("namespace", F.col("b").alias("normal"), F.coalesce("best.a", "b").alias("entry"), F.when(F.col("best").isNull(), "minted").when(F.col("best.tier") == 0, "lexical").otherwise("adjudicated").alias("tier"))
-        settled = save(settled.union(step), "settled")
-        open_ = save(open_.join(settled, ["namespace", "normal"], "left_anti"), "open")
+    near = near.join(earlier, ["namespace", "a"]).select("namespace", "a", "b", "tier", "score", F.col("a_seq").alias("a_order"), F.lit(None).cast("string").alias("a_entry"))
+    settled = save(settled_in_rounds(known.select("namespace", "normal"), near), "members")
     grouped = known.join(settled, ["namespace", "normal"])
     entries = grouped.groupBy("namespace", F.col("entry").alias("normal")).agg(F.min_by("canonical", "seq").alias("canonical"), F.min("seq").alias("seq"), F.sum("occurrences").alias("occurrences"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
     if adjudications is None:
         edges = settled.sparkSession.createDataFrame([], "namespace string, a string, b string, kind string")
     else:
-        to = settled.select("namespace", F.col("normal").alias("x"), F.col("entry").alias("x_entry"))
-        rel = asked.filter(F.col("relation").isin("broader", "narrower", "exclusive", "compatible"))
-        rel = rel.join(to.withColumnsRenamed({"x": "a", "x_entry": "a_entry"}), ["namespace", "a"]).join(to.withColumnsRenamed({"x": "b", "x_entry": "b_entry"}), ["namespace", "b"])
-        # broader: the label contains the candidate.
-        flip = F.col("relation") == "broader"
-        edges = rel.select("namespace", F.when(flip, F.col("b_entry")).otherwise(F.col("a_entry")).alias("a"), F.when(flip, F.col("a_entry")).otherwise(F.col("b_entry")).alias("b"), F.when(F.col("relation").isin("broader", "narrower"), "subsumes").otherwise(F.col("relation")).alias("kind")).filter("a <> b").distinct()
+        edges = adjudicated_edges(asked.select("namespace", "a", "b", "relation"), settled.select("namespace", "normal", "entry"))
     return entries, settled, edges
 
 

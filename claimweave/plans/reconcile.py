@@ -49,16 +49,30 @@ def canonicalized(facts: DataFrame, adjudications: DataFrame | None = None) -> t
     The labels of all facts go through the registry, so that labels that its tiers merge share an id; adjudications are as
     in registry.canonicalize. Edges carry the same ids as the facts.
     """
+    labels = labels_of(facts)
+    _, members, edges = canonicalize(labels, adjudications)
+    return with_entries(facts, labels, members), edge_ids(edges)
+
+
+def labels_of(facts: DataFrame) -> DataFrame:
+    """The labels that facts mention (id, namespace, label, hint, seq): subject, measure, and value where it is a text."""
     text = F.col("value_kind").isin("categorical", "entity")
     label = lambda namespace, label, hint: F.struct(F.lit(namespace).alias("namespace"), F.col(label).alias("label"), hint.alias("hint"))
     named = F.array_compact(F.array(label("subject", "subject", F.lit("")), label("predicate", "predicate", F.lit("")), F.when(text, label("value", "value_raw", F.col("predicate")))))
-    labels = facts.select("fact_seq", "id", F.explode(named).alias("l")).select("id", "l.*", F.col("fact_seq").alias("seq"))
-    entries, members, edges = canonicalize(labels, adjudications)
+    return facts.select("fact_seq", "id", F.explode(named).alias("l")).select("id", "l.*", F.col("fact_seq").alias("seq"))
+
+
+def with_entries(facts: DataFrame, labels: DataFrame, members: DataFrame) -> DataFrame:
+    """facts with the registry ids of their labels, by the entries of members (namespace, normal, entry)."""
     own = labels.withColumn("normal", normal_form(F.col("namespace"), F.col("label"), F.col("hint"))).join(members.select("namespace", "normal", "entry"), ["namespace", "normal"])
     entry = lambda n: F.max(F.when(F.col("namespace") == n, F.concat(F.lit(f"{n}:"), F.col("entry"))))
     ids = own.groupBy("id").agg(entry("subject").alias("canonical_subject_id"), entry("predicate").alias("canonical_predicate_id"), entry("value").alias("value_id"))
-    named_edges = edges.select(*[F.concat(F.col("namespace"), F.lit(":"), F.col(c)).alias(c) for c in "ab"], "kind")
-    return set_canonical(facts, ids), named_edges
+    return set_canonical(facts, ids)
+
+
+def edge_ids(edges: DataFrame) -> DataFrame:
+    """Registry edges (namespace, a, b, kind) with the ids that facts carry."""
+    return edges.select(*[F.concat(F.col("namespace"), F.lit(":"), F.col(c)).alias(c) for c in "ab"], "kind")
 
 
 def touched(facts: DataFrame, new: DataFrame) -> DataFrame:
