@@ -5,24 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet under spark.checkpoint.dir and read it back: cuts lineage, survives lost executors.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path under spark.checkpoint.dir, for a table that is written once.
 
     The setting must name a folder that all machines share; only a session of one machine (local master) does without.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="claimweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/claimweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/claimweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet under spark.checkpoint.dir and read it back: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
