@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -302,19 +300,9 @@ def ground_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("l.start").alias("char_start"), F.col("l.end").alias("char_end"))
 
 
-_FACTS: dict[tuple[str, str], DataFrame] = {}
-
-
 def derived_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts of a folder, derived once in an application and again only if their table is gone."""
-    key = spark.sparkContext.applicationId, sf_dir
-    try:
-        if key in _FACTS and _FACTS[key].limit(1).collect():
-            return _FACTS[key]
-    except (PySparkException, Py4JJavaError):
-        pass
-    _FACTS[key] = star.facts(spark, sf_dir)
-    return _FACTS[key]
+    """The facts of a folder, derived anew by each query."""
+    return star.facts(spark, sf_dir)
 
 
 # ---- claims, blocks, verdicts --------------------------------------------------------------------------------------
@@ -384,8 +372,8 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_pairs(derived_facts(spark, sf_dir), star.edges(spark))
 
 
-def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations(derived_facts(spark, sf_dir), star.edges(spark))
+def _relations(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    return relations(derived_facts(spark, sf_dir) if facts is None else facts, star.edges(spark))
 
 
 @query(_WITH + _JUDGED + "SELECT verdict, rule_id, axis, confidence, count(*) AS n FROM judged GROUP BY ALL")
@@ -416,14 +404,15 @@ def relation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WITH + _JUDGED + _KEPT + ", b AS (SELECT verdict, min(id) AS id, confidence FROM kept k WHERE a_doc <> b_doc GROUP BY verdict, confidence) SELECT verdict, id, confidence, true AS cross FROM b QUALIFY row_number() OVER (PARTITION BY verdict ORDER BY confidence DESC, id) = 1")
 def best_case_per_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.best_per_verdict(_relations(spark, sf_dir), derived_facts(spark, sf_dir))
+    f = derived_facts(spark, sf_dir)
+    return store.best_per_verdict(_relations(spark, sf_dir, f), f)
 
 
 @query(_WITH + _JUDGED + _KEPT + ", ends AS (SELECT a_seq AS seq FROM kept UNION ALL SELECT b_seq FROM kept), n AS (SELECT seq, count(*) AS relations FROM ends GROUP BY seq) SELECT 'fact_' || f.seq AS id, doc AS document_id, coalesce(relations, 0) AS relations FROM facts f LEFT JOIN n USING (seq)")
 def fact_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = derived_facts(spark, sf_dir)
     pages = f.select("document_id", "page_number").distinct().withColumn("text", F.lit(""))
-    return store.fact_details(f, pages, _relations(spark, sf_dir)).select("id", "document_id", "relations")
+    return store.fact_details(f, pages, _relations(spark, sf_dir, f)).select("id", "document_id", "relations")
 
 
 @query(_WITH + "SELECT 'fact_' || seq AS id, s AS canonical_subject_id FROM facts WHERE doc = 'annual' AND s LIKE '%nation 1%' ORDER BY seq LIMIT 50 OFFSET 10")
@@ -434,7 +423,8 @@ def facts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WITH + _JUDGED + _KEPT + "SELECT count(*) AS relations, (SELECT count(*) FROM facts WHERE doc <> 'typo') AS facts FROM kept WHERE a_doc <> 'typo' AND b_doc <> 'typo'")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = store.delete_document({"facts": derived_facts(spark, sf_dir), "relations": _relations(spark, sf_dir)}, "typo")
+    f = derived_facts(spark, sf_dir)
+    left = store.delete_document({"facts": f, "relations": _relations(spark, sf_dir, f)}, "typo")
     return left["relations"].agg(F.count("*").alias("relations")).join(left["facts"].agg(F.count("*").alias("facts")))
 
 

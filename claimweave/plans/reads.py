@@ -306,8 +306,9 @@ def fact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WITH + _JUDGED + _KEPT + ", one AS (SELECT min(a_seq) AS seq FROM kept) SELECT id, verdict FROM kept, one WHERE a_seq = seq OR b_seq = seq")
 def fact_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relations of the first fact that has some."""
-    rel = core.save(core._relations(spark, sf_dir), "relations")
-    f = derived_facts(spark, sf_dir).select("id", "fact_seq").join(rel.select(F.col("fact_a_id").alias("id")).distinct(), "id").orderBy("fact_seq").first()
+    facts = derived_facts(spark, sf_dir)
+    rel = core.save(core._relations(spark, sf_dir, facts), "relations")
+    f = facts.select("id", "fact_seq").join(rel.select(F.col("fact_a_id").alias("id")).distinct(), "id").orderBy("fact_seq").first()
     return store.relations_of(rel, f["id"] if f else "").select("id", "verdict")
 
 
@@ -316,13 +317,13 @@ def fact_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT 'fact_' || f.seq AS id, 'Revenue page ' || (f.seq % 7 + 1) AS before, 'fact_' || f.seq AS mark, relations FROM facts f LEFT JOIN n USING (seq)""")
 def fact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fact with its place in its page and all its relations."""
-    f = derived_facts(spark, sf_dir)
+    f = facts = derived_facts(spark, sf_dir)
     page = F.concat(F.lit("Revenue page "), F.col("page_number").cast("string"))
     # A page of its own for each fact: a line that says what the page is, then the fact's id.
     f = f.withColumn("document_id", F.concat("document_id", F.lit("/"), "id"))
     pages = f.select("document_id", "page_number", F.concat(page, F.col("id")).alias("text"))
     f = f.withColumn("char_start", F.length(page)).withColumn("char_end", F.length(page) + F.length("id"))
-    whole = store.whole_facts(f, pages, core.save(core._relations(spark, sf_dir), "relations"))
+    whole = store.whole_facts(f, pages, core.save(core._relations(spark, sf_dir, facts), "relations"))
     told = F.nullif(F.array_join(F.transform("relations", lambda r: F.concat(r["verdict"], F.lit(" "), r["other"])), ", "), F.lit(""))
     return whole.select("id", "evidence.before", "evidence.mark", told.alias("relations"))
 
