@@ -114,8 +114,8 @@ def context(fact: Column) -> Column:
     )
 
 
-def axis_deltas(a: Column, b: Column, ca: Column, cb: Column, relation: Column) -> Column:
-    """array<struct<dimension, aligned, a, b, note>> in the order of AXES; relation is that of the periods."""
+def axis_deltas(a: Column, b: Column, ca: Column, cb: Column, relation: Column, broader: Column | None = None) -> Column:
+    """array<struct<dimension, aligned, a, b, note>> in the order of AXES; relation is that of the periods, broader the side (a, b) whose measure contains the other's."""
     told = lambda c, none: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit(none))
     shown = lambda c: F.nullif(F.array_join(c, ", "), F.lit(""))
 
@@ -135,13 +135,14 @@ def axis_deltas(a: Column, b: Column, ca: Column, cb: Column, relation: Column)
     equal = ca["scope"] == cb["scope"]
     silent = (F.size(ca["scope"]) == 0) | (F.size(cb["scope"]) == 0)
     narrow = (F.size(ca["narrow"]) > 0) | (F.size(cb["narrow"]) > 0)
+    contains = F.lit("") if broader is None else F.when(broader == "a", ": the first contains the second").when(broader == "b", ": the second contains the first").otherwise("")
     ua, ub, va, vb = a["normalized_unit"], b["normalized_unit"], a["asserted_as_of"], b["asserted_as_of"]
     return F.array(
         delta("period", relation == "EQUAL", period_or_null(a), period_or_null(b), F.concat(F.lit("Same period: "), pa), why),
         delta("entityScope", equal | (silent & ~narrow), shown(ca["scope"]), shown(cb["scope"]), F.concat(F.lit("Entity scopes agree: "), told(F.array_union(ca["scope"], cb["scope"]), "none stated")), F.concat(F.lit("Entity scopes differ: "), told(ca["scope"], "none"), F.lit(" and "), told(cb["scope"], "none"))),
         delta("basis", ca["other"] == cb["other"], shown(ca["other"]), shown(cb["other"]), F.concat(F.lit("Qualifiers agree: "), told(ca["other"], "none")), F.concat(F.lit("Qualifiers differ: "), told(ca["other"], "none"), F.lit(" and "), told(cb["other"], "none"))),
         delta("unit", ua.eqNullSafe(ub), ua, ub, F.concat(F.lit("Same base unit: "), F.coalesce(ua, F.lit("none"))), F.concat(F.lit("Base units differ: "), F.coalesce(ua, F.lit("none")), F.lit(" and "), F.coalesce(ub, F.lit("none")))),
-        delta("predicate", a["canonical_predicate_id"].eqNullSafe(b["canonical_predicate_id"]), a["predicate"], b["predicate"], F.concat(F.lit("Same measure: "), a["predicate"]), F.concat(F.lit("Measures differ: "), a["predicate"], F.lit(" and "), b["predicate"])),
+        delta("predicate", a["canonical_predicate_id"].eqNullSafe(b["canonical_predicate_id"]), a["predicate"], b["predicate"], F.concat(F.lit("Same measure: "), a["predicate"]), F.concat(F.lit("Measures differ: "), a["predicate"], F.lit(" and "), b["predicate"], contains)),
         delta("vintage", va.eqNullSafe(vb), va, vb, F.concat(F.lit("Published alike: "), F.coalesce(va, F.lit("undated"))), F.when(va.isNull() | vb.isNull(), F.lit("One side has no publication date")).otherwise(F.concat(F.lit("Published "), va, F.lit(" and "), vb, F.when(va < vb, F.lit(": b is later")).otherwise(F.lit(": a is later"))))),
     )
 
@@ -203,11 +204,11 @@ def decide(a: Column, b: Column, ca: Column, cb: Column, value: Column, relation
     return let(off, table)
 
 
-def judge(a: Column, b: Column, ca: Column, cb: Column, edge: Column, rules: str = "reference") -> Column:
+def judge(a: Column, b: Column, ca: Column, cb: Column, edge: Column, rules: str = "reference", broader: Column | None = None) -> Column:
     """struct<value, deltas, decision> of a pair of facts with their contexts."""
     periods = compare_periods(a["period"], b["period"])
 
     def all_of(value: Column, relation: Column) -> Column:
-        return let(axis_deltas(a, b, ca, cb, relation), lambda d: F.struct(value.alias("value"), d.alias("deltas"), decide(a, b, ca, cb, value, relation, d, rules).alias("decision")))
+        return let(axis_deltas(a, b, ca, cb, relation, broader), lambda d: F.struct(value.alias("value"), d.alias("deltas"), decide(a, b, ca, cb, value, relation, d, rules).alias("decision")))
 
     return let(compare_values(a, b, edge), lambda v: let(periods, lambda r: all_of(v, r)))

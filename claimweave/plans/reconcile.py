@@ -9,6 +9,7 @@ from ..operators.blocking import KEY, block_pairs
 from ..operators.reasoning import context, judge
 from ..operators.registry import canonicalize, normal_form
 from ..operators.store import set_canonical
+from ..operators.subsumption import subsumed_pairs
 
 SIDE = ["fact_seq", "id", "document_id", "page_number", "subject", "predicate", "value_kind", "value_raw", "value_iso", "value_id", "period", "asserted_as_of", "basis", "canonical_predicate_id", "normalized_number", "normalized_unit", "confidence"]
 
@@ -23,14 +24,21 @@ def with_edges(pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
     return pairs.join(both, (F.col("fa.value_id") == F.col("edge_a")) & (F.col("fb.value_id") == F.col("edge_b")), "left")
 
 
-def judged_pairs(facts: DataFrame, edges: DataFrame | None = None, rules: str = "reference", **limits) -> DataFrame:
-    """Every pair with value, deltas and decision, unrelated ones too."""
+def judged_pairs(facts: DataFrame, edges: DataFrame | None = None, rules: str = "reference", include_subsumed: bool = False, **limits) -> DataFrame:
+    """Every pair with value, deltas and decision, unrelated ones too.
+
+    include_subsumed adds pairs of measures of which one contains the other by the subsumes edges, in the block of the
+    broader one; the predicate axis tells which.
+    """
     side = facts.select(F.struct(*SIDE).alias("f")).withColumn("c", context(F.col("f")))
-    pairs = block_pairs(facts, **limits)
+    pairs, broader = block_pairs(facts, **limits), None
+    if include_subsumed and edges is not None:
+        across = subsumed_pairs(facts, edges, **{k: v for k, v in limits.items() if k == "cap"})
+        pairs, broader = pairs.withColumn("broader", F.lit(None).cast("string")).unionByName(across), F.col("broader")
     pairs = pairs.join(side.select(F.col("f.fact_seq").alias("a_seq"), F.col("f").alias("fa"), F.col("c").alias("ca")), "a_seq")
     pairs = pairs.join(side.select(F.col("f.fact_seq").alias("b_seq"), F.col("f").alias("fb"), F.col("c").alias("cb")), "b_seq")
     pairs = with_edges(pairs, edges)
-    return pairs.select(*KEY, "a_seq", "b_seq", F.col("fa.id").alias("fact_a_id"), F.col("fb.id").alias("fact_b_id"), judge(F.col("fa"), F.col("fb"), F.col("ca"), F.col("cb"), F.col("edge"), rules).alias("j"))
+    return pairs.select(*KEY, "a_seq", "b_seq", F.col("fa.id").alias("fact_a_id"), F.col("fb.id").alias("fact_b_id"), judge(F.col("fa"), F.col("fb"), F.col("ca"), F.col("cb"), F.col("edge"), rules, broader).alias("j"))
 
 
 def relations(facts: DataFrame, edges: DataFrame | None = None, rules: str = "reference", **limits) -> DataFrame:

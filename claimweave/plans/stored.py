@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import vocabulary
+from ..operators.derivation import derivations
 from ..operators.tables import Store
 from ..operators.work import save, shared_path
 from ..sources import star
 from . import live
 from . import queries as core
 from .queries import _JUDGED, _KEPT, _WITH, SETTLED, query
+from .reconcile import judged_pairs
 
 
 @query(SETTLED + "SELECT namespace, normal, entry, tier, occurrences FROM settled")
@@ -57,3 +59,50 @@ def live_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = [store.table("relations", manifest=m).select(F.lit(name).alias("state"), *columns) for name, m in (("both batches", whole), ("without typo", store.manifest()))]
     rejected = store.table("quarantine", manifest=whole).select(F.lit("quarantine").alias("state"), F.concat(F.lit("fact_"), F.col("fact_seq").cast("string")).alias("id"), F.col("reason").alias("verdict"), F.lit(None).cast("string").alias("rule_id"), "confidence")
     return states[0].union(states[1]).union(rejected)
+
+
+@query(
+    _WITH
+    + """, fours AS (SELECT n, fy FROM revenue WHERE q > 0 GROUP BY n, fy HAVING count(*) = 4)
+SELECT 'fact_' || ((CAST(k AS BIGINT) * 100 + s.n) * 10000 + s.fy) * 10 AS fact_id, doc AS document_id, 'quarterly' AS parts_document, CAST(4 AS INT) AS parts,
+       CAST(floor(1000 / share + 0.5) AS BIGINT) AS thousandths, share = 1 AS holds, CASE WHEN share = 1 THEN 'DERIVES' END AS verdict
+FROM fours s JOIN docs ON s.n % every = 0 WHERE doc IN ('annual', 'deck', 'standalone', 'typo')"""
+)
+def derived_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarters of each nation against what four documents say of the year; the standalone share and the wrong figure don't follow."""
+    rows = derivations(core.derived_facts(spark, sf_dir))
+    ratio = F.floor(F.col("total") / F.col("value") * 1000 + 0.5).cast("long")
+    return rows.select("fact_id", "document_id", "parts_document", F.size("parts").alias("parts"), ratio.alias("thousandths"), "holds", "verdict")
+
+
+@query(
+    _WITH
+    + """, world AS (
+  SELECT 'World' AS name, fy, sum(total) AS total FROM revenue WHERE q = 0 GROUP BY fy
+  UNION ALL SELECT r_name, fy, sum(total) FROM revenue JOIN nation ON n = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE q = 0 GROUP BY r_name, fy
+  UNION ALL SELECT n_name, fy, total FROM revenue JOIN nation ON n = n_nationkey WHERE q = 0),
+edges AS (SELECT 'World' AS a, r_name AS b FROM region UNION ALL SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey),
+ways AS (WITH RECURSIVE w AS (SELECT a, b FROM edges UNION SELECT w.a, e.b FROM w JOIN edges e ON w.b = e.a) SELECT * FROM w)
+SELECT w.a AS broader, w.b AS narrower, CASE WHEN abs(x.total - y.total) <= 0.005 * greatest(x.total, y.total) THEN 'R2' WHEN x.fy = y.fy THEN 'R4-predicate' ELSE 'R4-different-times' END AS rule_id,
+       'Measures differ: ' || w.a || ' and ' || w.b || ': the first contains the second' AS note, count(*) AS n
+FROM ways w JOIN world x ON x.name = w.a JOIN world y ON y.name = w.b GROUP BY ALL"""
+)
+def subsumed_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenues of the world, its regions and nations as measures of which one contains the next: each against all that it contains."""
+    nations = core.table(spark, sf_dir, "nation").join(core.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.regexp_replace(F.lower("n_name"), "_", " ").alias("name"), "n_name", "r_name")
+    said = core.derived_facts(spark, sf_dir).filter("document_id = 'annual'").withColumn("name", F.substring("canonical_subject_id", 9, 1000))
+    base = save(said.join(nations, "name"), "of-nations")
+    rest = [c for c in said.columns if c not in ("fact_seq", "id", "predicate", "normalized_number", "period", "name")]
+
+    def measured(column, level: int) -> DataFrame:
+        rows = base.withColumn("predicate", column).groupBy("predicate", F.col("period.start").alias("start"))
+        rows = rows.agg(F.sum("normalized_number").alias("normalized_number"), F.first("period").alias("period"), *[F.first(c).alias(c) for c in rest])
+        seq = F.pmod(F.xxhash64("predicate", "start"), F.lit(10**15)) + level * 10**15
+        rows = rows.withColumns({"fact_seq": seq, "id": seq.cast("string"), "canonical_subject_id": F.lit("subject:group"), "canonical_predicate_id": F.concat(F.lit("predicate:"), "predicate")})
+        return rows.select(*[c for c in said.columns if c != "name"])
+
+    facts = save(measured(F.lit("World"), 0).unionByName(measured(F.col("r_name"), 1)).unionByName(measured(F.col("n_name"), 2)), "measures")
+    pairs = nations.select(F.lit("World").alias("a"), F.col("r_name").alias("b")).union(nations.select("r_name", "n_name")).distinct()
+    edges = pairs.select(*[F.concat(F.lit("predicate:"), c).alias(c) for c in "ab"], F.lit("subsumes").alias("kind"))
+    judged = judged_pairs(facts, edges, include_subsumed=True).join(facts.select(F.col("fact_seq").alias("a_seq"), F.col("predicate").alias("broader")), "a_seq").join(facts.select(F.col("fact_seq").alias("b_seq"), F.col("predicate").alias("narrower")), "b_seq")
+    return judged.filter("broader <> narrower").groupBy("broader", "narrower", F.col("j.decision.rule_id").alias("rule_id"), F.col("j.deltas")[4]["note"].alias("note")).agg(F.count("*").alias("n"))
