@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..operators.work import is_empty, save
+from ..operators.work import is_empty, numbered, save
 
 __all__ = ["UNSPACED", "components", "is_empty", "join_hot", "numbered", "save", "squeezed", "text_of"]
 
@@ -43,22 +42,6 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return met.unionByName(rest).drop("n")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, label: str) -> DataFrame:
-    """rows with name: their place from 0 in the order of the columns of order, ascending, nulls first.
-
-    Rows are dealt to tasks by ranges of that order and counted there; what is added up in one place and broadcast has a
-    row per task. Rows that are equal in order must be equal in all columns, so that any place among them is as good.
-    """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    ranged = save(ranged, label)
-    task = F.shiftright("__at", 33)  # its upper bits are the task's number
-    counts = ranged.groupBy(task.alias("__task")).agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
-    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    counts = save(counts.select("__task", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).alias("__add")), f"{label}-counts")
-    placed = ranged.withColumn("__task", task).join(F.broadcast(counts), "__task")
-    return placed.withColumn(name, F.col("__at") + F.col("__add")).select(*rows.columns, name)
-
-
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the smallest node of its connected component.
 
