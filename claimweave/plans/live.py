@@ -107,6 +107,8 @@ def reingest(store: Store, documents: DataFrame, pages: DataFrame, claims: DataF
     if known is None:
         known = documents.limit(0)
     admitted, refused = (save(x, "admission") for x in admit(known, documents, force))
+    if is_empty(admitted):
+        return refused
     same = known.join(admitted.select("source_path").distinct(), "source_path", "left_semi") if force else known.limit(0)
     if not is_empty(same):
         remove_documents(change, same)
