@@ -9,7 +9,7 @@ from ..operators import vocabulary
 from ..operators.derivation import derivations
 from ..operators.tables import Store
 from ..operators.work import save, shared_path
-from ..sources import star
+from ..sources import responses, star
 from . import live
 from . import queries as core
 from .queries import _JUDGED, _KEPT, _WITH, SETTLED, query
@@ -106,3 +106,31 @@ def subsumed_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = pairs.select(*[F.concat(F.lit("predicate:"), c).alias(c) for c in "ab"], F.lit("subsumes").alias("kind"))
     judged = judged_pairs(facts, edges, include_subsumed=True).join(facts.select(F.col("fact_seq").alias("a_seq"), F.col("predicate").alias("broader")), "a_seq").join(facts.select(F.col("fact_seq").alias("b_seq"), F.col("predicate").alias("narrower")), "b_seq")
     return judged.filter("broader <> narrower").groupBy("broader", "narrower", F.col("j.decision.rule_id").alias("rule_id"), F.col("j.deltas")[4]["note"].alias("note")).agg(F.count("*").alias("n"))
+
+
+def _reader(batch):
+    """An extractor that refuses every fifth document."""
+    ok = batch["doc_id"] % 5 != 0
+    return batch.assign(value=("read " + batch["doc_id"].astype(str)).where(ok, None), error=ok.map({True: None, False: "refused"}))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id % 3 = 0 AS stored, doc_id % 5 <> 0 AS readable FROM documents)
+SELECT 'first' AS run, doc_id, CASE WHEN stored THEN 'kept ' || doc_id WHEN readable THEN 'read ' || doc_id END AS value, CASE WHEN stored THEN 'm1' WHEN readable THEN 'm2' END AS model, CASE WHEN NOT stored AND NOT readable THEN 'refused' END AS error, stored AS hit FROM d
+UNION ALL SELECT 'second', doc_id, CASE WHEN stored THEN 'kept ' || doc_id WHEN readable THEN 'read ' || doc_id END, CASE WHEN stored THEN 'm1' WHEN readable THEN 'm2' END, CASE WHEN NOT stored AND NOT readable THEN 'refused' END, stored OR readable FROM d"""
+)
+def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document asked for twice: a third has an answer, others are read and stored, some are refused both times."""
+    d = core.table(spark, sf_dir, "documents").select("doc_id", responses.response_key(F.lit("v2"), "extract", F.col("doc_id").cast("string")).alias("key"))
+    store = Store(spark, shared_path(spark, "answers"), responses.LAYOUT)
+    change = store.begin()
+    known = d.filter("doc_id % 3 = 0").select("key", F.lit("m1").alias("model"), F.concat(F.lit("kept "), F.col("doc_id").cast("string")).alias("value"), F.lit("2024-01-01").alias("created_at"))
+    change.upsert("responses", known, ["key", "model"])
+    change.commit()
+    runs = []
+    for run in ("first", "second"):
+        change = store.begin()
+        told = responses.answer(change, d, _reader, ["m2", "m1"], "m2", "2024-05-01", attempts=2)
+        change.commit()
+        runs.append(told.select(F.lit(run).alias("run"), "doc_id", "value", "model", "error", "hit"))
+    return runs[0].union(runs[1])

@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.tables import Change
+from ..operators.work import is_empty, save
 
 
 def response_key(prompt_version: Column | str, kind: str, payload: Column) -> Column:
@@ -51,6 +53,46 @@ def no_extractor(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": batch["key"], "value": None, "error": "no extractor"})
 
 
-def latest(responses: DataFrame) -> DataFrame:
-    """The newest answer per key and model."""
-    return responses.withColumn("__n", F.row_number().over(Window.partitionBy("key", "model").orderBy(F.desc("created_at")))).filter("__n = 1").drop("__n")
+#: Bucket columns of the stored answers, for operators.tables.Store.
+LAYOUT = {"responses": ["key"]}
+
+
+class NoAnswers(RuntimeError):
+    """Not one request has an answer."""
+
+
+def answer(change: Change, requests: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataFrame], models: list[str], model: str, created_at: str, attempts: int = 1) -> DataFrame:
+    """requests (key, ... what the extractor needs) with model, value, error, and hit: whether the answer was stored.
+
+    Stored answers are looked up in the buckets of their keys, of whichever model, those of models first. All other requests
+    go to the extractor, a key once, and those that fail again up to attempts times; what it answers is stored under model
+    with the change. A request without an answer keeps its last error. If no request has one, NoAnswers is raised and the
+    change should be dropped.
+    """
+    requests = save(requests, "requests")
+    stored = change.near("responses", requests)
+    if stored is None:
+        stored = requests.sparkSession.createDataFrame([], "key string, model string, value string, created_at string")
+    have = save(answered(requests, stored, models), "answered")
+    rest = have.filter("value is null").select(*requests.columns).dropDuplicates(["key"])
+    told = None
+    for k in range(attempts):
+        step = save(extract(rest, extractor), "extracted")
+        failed = step.filter("value is null")
+        last = k == attempts - 1 or is_empty(failed)
+        own = step if last else step.filter("value is not null")
+        told = own if told is None else told.union(own)
+        if last:
+            break
+        rest = rest.join(failed.select("key"), "key", "left_semi")
+    told = save(told, "told")
+    new = told.filter("value is not null").select("key", F.lit(model).alias("model"), "value", F.lit(created_at).alias("created_at"))
+    change.upsert("responses", new, ["key", "model"], first=[F.desc("created_at")])
+    fresh = told.select("key", F.col("value").alias("__value"), "error")
+    hit = F.col("value").isNotNull()
+    out = have.join(fresh, "key", "left").select(*requests.columns, F.when(hit, F.col("model")).when(F.col("__value").isNotNull(), model).alias("model"), F.coalesce("value", "__value").alias("value"), "error", hit.alias("hit"))
+    out = save(out, "answers")
+    asked, known = out.agg(F.count("*"), F.count("value")).first()
+    if asked and not known:
+        raise NoAnswers(f"none of {asked} requests has an answer")
+    return out
