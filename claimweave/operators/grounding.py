@@ -71,7 +71,7 @@ def _scattered(page: Column, quote: Column) -> Column:
     return let(significant_tokens(quote), lambda want: let(F.split(page, "\n"), lambda lines: inside(want, lines)))
 
 
-def _anchored(page: Column, quote: Column) -> Column:
+def anchored(page: Column, quote: Column) -> Column:
     """From the quote's first three words to its last three, unless that is three times as long as the quote."""
 
     def inside(words: Column) -> Column:
@@ -83,22 +83,24 @@ def _anchored(page: Column, quote: Column) -> Column:
     return let(F.filter(F.split(squash(quote), " "), lambda w: F.length(w) > 1), inside)
 
 
-def locate(page: Column | str, quote: Column | str) -> Column:
-    """struct<method, start, end> of the quote: exact, whitespace, caseless, folded, scattered, anchored; null if absent."""
+def trimmed(quote: Column | str) -> Column:
+    return F.regexp_replace(col(quote), f"^{SPACE}+|{SPACE}+$", "")
+
 
-    def inside(page: Column, q: Column) -> Column:
-        at = F.instr(page, q)
-        return F.when(F.length(q) >= 3, F.coalesce(
-            F.when(at > 0, _spot("exact", at - 1, at - 1 + F.length(q))),
-            _by_pattern("whitespace", page, _spaced(q)),
-            _by_pattern("caseless", page, F.concat(F.lit("(?iu)"), _spaced(q))),
-            _folded(page, q),
-            _scattered(page, q),
-            _anchored(page, q),
-        ))
+def near(page: Column, quote: Column) -> Column:
+    """The tiers that a search for the trimmed quote settles: exact, whitespace, caseless."""
+    at = F.instr(page, quote)
+    return F.coalesce(
+        F.when(at > 0, _spot("exact", at - 1, at - 1 + F.length(quote))),
+        _by_pattern("whitespace", page, _spaced(quote)),
+        _by_pattern("caseless", page, F.concat(F.lit("(?iu)"), _spaced(quote))),
+    )
 
-    trimmed = F.regexp_replace(col(quote), f"^{SPACE}+|{SPACE}+$", "")
-    return let(col(page), lambda p: let(trimmed, lambda q: inside(p, q)))
+
+def locate(page: Column | str, quote: Column | str) -> Column:
+    """struct<method, start, end> of the quote: exact, whitespace, caseless, folded, scattered, anchored; null if absent."""
+    inside = lambda page, q: F.when(F.length(q) >= 3, F.coalesce(near(page, q), _folded(page, q), _scattered(page, q), anchored(page, q)))
+    return let(col(page), lambda p: let(trimmed(quote), lambda q: inside(p, q)))
 
 
 def widen_to_lines(page: Column, start: Column, end: Column) -> Column:
@@ -129,6 +131,32 @@ def value_appears(kind: Column, raw: Column, quote: Column) -> Column:
     return F.coalesce(F.when(kind == "number", number).otherwise(text), F.lit(False))
 
 
+def _status(name: str, method: Column | None = None, place: Column | None = None) -> Column:
+    none = F.lit(None).cast("int")
+    return F.struct(
+        F.lit(name).alias("status"), (method if method is not None else F.lit("none")).alias("method"),
+        (place["start"] if place is not None else none).alias("start"), (place["end"] if place is not None else none).alias("end"),
+    )
+
+
+def page_not_found() -> Column:
+    return _status("page_not_found")
+
+
+def judged(page: Column, hit: Column, quote: Column, kind: Column, raw: Column) -> Column:
+    """The status of a claim whose quote was looked for in page and found at hit, or nowhere."""
+
+    def lined(line: Column) -> Column:
+        span = F.substr(page, line["start"] + 1, line["end"] - line["start"])
+        return (
+            F.when(~has_identifying_context(span), _status("quote_lacks_context", hit["method"], hit))
+            .when(~value_appears(kind, raw, quote), _status("value_not_in_quote", hit["method"], line))
+            .otherwise(_status("grounded", hit["method"], line))
+        )
+
+    return F.when(hit.isNull(), _status("quote_not_found")).otherwise(let(widen_to_lines(page, hit["start"], hit["end"]), lined))
+
+
 def ground(page: Column | str, quote: Column | str, kind: Column | str, raw: Column | str) -> Column:
     """struct<status, method, start, end>; status is the first that holds.
 
@@ -136,27 +164,8 @@ def ground(page: Column | str, quote: Column | str, kind: Column | str, raw: Col
     of its lines).
     """
     quote, kind, raw = col(quote), col(kind), col(raw)
-
-    def status(name: str, method: Column | None = None, place: Column | None = None) -> Column:
-        none = F.lit(None).cast("int")
-        return F.struct(
-            F.lit(name).alias("status"), (method if method is not None else F.lit("none")).alias("method"),
-            (place["start"] if place is not None else none).alias("start"), (place["end"] if place is not None else none).alias("end"),
-        )
-
-    def judged(page: Column, hit: Column) -> Column:
-        def lined(line: Column) -> Column:
-            span = F.substr(page, line["start"] + 1, line["end"] - line["start"])
-            return (
-                F.when(~has_identifying_context(span), status("quote_lacks_context", hit["method"], hit))
-                .when(~value_appears(kind, raw, quote), status("value_not_in_quote", hit["method"], line))
-                .otherwise(status("grounded", hit["method"], line))
-            )
-
-        return F.when(hit.isNull(), status("quote_not_found")).otherwise(let(widen_to_lines(page, hit["start"], hit["end"]), lined))
-
     page = F.coalesce(col(page), F.lit(""))
-    return let(page, lambda p: F.when(p == "", status("page_not_found")).otherwise(let(locate(p, quote), lambda hit: judged(p, hit))))
+    return let(page, lambda p: F.when(p == "", page_not_found()).otherwise(let(locate(p, quote), lambda hit: judged(p, hit, quote, kind, raw))))
 
 
 def boxes_for_range(spans: Column | str, start: Column | str, end: Column | str) -> Column:
