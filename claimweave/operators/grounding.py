@@ -87,14 +87,35 @@ def trimmed(quote: Column | str) -> Column:
     return F.regexp_replace(col(quote), f"^{SPACE}+|{SPACE}+$", "")
 
 
+#: Characters whose upper case has another lower case than they have, with that one: both count as the same letter.
+_TWINS = {c: c.upper().lower() for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) == 1 and len(c.upper().lower()) == 1 and c.upper().lower() != c.lower()}
+
+
+def _caseless(text: Column) -> Column:
+    """text in lower case, with as many characters as before."""
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), "".join(_TWINS), "".join(_TWINS.values()))
+
+
 def near(page: Column, quote: Column) -> Column:
-    """The tiers that a search for the trimmed quote settles: exact, whitespace, caseless."""
+    """The tiers that a search for the trimmed quote settles: exact, whitespace, caseless.
+
+    Where white space doesn't count, page and quote are compared with single spaces, and the runs of the page's white
+    space before a place tell where it was. No pattern is made from a quote: a long one would exhaust the matcher's stack.
+    """
+    spaces = lambda text: F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    single = lambda text: F.regexp_replace(text, f"{SPACE}+", " ")
+
+    def spot(method: str, at: Column, wide: Column, q: Column) -> Column:
+        # How much longer the first n runs are than single spaces.
+        more = lambda n: F.aggregate(F.slice(F.regexp_extract_all(page, F.lit(f"{SPACE}+"), F.lit(0)), F.lit(1), n), -n, lambda size, run: size + F.length(run))
+        before = lambda n: _spot(method, at - 1 + more(n), at - 1 + F.length(q) + more(n + spaces(q)))
+        return F.when(at > 0, let(spaces(F.substr(wide, F.lit(1), at - 1)), before))
+
+    def looser(wide: Column, q: Column) -> Column:
+        return F.coalesce(let(F.instr(wide, q), lambda at: spot("whitespace", at, wide, q)), let(F.instr(_caseless(wide), _caseless(q)), lambda at: spot("caseless", at, wide, q)))
+
     at = F.instr(page, quote)
-    return F.coalesce(
-        F.when(at > 0, _spot("exact", at - 1, at - 1 + F.length(quote))),
-        _by_pattern("whitespace", page, _spaced(quote)),
-        _by_pattern("caseless", page, F.concat(F.lit("(?iu)"), _spaced(quote))),
-    )
+    return F.coalesce(F.when(at > 0, _spot("exact", at - 1, at - 1 + F.length(quote))), let(single(page), lambda wide: let(single(quote), lambda q: looser(wide, q))))
 
 
 def locate(page: Column | str, quote: Column | str) -> Column:

@@ -2,9 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
-
-from claimweave.operators.grounding import ground_claims
+from claimweave.operators.grounding import ground_claims, locate
 from claimweave.operators.locating import ground_by_index
 
 CLAIM = "document_id string, page_number int, quote string, value_kind string, value_raw string, note string"
@@ -50,3 +48,21 @@ def test_a_long_page_and_a_window_of_three_lines(spark):
     found = {g.method: g for g in both(spark, claims, [("a", 1, page)])}
     assert page[found["scattered"].start : found["scattered"].end].count("\n") == 2 and page[found["folded"].start :].endswith("value2999")
     assert found["none"].status == "quote_not_found"
+
+
+def test_a_very_long_quote(spark):
+    """Longer than what the stack of a pattern matcher bears."""
+    words = [f"word{k} of" for k in range(6_000)]
+    page = "start\n" + "  \t".join(words) + " the end"
+    claims = [("a", 1, q, "text", "word3", None) for q in (" ".join(words), " ".join(words).upper(), " - ".join(words), " ".join(words) + " zzqx")]
+    found = [r.grounding for r in ground_by_index(spark.createDataFrame(claims, CLAIM), spark.createDataFrame([("a", 1, page)], PAGES)).collect()]
+    assert sorted(g.method for g in found) == ["caseless", "folded", "none", "whitespace"]
+    assert {page[g.start : g.end] for g in found if g.method != "none"} == {page[6:]}
+
+
+def test_letters_of_other_cases(spark):
+    pages = [("a", 1, "alpha İx ΟΔΟΣ  x Straße ſome\nbeta"), ("a", 2, "\n one ΟΔΟΣ  two")]
+    claims = [("a", 1, "ALPHA ix οδος X STRAßE some", "text", "alpha", "x"), ("a", 2, "one οδος two", "text", "one", "x")]
+    rows = spark.createDataFrame(claims, CLAIM).join(spark.createDataFrame(pages, PAGES), ["document_id", "page_number"])
+    found = {r.page_number: (r.l.method, r.text[r.l.start : r.l.end]) for r in rows.select("page_number", "text", locate("text", "quote").alias("l")).collect()}
+    assert found == {1: ("caseless", "alpha İx ΟΔΟΣ  x Straße ſome"), 2: ("caseless", "one ΟΔΟΣ  two")}
