@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sql
+from ..operators.grounding import boxes_for_range
 from ..operators.locating import ground_by_index
-from .queries import _closing_lines, query
+from ..operators.segmentation import layout_pages, running_headers
+from .queries import _closing_lines, _pages, query, texts
 
 _SP = r"[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _SPACED = lambda words: f"array_to_string(list_transform({words}, lambda x: regexp_escape(x)), '{_SP}+')"
@@ -67,3 +70,36 @@ def ground_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = quotes.select("document_id", "page_number", "c.form", "c.quote", F.lit("text").alias("value_kind"), F.col("c.quote").alias("value_raw"))
     rows = ground_by_index(claims, lines.select(*page, "text"))
     return rows.select(F.col("document_id").alias("doc_id"), "form", "grounding.status", "grounding.method", F.col("grounding.start").alias("char_start"), F.col("grounding.end").alias("char_end"))
+
+
+#: Words stand ten character widths apart, further where they are longer, lines twelve points.
+_ITEMS = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+w AS (SELECT * FROM (SELECT doc_id, k, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS j FROM l) WHERE word <> ''),
+g AS (SELECT *, lag(length(word)) OVER o AS n, j - lag(j) OVER o AS step FROM w WINDOW o AS (PARTITION BY doc_id, k ORDER BY j)),
+p AS (SELECT doc_id, k, string_agg(repeat(' ', coalesce(least(greatest(10 * step - n, 0), 12), 0)) || word, '' ORDER BY j) AS line, min(60 * j) AS x, max(60 * j + 6 * length(word)) AS right_x FROM g GROUP BY doc_id, k)
+SELECT doc_id, sha256(string_agg(line || chr(10), '' ORDER BY k)) AS text_sha256, CAST(sum(length(line) + 1) AS INT) AS n_chars,
+  CAST(1 AS INT) AS boxes, CAST(max_by(x, k) AS INT) AS x, CAST(12 * max(k) - 10 AS INT) AS y, CAST(max_by(right_x - x, k) AS INT) AS w, CAST(10 AS INT) AS h FROM p GROUP BY doc_id"""
+
+
+@query(_ITEMS)
+def laid_out_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words as positioned items, laid out as a page, and the box of the page's last printed line."""
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    words = lines.select("doc_id", "k", F.posexplode(F.split("line", " ")).alias("j", "str"))
+    place = [(F.col("j") * 60.0).alias("x"), (800.0 - F.col("k") * 12.0).alias("y"), (F.length("str") * 6.0).alias("width"), F.lit(10.0).alias("height"), F.lit(800.0).alias("page_height")]
+    pages = layout_pages(words.filter("str <> ''").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "str", *place))
+    last = F.substring_index(F.expr("left(text, length(text) - 1)"), "\n", -1)
+    found = pages.withColumn("boxes", boxes_for_range("spans", F.length("text") - 1 - F.length(last), F.length("text")))
+    box = [F.col("boxes")[0][c].cast("int").alias(c) for c in ("x", "y", "w", "h")]
+    return found.select(F.col("document_id").alias("doc_id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), F.length("text").alias("n_chars"), F.size("boxes").alias("boxes"), *box)
+
+
+@query()
+def segment_units_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of segment_units, by SQL that calls page_units for every page; a test holds both equal."""
+    sql.register(spark)
+    pages = _pages(spark, sf_dir)
+    return spark.sql(
+        """SELECT p.document_id, p.page_number, u.* FROM {pages} p LEFT JOIN (SELECT document_id, collect_set(line) AS headers FROM {headers} GROUP BY document_id) h USING (document_id),
+           LATERAL page_units(p.text, h.headers) u""", pages=pages, headers=running_headers(pages))
