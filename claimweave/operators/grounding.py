@@ -196,16 +196,18 @@ def boxes_for_range(spans: Column | str, start: Column | str, end: Column | str)
         bucket = lambda s: F.floor(s["y"] / 4 + 0.5)
         rows = F.array_distinct(F.transform(hits, bucket))
 
-        def box(row: Column) -> Column:
-            own = F.filter(hits, lambda s: bucket(s) == row)
+        def box(own: Column) -> Column:
             low = lambda c: F.array_min(F.transform(own, c))
             high = lambda c: F.array_max(F.transform(own, c))
-            x, y = low(lambda s: s["x"]), low(lambda s: s["y"])
-            return F.struct(x.alias("x"), y.alias("y"), (high(lambda s: s["x"] + s["w"]) - x).alias("w"), (high(lambda s: s["y"] + s["h"]) - y).alias("h"))
+            corner = F.struct(low(lambda s: s["x"]).alias("x"), low(lambda s: s["y"]).alias("y"))
+            size = lambda at: F.struct(at["x"].alias("x"), at["y"].alias("y"), (high(lambda s: s["x"] + s["w"]) - at["x"]).alias("w"), (high(lambda s: s["y"] + s["h"]) - at["y"]).alias("h"))
+            return let(corner, size)
 
-        return F.transform(rows, box)
+        return F.transform(rows, lambda row: let(F.filter(hits, lambda s: bucket(s) == row), box))
 
-    return let(F.filter(col(spans), lambda s: (s["e"] > col(start)) & (s["s"] < col(end))), merged)
+    # The range is evaluated once, not for every span.
+    touching = lambda at: F.filter(col(spans), lambda s: (s["e"] > at["start"]) & (s["s"] < at["end"]))
+    return let(F.struct(col(start).alias("start"), col(end).alias("end")), lambda at: let(touching(at), merged))
 
 
 def ground_claims(claims: DataFrame, pages: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ w AS (SELECT * FROM (SELECT doc_id, k, unnest(string_split(line, ' ')) AS word,
 g AS (SELECT *, lag(length(word)) OVER o AS n, j - lag(j) OVER o AS step FROM w WINDOW o AS (PARTITION BY doc_id, k ORDER BY j)),
 p AS (SELECT doc_id, k, string_agg(repeat(' ', coalesce(least(greatest(10 * step - n, 0), 12), 0)) || word, '' ORDER BY j) AS line, min(60 * j) AS x, max(60 * j + 6 * length(word)) AS right_x FROM g GROUP BY doc_id, k)
 SELECT doc_id, sha256(string_agg(line || chr(10), '' ORDER BY k)) AS text_sha256, CAST(sum(length(line) + 1) AS INT) AS n_chars,
-  CAST(1 AS INT) AS boxes, CAST(max_by(x, k) AS INT) AS x, CAST(12 * max(k) - 10 AS INT) AS y, CAST(max_by(right_x - x, k) AS INT) AS w, CAST(10 AS INT) AS h FROM p GROUP BY doc_id"""
+  CAST(max_by(x, k) AS INT) AS x, CAST(12 * max(k) - 10 AS INT) AS y, CAST(max_by(right_x - x, k) AS INT) AS w, CAST(10 AS INT) AS h FROM p GROUP BY doc_id"""
 
 
 @query(_ITEMS)
@@ -90,9 +90,8 @@ def laid_out_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = [(F.col("j") * 60.0).alias("x"), (800.0 - F.col("k") * 12.0).alias("y"), (F.length("str") * 6.0).alias("width"), F.lit(10.0).alias("height"), F.lit(800.0).alias("page_height")]
     pages = layout_pages(words.filter("str <> ''").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "str", *place))
     last = F.substring_index(F.expr("left(text, length(text) - 1)"), "\n", -1)
-    found = pages.withColumn("boxes", boxes_for_range("spans", F.length("text") - 1 - F.length(last), F.length("text")))
-    box = [F.col("boxes")[0][c].cast("int").alias(c) for c in ("x", "y", "w", "h")]
-    return found.select(F.col("document_id").alias("doc_id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), F.length("text").alias("n_chars"), F.size("boxes").alias("boxes"), *box)
+    boxes = pages.select(F.col("document_id").alias("doc_id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), F.length("text").alias("n_chars"), F.inline(boxes_for_range("spans", F.length("text") - 1 - F.length(last), F.length("text"))))
+    return boxes.select("doc_id", "text_sha256", "n_chars", *[F.col(c).cast("int").alias(c) for c in ("x", "y", "w", "h")])
 
 
 @query()
