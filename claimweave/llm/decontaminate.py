@@ -13,6 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -271,10 +272,38 @@ def _matcher(index, least: int, coverage: float):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that contain no benchmark item, with all their columns.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", size: int = 8, literals: int = 4, least: int = 3, coverage: float = 0.5, max_windows: int = MAX_WINDOWS, shortest: int = 2) -> DataFrame:
+    """The rows of docs that contain no benchmark item, with all their columns; see contaminated for what that means.
 
-    Rows with a null doc_id stay; where a doc_id has two texts, both rows go if either contains an item.
+    Items of fewer than shortest tokens are in too many documents to say anything of them, so no row goes by them. Each row
+    is judged by its own text, so a null or repeated doc_id makes no difference. With a benchmark of one block, one pass
+    over docs moves nothing; with several, docs is written once with its rows numbered.
     """
-    gone = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__leak_id")).filter("__leak_id is not null").distinct()
-    return docs.join(gone, docs[id_col] == F.col("__leak_id"), "left_anti")
+    texts, passes = _blocks(benchmark.select(text_of(item_text_col).alias("text")), max_windows)
+    vocabulary = _Vocabulary()
+
+    def index(k: int):
+        block = texts.filter(F.col("block") == k).select("number", "text").collect()  # at most max_windows windows
+        telling = [tuple(r) for r in block if len(_Template(r["text"], vocabulary).plain) >= shortest]
+        return docs.sparkSession.sparkContext.broadcast(_Index(telling, size, literals))
+
+    if passes == 1:
+        return docs.filter(~_contains(index(0), least, coverage)(text_of(text_col)))
+    rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    gone = None
+    for k in range(passes):
+        own = index(k)
+        found = save(rows.filter(_contains(own, least, coverage)(text_of(text_col))).select(F.col("__row").alias("__gone")), "leaks")
+        own.unpersist()
+        gone = found if gone is None else gone.union(found)
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+
+
+def _contains(index, least: int, coverage: float):
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vocabulary, own = _Vocabulary(), index.value
+        for texts in batches:
+            yield pd.Series([any(True for _ in own.matches(t, vocabulary, least, coverage)) for t in texts], dtype=bool)
+
+    return run

@@ -315,8 +315,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stand for their class, with all their columns.
 
-    The row with the smallest doc_id of a class stays, with every row that repeats it; rows with a null doc_id stay. Where
-    a doc_id has two texts, both rows go if either isn't the first of its class.
+    The row with the smallest doc_id of a class stays, with the rows of its doc_id in the class; rows with a null doc_id come
+    last, and one of them stays where a class has no others. Rows are numbered, so each is judged by its own text.
     """
-    gone = jaccard_join(docs, id_col, text_col, **options).filter("class_id <> doc_id").select(F.col("doc_id").alias("__near_id"))
-    return docs.join(gone, docs[id_col] == F.col("__near_id"), "left_anti")
+    rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    ids = rows.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"))
+    classes = jaccard_join(rows, "__row", text_col, **options).select(F.col("doc_id").alias("row"), "class_id")
+    classes = save(ids.join(classes, "row"), "classes")
+    best = classes.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    members = join_hot(classes, save(best, "best"), "class_id")
+    gone = members.filter((F.col("row") != F.col("best.row")) & ~F.coalesce(F.col("id") == F.col("best.id"), F.lit(False)))
+    return rows.join(gone.select(F.col("row").alias("__gone")), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -170,6 +170,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return names, *linear(votes, posterior)
 
 
+def _probability(names: list[str], weights: np.ndarray, bias: float) -> Callable[[Iterable[str]], np.ndarray]:
+    """Scores of texts, by the votes on them."""
+    voters = Voters(names)
+
+    def run(texts: Iterable[str]) -> np.ndarray:
+        out = np.array([bias + sum(weights[k] for k in voters(t)) for t in texts], float)
+        return 1 / (1 + np.exp(-out.clip(-30, 30)))
+
+    return run
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, fit_rows: int = FIT_ROWS, **options) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
@@ -178,14 +189,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     score of no votes. Repeated rows get a row each; of repeated labels the toxic one counts, null labels are left out;
     without any toxic label the lexicon decides. Other columns are ignored; an empty table gives an empty result.
     """
-    names, weights, bias = fit(docs, labels, id_col, text_col, label_col, fit_rows, **options)
-    voters = Voters(names)
+    probability = _probability(*fit(docs, labels, id_col, text_col, label_col, fit_rows, **options))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pd.Series([bias + sum(weights[k] for k in voters(t.as_py())) for t in batch.column(1)], dtype=float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-out.clip(-30, 30))))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(t.as_py() for t in batch.column(1)))], schema=schema)
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(True))
@@ -193,10 +202,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, fit_rows: int = FIT_ROWS, **options) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns.
 
-    Rows with a null doc_id stay; where a doc_id has two texts, both rows go if either is predicted toxic.
+    Each row is judged by its own text in one pass that moves nothing, so a null or repeated doc_id makes no difference.
     """
-    gone = score(docs, labels, id_col, **options).filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__toxic_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__toxic_id"), "left_anti")
+    probability = _probability(*fit(docs, labels, id_col, text_col, label_col, fit_rows, **options))
+
+    @F.pandas_udf("double")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return pd.Series(probability(texts))
+
+    return docs.filter(toxic(text_of(text_col)) < threshold)

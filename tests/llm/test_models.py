@@ -45,7 +45,8 @@ def test_toxicity_without_labels(spark, make):
     docs = make([(1, "you idiot and moron"), (2, "kind words")])
     assert {r.doc_id: r.predicted for r in T.score(docs, labels(spark, [])).collect()} == {1: 1, 2: 0}
     assert T.score(make([]), labels(spark, [])).collect() == []
-    assert [r.doc_id for r in T.drop_toxic(docs, labels(spark, [])).collect()] == [2]
+    more = make([(1, "you idiot and moron"), (2, "kind words"), (2, "you idiot and moron"), (None, "you idiot and moron"), (None, None)])
+    assert [(r.doc_id, r.text) for r in T.drop_toxic(more, labels(spark, [])).collect()] == [(2, "kind words"), (None, None)]
 
 
 def test_label_model_shares_correlated_votes():
@@ -219,7 +220,9 @@ def test_decontamination(spark, make):
         rows = D.contaminated(make(pairs), bench, max_windows=passes).collect()
         got = Counter((r.doc_id, r.item_id, r.exact) for r in rows)
         assert got == Counter({(1, 1, True): 2, (2, 1, False): 1, (7, 1, True): 1, (8, 4, True): 2, (None, 1, True): 1})
-    assert sorted(r.doc_id for r in D.drop_contaminated(make(pairs), bench).collect() if r.doc_id) == [3, 4, 5, 6]
+        assert sorted(r.doc_id or 0 for r in D.drop_contaminated(make(pairs), bench, max_windows=passes).collect()) == [3, 4, 5, 6]
+    word = spark.createDataFrame([(9, "nothing")], "item_id long, text string")
+    assert D.contaminated(make(pairs), word).count() == 1 and D.drop_contaminated(make(pairs), word).count() == len(pairs)
     assert D.contaminated(make([]), bench).collect() == D.contaminated(make(pairs), bench.limit(0)).collect() == []
 
 
