@@ -26,8 +26,8 @@ LEXICON = "bastard clown coward creep disgusting dumb filth freak fool garbage i
 PREFIXES = (3, 4, 5, 6, 8)
 #: Bound on the labelled rows that the models are fitted on; a hash of doc_id picks them.
 FIT_ROWS = 20_000
-#: Mined voters at most, a parameter of the fit: the sample is bounded, and so is what it can support.
-VOTERS = 400
+#: A feature votes if its log odds are surely above 0.7: standard errors that the estimate is lowered by.
+SURE = 3.0
 
 
 def features(text: str) -> set[str]:
@@ -75,8 +75,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return base.join(known, "doc_id")
 
 
-def mine(rows: DataFrame, voters: int | None = VOTERS, least: int = 5) -> list[str]:
-    """The lexicon, then the features that the labels support most, by the lower end of their log odds; voters=None takes all of them."""
+def mine(rows: DataFrame, least: int = 5, sure: float = SURE) -> list[str]:
+    """The lexicon, then the features that the labels support, by the lower end of their log odds."""
     schema = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +91,38 @@ def mine(rows: DataFrame, voters: int | None = VOTERS, least: int = 5) -> list[s
     p, n = (float(x or 0) for x in totals)
     found = rows.select("text", "toxic").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (p + 1)) - F.log((F.col("n") + 0.5) / (n + 1))
-    low = odds - 2 * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
+    low = odds - sure * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
     best = found.filter(F.col("p") >= least).withColumn("low", low).filter("low > 0.7").orderBy(F.desc(F.col("low") * F.sqrt("p")), "feature")
-    best = best if voters is None else best.limit(voters)
     return list(dict.fromkeys(LEXICON + [r["feature"] for r in best.select("feature").collect()]))
 
 
+class Votes:
+    """Who voted on which text, as a sparse 0-1 matrix of texts by voters."""
+
+    def __init__(self, found: list[list[int]], voters: int) -> None:
+        self.shape = len(found), voters
+        self.text = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        self.voter = np.array([k for f in found for k in f], np.int64)
+
+    def of_voters(self, x: np.ndarray) -> np.ndarray:
+        """Sums of x over the texts that each voter votes on."""
+        return np.bincount(self.voter, x[self.text], self.shape[1])
+
+    def of_texts(self, x: np.ndarray) -> np.ndarray:
+        """Sums of x over the voters of each text."""
+        return np.bincount(self.text, x[self.voter], self.shape[0])
+
+    def together(self, rows: int = 2_000) -> np.ndarray:
+        """How many texts each two voters both vote on."""
+        out = np.zeros((self.shape[1], self.shape[1]), np.float32)  # counts of texts, exact below 2**24
+        ends = np.searchsorted(self.text, np.arange(0, self.shape[0] + rows, rows))
+        for k, (low, high) in enumerate(zip(ends, ends[1:])):
+            part = np.zeros((rows, self.shape[1]), np.float32)
+            part[self.text[low:high] - k * rows, self.voter[low:high]] = 1
+            out += part.T @ part
+        return out
+
+
 class LabelModel:
     """Latent-class model of binary voters, fitted by expectation maximisation.
 
@@ -109,51 +135,82 @@ class LabelModel:
     def __init__(self, rounds: int = 30, correlated: float = 0.5) -> None:
         self.rounds, self.correlated = rounds, correlated
 
-    def fit(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    def fit(self, votes: Votes, labels: np.ndarray) -> np.ndarray:
         """Posterior probabilities of class 1."""
         self.prior = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
         self.weights = np.ones(votes.shape[1])
+        together = votes.together()
         q = labels.astype(float)
         for step in range(self.rounds):
-            self.rates = np.stack([((1 - q) @ votes + 0.1) / ((1 - q).sum() + 1), (q @ votes + 0.5) / (q.sum() + 1)])
+            in_class = np.stack([votes.of_voters(1 - q), votes.of_voters(q)])
+            self.rates = np.stack([(in_class[0] + 0.1) / ((1 - q).sum() + 1), (in_class[1] + 0.5) / (q.sum() + 1)])
             if step:
-                self._correlate(votes, q)
+                self._correlate(together, in_class, q)
             yes = np.log(self.rates[1] / self.rates[0]) * self.weights
             no = np.log((1 - self.rates[1]) / (1 - self.rates[0])) * self.weights
-            logit = np.log(self.prior / (1 - self.prior)) + votes @ (yes - no) + no.sum()
+            logit = np.log(self.prior / (1 - self.prior)) + votes.of_texts(yes - no) + no.sum()
             before, q = q, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             if np.abs(q - before).max() < 1e-4:
                 break
         return q
 
-    def _correlate(self, votes: np.ndarray, q: np.ndarray) -> None:
-        rest = votes - (np.outer(q, self.rates[1]) + np.outer(1 - q, self.rates[0]))
-        scale = np.sqrt((rest**2).sum(0)) + 1e-9
-        self.correlations = (rest.T @ rest) / np.outer(scale, scale)
+    def _correlate(self, together: np.ndarray, in_class: np.ndarray, q: np.ndarray) -> None:
+        # Products of residuals, votes less what the class explains, multiplied out: no pass over the texts is needed.
+        p = np.stack([1 - q, q])
+        half = self.rates.T @ (in_class - (p @ p.T) @ self.rates / 2)
+        rest = together - half - half.T
+        scale = np.sqrt(np.maximum(np.diag(rest), 0)) + 1e-9
+        self.correlations = rest / np.outer(scale, scale)
         strong = np.where(self.correlations > self.correlated, self.correlations, 0)
         np.fill_diagonal(strong, 0)
         self.weights = 1 / (1 + strong.sum(1))
 
 
-def linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.1, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on soft labels, by Newton steps."""
-    x = np.hstack([votes, np.ones((len(votes), 1))])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+def linear(votes: Votes, target: np.ndarray, ridge: float = 0.1, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on soft labels, by Newton steps that are solved by conjugate gradients."""
+    n = votes.shape[1]
+    penalty = np.append(np.full(n, ridge), 1e-6)
+    w = np.zeros(n + 1)
+
+    def of_texts(x: np.ndarray) -> np.ndarray:
+        return votes.of_texts(x[:n]) + x[n]
+
+    def of_voters(x: np.ndarray) -> np.ndarray:
+        return np.append(votes.of_voters(x), x.sum())
+
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6), x.T @ (target - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(of_texts(w), -30, 30)))
+        curve = p * (1 - p)
+        step = _solved(lambda x: of_voters(curve * of_texts(x)) + (penalty + 1e-6) * x, of_voters(curve) + penalty + 1e-6, of_voters(target - p) - penalty * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-4:
             break
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, voters: int | None = VOTERS, least: int = 5) -> tuple[list[str], np.ndarray, float]:
+def _solved(product: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x of product(x) = right, product symmetric and positive definite, to a millionth of right."""
+    x, rest = np.zeros(len(right)), right.copy()
+    near = rest / diagonal
+    way, size = near.copy(), rest @ near
+    least = 1e-12 * size
+    for _ in range(2 * len(right)):
+        if size <= least:
+            break
+        along = product(way)
+        far = size / (way @ along)
+        x += far * way
+        rest -= far * along
+        near = rest / diagonal
+        size, before = rest @ near, size
+        way = near + size / before * way
+    return x
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, least: int = 5) -> tuple[list[str], np.ndarray, float]:
     """Voters, their weights and the bias. The fitted sample is bounded by fit_rows, so it may reach the driver as votes."""
     rows = save(training_rows(docs, labels, id_col, text_col, label_col, fit_rows), "labelled")
-    names = mine(rows, voters, least)
+    names = mine(rows, least)
     found_by = Voters(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = sorted(tuple(r) for r in rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, votes array<long>").collect())
     if not any(t for _, t, _ in known):  # nothing to learn from: the lexicon alone
         return names, np.full(len(names), 3.0), -2.0
-    votes = np.zeros((len(known), len(names)))
-    for k, (_, _, found) in enumerate(known):
-        votes[k, found] = 1
+    votes = Votes([found for _, _, found in known], len(names))
     posterior = LabelModel().fit(votes, np.array([t for _, t, _ in known], float))
     return names, *linear(votes, posterior)
 

@@ -49,6 +49,35 @@ def test_toxicity_without_labels(spark, make):
     assert [(r.doc_id, r.text) for r in T.drop_toxic(more, labels(spark, [])).collect()] == [(2, "kind words"), (None, None)]
 
 
+def sparse(votes):
+    return T.Votes([list(np.flatnonzero(v)) for v in votes], votes.shape[1])
+
+
+def test_label_model_and_classifier_against_brute_force():
+    """Rounds of the model over whole matrices, residuals text by text; the classifier by its gradient, which vanishes."""
+    rng = np.random.default_rng(1)
+    y = rng.random(300) < 0.3
+    votes = np.stack([rng.random(300) < np.where(y, 0.6, 0.05) for _ in range(5)] + [rng.random(300) < 0.3], 1).astype(float)
+    votes = np.hstack([votes, votes[:, :1], np.zeros((300, 1))])
+    prior, q, weights = y.mean(), y.astype(float), np.ones(8)
+    for step in range(30):
+        rates = [((1 - q) @ votes + 0.1) / ((1 - q).sum() + 1), (q @ votes + 0.5) / (q.sum() + 1)]
+        if step:
+            rest = np.array([votes[k] - q[k] * rates[1] - (1 - q[k]) * rates[0] for k in range(300)])
+            scale = np.sqrt((rest**2).sum(0)) + 1e-9
+            shared = [[r if i != j and (r := rest[:, i] @ rest[:, j] / (scale[i] * scale[j])) > 0.5 else 0 for j in range(8)] for i in range(8)]
+            weights = 1 / (1 + np.sum(shared, 1))
+        odds = [math.log(prior / (1 - prior)) + sum(weights[j] * math.log(rates[1][j] / rates[0][j] if v[j] else (1 - rates[1][j]) / (1 - rates[0][j])) for j in range(8)) for v in votes]
+        before, q = q, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        if np.abs(q - before).max() < 1e-4:
+            break
+    got = T.LabelModel().fit(sparse(votes), y.astype(float))
+    assert weights[0] < 0.6 and np.allclose(got, q, atol=1e-4)
+    w, bias = T.linear(sparse(votes), got)
+    slack = got - 1 / (1 + np.exp(-(votes @ w + bias)))
+    assert np.abs(votes.T @ slack - 0.1 * w).max() < 1e-2 and abs(slack.sum()) < 1e-2
+
+
 def test_label_model_shares_correlated_votes():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.3
@@ -56,7 +85,7 @@ def test_label_model_shares_correlated_votes():
     votes = np.stack([*good, noise, noise, noise], 1).astype(float)
     given = np.where(rng.random(2000) < 0.1, ~y, y)  # wrong labels name the class, but don't hold the posterior
     model = T.LabelModel()
-    q = model.fit(votes, given.astype(float))
+    q = model.fit(sparse(votes), given.astype(float))
     assert ((q > 0.5) == y).mean() > 0.95 and (abs(model.rates[1][:4] - 0.7) < 0.05).all() and (abs(model.rates[:, 4:] - 0.2) < 0.05).all()
     assert (model.weights[4:] < 0.5).all() and (model.weights[:4] > 0.9).all()
 
