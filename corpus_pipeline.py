@@ -1,8 +1,8 @@
 """Corpus cleaning and packing as five stages; each is written as Parquet and reread as the next one's documents.
 
 Every stage but the last returns the columns of documents, whatever others they have; the last returns the places of the
-packed pieces. Null texts count as empty. An empty table passes every stage. A row with a null doc_id passes every stage
-but exact_dedup, where it counts like any other, and is packed.
+packed pieces. Null texts count as empty. An empty table passes every stage. Each row is judged by its own text, so a row
+with a null doc_id counts like any other, and so do two texts of one doc_id.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from claimweave.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. Rows that repeat one go with it; where a doc_id has two texts, both go if either is rejected."""
+    """Documents that the classifier rejects go."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -28,12 +28,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest doc_id stays, with rows that repeat it; a text without words is linked to equal ones alone."""
+    """Of each class of linked documents the one with the smallest doc_id stays, with rows that repeat it, and a row without doc_id only where there is no other; a text without words is linked to equal ones alone."""
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go. Rows that repeat one go with it; empty texts contain none."""
+    """Documents that contain a benchmark item go; empty texts contain none, and items of one word are not looked for."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
