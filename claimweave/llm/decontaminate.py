@@ -9,6 +9,7 @@ verbatim copies of every item, also of those that are too short or have too few
 from __future__ import annotations
 
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,18 +37,33 @@ LITERAL, END, NUMBER, UNIT, CAPITAL, SIGN = range(6)
 NUM, UNI, NAME = 1, 2, 3
 _SLOT_HASH = np.array([0, 0x9E6C63D0676A9A99, 0xB5297A4D3F84D5B5, 0xE7037ED1A0B428DB], np.uint64)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+_INT = struct.Struct("=i").pack
 #: Windows of benchmark templates that one pass holds in a task's memory; a larger benchmark takes several passes.
 MAX_WINDOWS = 2_000_000
 
 
 class _Vocabulary(dict):
-    """Token -> index into hashes and kinds, remembered up to a bound."""
+    """Token -> index into hashes, kinds and words, remembered up to a bound."""
 
     MOST = 400_000
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes, self.kinds = np.empty(1024, np.uint64), np.empty(1024, np.int8)
+        self.hashes, self.kinds, self.words = np.empty(1024, np.uint64), np.empty(1024, np.int8), []
+        self.runs = _Runs(self)
+
+    def read(self, text: str) -> np.ndarray:
+        """The index of each token of text.
+
+        No token goes over a blank, so what stands between blanks is split once. A comma before a blank is in no token,
+        a full stop before a blank and a line break are tokens of their own.
+        """
+        if len(self) > self.MOST:
+            self.clear()
+            self.words.clear()
+            self.runs.clear()
+        apart = text.replace("\n", " \n ").replace(". ", " . ").replace(", ", " ")
+        return np.frombuffer(b"".join(map(self.runs.__getitem__, apart.split(" "))), np.int32)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -65,10 +81,33 @@ class _Vocabulary(dict):
         if k == len(self.hashes):
             self.hashes, self.kinds = np.resize(self.hashes, 2 * k), np.resize(self.kinds, 2 * k)
         self.hashes[k], self.kinds[k] = xxhash.xxh3_64_intdigest(low), kind
+        self.words.append(token if low == token else low)
         self[token] = k
         return k
 
 
+class _Runs(dict):
+    """What stands between two blanks -> bytes of its tokens' indexes; only short ones are remembered, up to a bound."""
+
+    MOST, LONGEST = 400_000, 32
+
+    def __init__(self, vocabulary: _Vocabulary) -> None:
+        super().__init__()
+        self.index = vocabulary.__getitem__
+
+    def __missing__(self, run: str) -> bytes:
+        if run.isascii() and run.isalpha():
+            found = _INT(self.index(run))
+        else:
+            tokens = TOKEN if not run.isascii() and _UNSPACED.search(run) else _SPACED
+            found = b"".join([_INT(self.index(token)) for token in tokens.findall(run)])
+        if len(run) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[run] = found
+        return found
+
+
 class _Template:
     """The tokens of a text, the places of those that make its template, and two readings of it.
 
@@ -78,12 +117,8 @@ class _Template:
     """
 
     def __init__(self, text: str, vocabulary: _Vocabulary) -> None:
-        if len(vocabulary) > vocabulary.MOST:
-            vocabulary.clear()
-        tokens = TOKEN if not text.isascii() and _UNSPACED.search(text) else _SPACED
-        self.found = found = tokens.findall(text)
-        index = np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found))
-        hashes, kinds = vocabulary.hashes[index], vocabulary.kinds[index]
+        self.index, self.words = vocabulary.read(text), vocabulary.words
+        hashes, kinds = vocabulary.hashes.take(self.index), vocabulary.kinds.take(self.index)
         self.plain = hashes[kinds != END]
         seen = np.flatnonzero(kinds != SIGN)
         hashes, kinds = hashes[seen], kinds[seen]
@@ -99,15 +134,38 @@ class _Template:
         self.places, capital, opens = seen[own], kinds[own] == CAPITAL, opens[own]
         self.readings = [(np.where(s > 0, _SLOT_HASH[s], hashes[own]), s) for s in (np.where(capital & ~opens, NAME, slots[own]), np.where(capital, NAME, slots[own]))]
 
+    def word(self, place: int) -> str:
+        """The lower-cased token at a place; only until the vocabulary reads another text."""
+        return self.words[self.index[place]]
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (_ODD, np.uint64(pow(int(_ODD), -1, 1 << 64))))
+        return self.up, self.down
+
+
+_powers = _Powers()
+
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of size hashes: their sum with the powers of an odd number, by differences of running sums."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = (out ^ hashes[k : k + n]) * _ODD
-        out ^= out >> np.uint64(31)
+    up, down = _powers(len(hashes))
+    sums = np.cumsum(hashes * up[: len(hashes)])
+    out = sums[size - 1 :].copy()
+    out[1:] -= sums[: n - 1]
+    out *= down[:n]
+    out += np.uint64(size)
     return out
 
 
@@ -150,7 +208,7 @@ class _Index:
             width = min(size, n)
             within = np.ones(width, int)
             self.ids.append(item_id)
-            self.tokens.append([t.found[p].lower() for p in t.places])
+            self.tokens.append([t.word(p) for p in t.places])
             self.slots.append([slots for _, slots in t.readings])
             self.size.append(width)
             self.totals.append(0)
@@ -172,7 +230,7 @@ class _Index:
     def matches(self, text: str, vocabulary: _Vocabulary, least: int, coverage: float) -> Iterator[tuple]:
         """(item_id, n_windows, item_windows, n_slots, exact) of every item that the text contains."""
         t = _Template(text, vocabulary)
-        found, places = t.found, t.places
+        places = t.places
         hits: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
         for size in self.templates.sizes:
             first, second = (windows(hashes, size) for hashes, _ in t.readings)
@@ -187,7 +245,7 @@ class _Index:
                 place = {s + x for s in starts for x in range(self.size[k]) if self.slots[k][r][s + x]}
                 maps: dict[tuple, set] = defaultdict(set)
                 for s in place:
-                    maps[int(self.slots[k][r][s]), self.tokens[k][s]].add(found[places[s + shift]].lower())
+                    maps[int(self.slots[k][r][s]), self.tokens[k][s]].add(t.word(places[s + shift]))
                 if all(len(v) == 1 for v in maps.values()):
                     covered.update(starts)
                     used |= place

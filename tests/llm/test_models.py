@@ -338,3 +338,29 @@ def test_decontamination_finds_short_and_plain_items(spark, make):
     for passes in (D.MAX_WINDOWS, 20):
         got = {(r.doc_id, r.item_id, r.exact) for r in D.contaminated(make(pairs), bench, max_windows=passes).collect()}
         assert got == {(k, k, True) for k in range(6)} | {(10, 1, False), (11, 4, False), (12, 2, True)}
+
+
+def test_decontamination_reads_a_run_between_blanks_once(monkeypatch):
+    """Tokens are those of the pattern over the whole text, and a run that was seen before isn't split again."""
+    vocabulary, rng = D._Vocabulary(), np.random.default_rng(9)
+    pieces = [" ", ", ", ". ", "\n", "\t", "\x1c", "\u3000", ".", ",", "3.5", "1,000", "7.", "Tom's", "don't", "%", "$", "…", "ß", "École", "法國的", "ไทย", "_x1", "a2b", "İ", "x" * 40]
+    for _ in range(500):
+        text = "".join(rng.choice(pieces, 20))
+        want = D.TOKEN.findall(text)
+        index = vocabulary.read(text)
+        assert [vocabulary.words[k] for k in index] == [w.lower() for w in want]
+        assert (vocabulary.hashes[index] == [D.xxhash.xxh3_64_intdigest(w.lower()) for w in want]).all()
+    template = D._Template("He said 3 words, (quite) often.", vocabulary)
+    monkeypatch.setattr(D, "_SPACED", None)
+    again = D._Template("He said 3 words, (quite) often.", vocabulary)
+    assert (again.plain == template.plain).all() and list(again.places) == list(template.places)
+
+
+def test_window_hashes():
+    """A window's hash depends on its own values alone, in their order, and on its size."""
+    hashes = np.random.default_rng(4).integers(0, 2**64, 3000, dtype=np.uint64)
+    for size in (1, 3, 8):
+        whole = D.windows(hashes, size)
+        assert len(set(whole.tolist())) == len(whole) == 3000 - size + 1
+        assert all(D.windows(hashes[k : k + size], size)[0] == whole[k] for k in (0, 1, 17, 2000, 3000 - size))
+    assert D.windows(hashes[:8], 8) != D.windows(hashes[:8][::-1], 8) and len(D.windows(hashes[:2], 3)) == 0
