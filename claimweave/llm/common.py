@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.work import is_empty, numbered, save
 
-__all__ = ["UNSPACED", "components", "is_empty", "join_hot", "numbered", "save", "squeezed", "text_of"]
+__all__ = ["UNSPACED", "components", "is_empty", "join_hot", "numbered", "save", "sifted", "squeezed", "text_of"]
 
 #: Characters deleted or split on as white space: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -42,6 +42,24 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return met.unionByName(rest).drop("n")
 
 
+#: Bits of one bitmap of Spark's bitmap_construct_agg, for each wanted key, and the most bitmaps: 32 MB in all.
+_BITMAP, _BITS_A_KEY, _BITMAPS = 32_768, 64, 8_192
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with __maybe: false only if no row of wanted has these keys; a row of other keys is rarely true.
+
+    A bit for each hash of wanted's keys is broadcast, so rows don't move, and only what is left is worth a shuffle.
+    """
+    bitmaps = min(_BITMAPS, 1 + wanted.count() * _BITS_A_KEY // _BITMAP)
+    digest = F.xxhash64(*keys)
+    own, bit = F.pmod(digest, F.lit(bitmaps)), F.shiftrightunsigned(digest, 49)
+    bits = save(wanted.groupBy(own.alias("__own")).agg(F.bitmap_construct_agg(bit).alias("__bits")), "bits")
+    met = rows.withColumn("__own", own).withColumn("__bit", bit.cast("int")).join(F.broadcast(bits), "__own", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return met.withColumn("__maybe", F.coalesce(F.getbit(byte, F.col("__bit") % 8) == 1, F.lit(False))).select(*rows.columns, "__maybe")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the smallest node of its connected component.
 

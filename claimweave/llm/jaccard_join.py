@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_hot, save, text_of
+from .common import components, join_hot, save, sifted, text_of
 
 WORD = re.compile(r"\w+")
 #: MinHash values, and how many of them make a band: a pair of similarity 0.8 shares no band with probability 3e-6.
@@ -156,8 +156,7 @@ def _key(words: list[str], text: str) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words) or "\n" + "".join(text.split()))
 
 
-def _features(id_col: str, text_col: str, size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
+def _features(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -167,7 +166,8 @@ def _features(id_col: str, text_col: str, size: int):
                 words = WORD.findall(text.as_py().lower())
                 keys.append(_key(words, text.as_py()))
                 sigs.append(signature(shingle_hashes(words, hashes, size)).tobytes() if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+            names = [*batch.schema.names[:1], *batch.schema.names[2:], "key", "sig"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=names)
 
     return run
 
@@ -179,11 +179,10 @@ def _shingles(size: int):
         hashes = _Hashes()
         for batch in batches:
             keys, sets = [], []
-            for key, text in zip(batch.column(0), batch.column(1)):
+            for text in batch.column(0):
                 words = WORD.findall(text.as_py().lower())
-                if (key := key.as_py()) == _key(words, text.as_py()):
-                    keys.append(key)
-                    sets.append(shingle_hashes(words, hashes, size).tobytes())
+                keys.append(_key(words, text.as_py()))
+                sets.append(shingle_hashes(words, hashes, size).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
 
     return run
@@ -272,8 +271,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     which returns per-text counts and a spanning forest, never the pairs.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    named = base.filter("doc_id is not null")
-    marked = save(named.mapInArrow(_features(id_col, text_col, size), "doc_id long, key binary, sig binary"), "minhash")
+    result = _joined(base.filter("doc_id is not null"), "doc_id long", size, threshold, tolerance)
+    nameless = base.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_similar"))
+    return result.union(nameless)
+
+
+def _joined(named: DataFrame, columns: str, size: int = 5, threshold: float = 0.8, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of jaccard_join for named, which has doc_id of any type, none null, text, and others; columns are those and their types but text."""
+    others = [c for c in named.columns if c not in ("doc_id", "text")]
+    marked = save(named.select("doc_id", "text", *others).mapInArrow(_features(size), f"{columns}, key binary, sig binary"), "minhash")
     classes = save(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
 
     band = F.transform(
@@ -292,8 +298,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = components(near, "candidates")
 
     suspects = save(groups.join(classes, groups["node"] == classes["key"]).select("key", "sig", "copies", "rep", "root"), "members")
-    wanted = suspects.select("key", F.col("rep").alias("doc_id"))
-    sets = named.join(wanted, "doc_id").select("key", "text").mapInArrow(_shingles(size), "key binary, shingles binary")
+    # Shingles are made where the texts lie; what was read for another's sake finds no suspect of its key.
+    near = sifted(named.select("doc_id", "text"), suspects.select(F.col("rep").alias("doc_id")), ["doc_id"]).filter("__maybe")
+    sets = near.select("text").mapInArrow(_shingles(size), "key binary, shingles binary")
     sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
     full = save(suspects.join(sets, "key"), "sets")
     sizes = save(full.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.octet_length("shingles")).alias("volume"), F.count("*").alias("n")), "sizes")
@@ -307,22 +314,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low = save(reps.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "lowest")
     reps = join_hot(reps, low, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("n_similar", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.col("copies").alias("n"))
     # A key stands for its exact copies, which may be most rows.
-    result = join_hot(marked.select("doc_id", "key"), save(reps, "keys"), "key").select("doc_id", "class_id", "n_links", "n_similar")
-    nameless = base.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_similar"))
-    return result.union(nameless)
+    return join_hot(marked.select("doc_id", "key", *others), save(reps, "keys"), "key").select("doc_id", "class_id", "n_links", "n_similar", *others)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stand for their class, with all their columns.
 
     The row with the smallest doc_id of a class stays, with the rows of its doc_id in the class; rows with a null doc_id come
-    last, and one of them stays where a class has no others. Rows are numbered, so each is judged by its own text.
+    last, and one of them stays where a class has no others. Each row is judged by its own text, which goes by its SHA-256.
+    Texts stay where they are: what goes is a few rows, and only rows that may be among them are shuffled.
     """
-    rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    ids = rows.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"))
-    classes = jaccard_join(rows, "__row", text_col, **options).select(F.col("doc_id").alias("row"), "class_id")
-    classes = save(ids.join(classes, "row"), "classes")
-    best = classes.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("best"), F.count("*").alias("n")).filter("n > 1")
-    members = join_hot(classes, save(best, "best"), "class_id")
-    gone = members.filter((F.col("row") != F.col("best.row")) & ~F.coalesce(F.col("id") == F.col("best.id"), F.lit(False)))
-    return rows.join(gone.select(F.col("row").alias("__gone")), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    whole = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__sha", F.unhex(F.sha2(text_of(text_col), 256)))
+    classes = save(_joined(whole.select(F.col("__sha").alias("doc_id"), text_of(text_col).alias("text"), "__id"), "doc_id binary, __id long", **options), "classes")
+    classes = classes.select("class_id", F.col("doc_id").alias("__sha"), "__id")
+    best = classes.groupBy("class_id").agg(F.min(F.struct(F.col("__id").isNull().alias("nameless"), "__id", "__sha")).alias("best"), F.count("*").alias("n"))
+    best = save(best, "best")
+    gone = join_hot(classes.filter("__id is not null"), best.filter("n > 1"), "class_id").filter(F.col("__id") != F.col("best.__id"))
+    gone = save(gone.select("__id", "__sha").distinct(), "gone")
+    named = sifted(whole.filter("__id is not null"), gone, ["__id", "__sha"])
+    stay = named.filter("not __maybe").unionByName(named.filter("__maybe").join(gone, ["__id", "__sha"], "left_anti"))
+    alone = best.filter("best.nameless").select(F.col("best.__sha").alias("__sha"))
+    nameless = whole.filter("__id is null").join(alone, "__sha", "left_semi").dropDuplicates(["__sha"])
+    return stay.select(*docs.columns).unionByName(nameless.select(*docs.columns))

@@ -7,10 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimweave.llm import exact_dedup as E
 from claimweave.llm import jaccard_join as J
 from claimweave.llm import substring_dedup as S
+from claimweave.llm.common import save, sifted
 
 LONG = "word " * 30_000
 EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "a b c"), (5, "ab c"), (6, "abc "), (6, "abc "), (7, LONG), (8, LONG + "x"), (9, LONG), (None, "abc"), (None, "solo"), (10, "x" * 64), (11, "x" * 320), (12, "x" * 64), (13, "é" * 40), (14, "é" * 40 + " ")]
@@ -98,6 +100,32 @@ def test_join_edges(make):
     assert {r.doc_id for r in kept.collect()} == {c for _, c, _, _ in brute_join(near_copies())}
 
 
+def test_near_copies_leave_texts_in_place(spark, make, monkeypatch):
+    """No work table holds texts, rows that go nowhere aren't shuffled, and nothing depends on which rows a bitmap lets through."""
+    tables, sift = [], J.sifted
+    monkeypatch.setattr(J, "save", lambda df, label: tables.append(df.columns) or save(df, label))
+    pairs = near_copies() + [(None, t) for _, t in near_copies()[:3]] + 2 * [(None, "alone " * 9), (300, "twice " * 9)] + 2 * [(None, None)]
+    docs = make(pairs).withColumn("__row", F.lit(1)).withColumn("maybe", F.lit(1))
+    kept = J.drop_near_copies(docs)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert not [t for t in tables if "text" in t] and kept.columns == docs.columns
+    named = {(d, t) for d, t in pairs if d is not None}
+    low = {c for _, c, _, _ in brute_join([p for p in pairs if p[0] is not None])}
+    assert {d for d, _ in got} == low | {None} and set(got) - {(None, "alone " * 9)} <= named
+    assert got[None, "alone " * 9] == 1 and got[300, "twice " * 9] == 2 and got[206, near_copies()[0][1]] == 0
+    monkeypatch.setattr(J, "sifted", lambda *x: sift(*x).withColumn("__maybe", F.lit(True)))
+    assert Counter((r.doc_id, r.text) for r in J.drop_near_copies(docs).collect()) == got
+
+
+def test_sifted(spark):
+    rows = spark.range(20_000).select((F.col("id") - 10_000).alias("a"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("b"))
+    for wanted in (rows.filter("a % 10 = 0"), rows.limit(0), rows):
+        got = sifted(rows, wanted, ["a", "b"])
+        assert got.columns == ["a", "b", "__maybe"] and got.count() == 20_000
+        n, sure = wanted.count(), got.filter("__maybe").select("a")
+        assert wanted.select("a").subtract(sure).count() == 0 and n <= sure.count() <= n + (20_000 - n) // 10
+
+
 def test_join_of_the_table(spark):
     """Against an exact join by way of common n-grams: no link is lost, none made up."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
