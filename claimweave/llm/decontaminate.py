@@ -14,7 +14,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -358,10 +357,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def _contains(index, least: int, coverage: float):
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, own = _Vocabulary(), index.value
         for texts in batches:
-            yield pd.Series([any(True for _ in own.matches(t, vocabulary, least, coverage)) for t in texts], dtype=bool)
+            yield pa.array([any(True for _ in own.matches(t.as_py(), vocabulary, least, coverage)) for t in texts], pa.bool_())
 
     return run

@@ -12,7 +12,6 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,8 +263,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """
     probability = _probability(*fit(docs, labels, id_col, text_col, label_col, fit_rows, **options))
 
-    @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(probability(texts))
+    @F.arrow_udf("double")
+    def toxic(texts: pa.Array) -> pa.Array:
+        return pa.array(probability(t.as_py() for t in texts))
 
     return docs.filter(toxic(text_of(text_col)) < threshold)

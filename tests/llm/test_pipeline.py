@@ -1,6 +1,11 @@
 """The pipeline's stages, each judged on its own input."""
 
+import subprocess
+import sys
+
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from claimweave.llm import jaccard_join, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +66,24 @@ def test_stages_of_odd_rows(spark, make):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(kept["decontamination"])
     assert corpus_pipeline.STAGES[-1][1](spark, make([]), SF).collect() == []
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_dedup", "decontamination", "packing"])
+def test_stages_hand_over_few_rows_at_once(spark, sample, stage):
+    """Also when what a stage returns is read later; a lower setting stays."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    largest = lambda: max(r.n for r in spark.range(0, 20_000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect())
+    before = spark.conf.get(rows)
+    try:
+        for most, want in ((10_000, corpus_pipeline.BATCH), (0, corpus_pipeline.BATCH), (7, 7)):
+            spark.conf.set(rows, str(most))
+            dict(corpus_pipeline.STAGES)[stage](spark, sample.limit(3), SF)
+            assert largest() == want <= 1_000
+    finally:
+        spark.conf.set(rows, before)
+
+
+def test_workers_need_no_pandas():
+    """A worker imports what the stages' functions are in; pandas alone takes 20 MB of each."""
+    code = "import sys, corpus_pipeline; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=corpus_pipeline.__file__.rpartition("/")[0]).returncode == 0
