@@ -1,17 +1,19 @@
 """Token-id shards, compressed by an adaptive context-mixing range coder.
 
 File format: a Parquet table whose rows are segments, each of whole documents in ascending doc_id order: shard, segment,
-doc_ids, lengths, and a payload of independently reset, checksummed blocks.
-
-    payload  b"CWT2", uint32 ids, uint32 ids a block, uint32 blocks, uint8 whether ids exceed 16 bits, then per block
-             uint32 bytes and uint32 crc32 of its ids, then the bytes of all blocks
-
-Within a block three predictions meet: order 2, the id last seen behind the same two ids; order 1, the id last seen
-behind the same id; order 0, all ids seen so far by how often they occurred. An id is coded as a symbol: order 2 holds,
-order 1 holds, new in the block, or one of a row of frequency levels that order 0 sorts its ids into. Adaptive
-frequencies of the symbols, mixed over how well order 2 did here and over the symbol before, drive the range coder; the
-place within a level, or a new id itself, follows. Blocks of a segment are coded in step with each other, one numpy lane
-per block.
+doc_ids, lengths, and a payload.
+
+    payload  b"CWT3", uint32 ids, uint32 blocks, uint8 whether ids exceed 16 bits, then per block uint32 words and
+             uint32 crc32 of its ids, then the 32-bit words of all blocks. Where ids exceed 16 bits, blocks is the
+             length of the payload of their low halves, which follows, and that of their high halves is behind it.
+
+The ids are cut into blocks of equal length, which are coded in step with each other, one numpy lane per block: first the
+first id of each, then the second. The model adapts as often as half as many ids again, later twice as many, are known:
+it is learnt anew from all ids that all blocks have coded so far, which the decoder has too. Of each context, the last
+two ids if they occurred together often enough, else the last one, it has a row of what followed, in which the
+frequencies of orders 2, 1 and 0 are mixed, each with a weight that grows with what its context has seen. A row splits a
+power of two of slots, so that a range is narrowed by a shift and the decoder finds an id by one look into the slots. An id that
+the row doesn't list follows in order 0; one that is new to it, as it is.
 """
 
 from __future__ import annotations
@@ -21,325 +23,346 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import save, text_of
 
-MAGIC = b"CWT2"
-#: Ids of a block: longer ones compress better, shorter ones are coded faster.
-BLOCK = 8192
+MAGIC = b"CWT3"
+#: Ids of a block, most of all: longer ones cost fewer bytes, shorter ones are coded faster.
+BLOCK = 2048
 #: Ids of a segment at which it is closed; a longer document is a segment of its own.
 SEGMENT = 1 << 22
-#: New ids are written as 16 bits, or as 32 where a segment has larger ones.
-WORD = 1 << 16
-#: Symbols are coded as a group and a member of it. Symbols 0 and 1: the order-2 and order-1 id; 2: new; then the levels.
-GROUP = 7
-ALPHABET = GROUP * GROUP
-#: Sum at which a frequency table is halved.
-LIMIT = 1 << 10
+#: An id of one stream has 16 bits; FRESH stands for an id that a row doesn't list.
+WORD = FRESH = 1 << 16
+#: Occurrences from which two ids are a context of their own, and the most ids listed behind one and behind two.
+OFTEN, LISTED = 256, (1 << 19, 1 << 18)
 _U = np.uint64
-_HEAD = "<4sIIIB"
+_HEAD = "<4sIIB"
 _HEAD_BYTES = struct.calcsize(_HEAD)
-_BOTTOM, _LEAD, _BITS = _U(1 << 48), _U(48), _U(16)
-_HI, _LO = np.divmod(np.arange(ALPHABET), GROUP)
-_FAITH = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int32)
-
-
-def _step(size: int) -> np.ndarray:
-    """Row k: what a frequency table's ends gain when symbol k occurs."""
-    return np.triu(np.full((GROUP, 8), size, np.uint16), 1)
-
-
-_STEPS = _step(24), _step(8), _step(24)
-_ROW = np.where(np.arange(GROUP)[:, None] == 0, GROUP + np.arange(8), np.arange(GROUP)[:, None]).reshape(-1)
+_FULL, _BOTTOM, _HALF = _U(2**64 - 1), _U(1 << 32), _U(32)
+#: An entry holds start, share and id in one number; a state holds a row's first slot and the bits of its slots.
+_START, _SHARE, _ID, _SIZE = _U(35), _U(17), _U((1 << 17) - 1), _U(5)
+_SHARES, _BITS = _U((1 << 18) - 1), _U(31)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of keys, ascending, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key, below 2**40, stands in the ascending table; -1: nowhere. Keys are sorted first, so that each value is looked up once."""
+    if len(keys) < 4096:
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[at] == keys, at, -1)
+    out = np.full(len(keys), -1, np.int32)
+    for k in range(0, len(keys), 1 << 24):
+        own = keys[k : k + (1 << 24)].astype(_U)
+        own <<= _U(24)
+        own |= np.arange(len(own), dtype=_U)
+        own.sort()
+        place = (own & _U((1 << 24) - 1)).view(np.int64)
+        own >>= _U(24)
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        wanted = own[new].astype(table.dtype)
+        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+        at = np.where(table[at] == wanted, at, -1).astype(np.int32)
+        out[place + k] = np.repeat(at, np.diff(np.flatnonzero(new), append=len(own)))
+    return out
+
+
+def _mark(twos: np.ndarray) -> np.ndarray:
+    """20 bits of a hash of two ids, by which most that have no row are told at once."""
+    return (twos * np.uint32(0x9E3779B1)) >> np.uint32(12)
 
 
-def _symbols(block: int) -> np.ndarray:
-    """The symbol of an id that occurred so many times: levels of one count each, then wider by a quarter each."""
-    symbol, k, least = np.full(block + 2, 2), 2, 1.0
-    while least <= block:
-        k = min(k + 1, ALPHABET - 1)
-        symbol[int(least) :] = k
-        least = max(least + 1, least * 1.25)
-    return symbol
+class _Model:
+    """Rows of what follows a context, from ids that coder and decoder both know: seen has two lines before the first step, a column a block.
 
+    Row 0 is order 0, then come a row for each id, then one for each two ids that occurred often enough. A row mixes the
+    frequencies behind its context with the shares of the next shorter one, which weigh as much as the row has distinct
+    ids, and splits 2**bits slots by that mixture; what is left is the share of FRESH.
+    """
 
-class _Model:
-    """What the blocks of a segment have seen: coder and decoder each keep one. Ids go by the number that they got when first seen in the block."""
-
-    def __init__(self, lanes: int, block: int) -> None:
-        lane = np.arange(lanes)
-        self.bits = max(4, int(block - 1).bit_length())
-        self.base, self.base2, self.base_s, self.base8 = lane * block, lane << self.bits, lane * ALPHABET, lane * 8
-        # Predicted numbers plus one, 0: none; those of order 2 with two bits that say how well they did.
-        self.one, self.two = np.zeros(lanes * block, np.int32), np.zeros(lanes << self.bits, np.int32)
-        # Order 0: occurrences of each number, all numbers by falling level, and where in that row each level begins.
-        self.counts = np.zeros(lanes * block, np.int32)
-        self.order = np.tile(np.arange(block, dtype=np.int32), lanes)
-        self.symbol = _symbols(block)
-        self.rises = np.append(np.diff(self.symbol) > 0, False)
-        self.first = np.zeros(lanes * ALPHABET, np.int64)
-        self.sizes = np.tile(np.array([1, 1, WORD] + [0] * (ALPHABET - 3), np.int64), lanes)
-        # Frequency tables of groups by context and by group before, and of members, as running sums of seven shares.
-        even = np.arange(8, dtype=np.uint16)
-        self.ends = [np.tile(even * np.uint16(w), (lanes * rows, 1)) for rows, w in ((8, 2), (GROUP, 1), (GROUP + 8, 2))]
-        self.rows = [e.view(np.complex128)[:, 0] for e in self.ends]
-        self.at = lane * 8, lane * GROUP, lane * (GROUP + 8)
-        self.prior = self.before = self.group = np.zeros(lanes, np.int64)
-        self.hot = np.zeros(lanes, np.int64)
-        self.t = 0
-
-    def predict(self) -> np.ndarray:
-        """Ends of the groups' shares, eight numbers a lane; sets the predicted numbers."""
-        h = self.hot + self.prior * 0x85EBCA6B
-        h >>= 15
-        h &= (1 << self.bits) - 1
-        h += self.base2
-        self.h1, self.h2 = self.base + self.before, h
-        v = self.two.take(h)
-        self.by1, self.by2, self.faith = self.one.take(self.h1), v >> 2, v & 3
-        self.context = self.faith + ((self.by1 == self.by2) << 2)
-        self.row_a, self.row_b = self.at[0] + self.context, self.at[1] + self.group
-        self.a, self.b = self.rows[0].take(self.row_a).view(np.uint16), self.rows[1].take(self.row_b).view(np.uint16)
-        return self.a + self.b
-
-    def detail(self, hi: np.ndarray) -> np.ndarray:
-        """Ends of the shares of the group's members."""
-        self.row_c = self.at[2] + _ROW.take(hi * 8 + self.context)
-        self.c = self.rows[2].take(self.row_c).view(np.uint16)
-        return self.c
-
-    def update(self, n1: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> None:
-        for rows, row, now, step, k in zip(self.rows, (self.row_a, self.row_b, self.row_c), (self.a, self.b, self.c), _STEPS, (hi, hi, lo)):
-            now += step.take(k, 0).reshape(-1)
-            rows[row] = now.view(np.complex128)
-        self.t += 1
-        if not self.t & 31:
-            for e in self.ends:
-                full = (e[:, 7] > LIMIT).nonzero()[0]
-                if len(full):
-                    e[full, 1:] = np.cumsum((np.diff(e[full]) >> 1) + 1, 1)
-        n32 = n1.astype(np.int32)
-        self.two[self.h2] = (n32 << 2) + _FAITH.take((self.faith << 1) + (self.by2 == n32))
-        self.one[self.h1] = n32
-        number = n1 - 1
-        self.prior, self.before, self.group = self.before, number, hi
-        self.hot = number * 0x9E3779B1
-
-    def rise(self, number: np.ndarray, a: np.ndarray, p: np.ndarray, f: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Move numbers at places p up a level, which ends where theirs begins, at a; returns the numbers that they change places with."""
-        self.first[f] = a + 1
-        self.sizes[f] -= 1
-        self.sizes[f + 1] += 1
-        self.sizes[2::ALPHABET] = WORD
-        at = base + a
-        other = self.order.take(at)
-        self.order[base + p] = other
-        self.order[at] = number.astype(np.int32)
-        return other
-
-
-def _first_seen(ids: np.ndarray) -> np.ndarray:
-    """The number that each id of a block got when first seen in it."""
-    _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
-    number = np.empty(len(first), np.int64)
-    number[np.argsort(first, kind="stable")] = np.arange(len(first))
-    return number[inverse]
+    def __init__(self, seen: np.ndarray) -> None:
+        before, last, now = (seen[k : len(seen) - 2 + k].reshape(-1) for k in range(3))
+        self.keys, self.starts, self.shares, self.bits, self.ends = [], [], [], [], []
+        counts = np.bincount(now, minlength=1)
+        ids = np.flatnonzero(counts)
+        self._add(np.zeros(len(ids), np.int64), ids, counts[ids], np.ones(len(ids), np.int64), 0, len(now), np.array([len(now)]))
+        ids_0 = np.zeros(WORD, np.int64)
+        ids_0[ids] = self._share_of(0, np.arange(len(ids)))
+        self.row_1 = np.zeros(WORD, np.int64)
+        self.pairs, self.marks, tails = np.empty(0, np.uint32), np.zeros(1 << 20, bool), [np.array([WORD])]
+        if len(now):
+            pairs, counts = _runs((last.astype(np.uint32) << 16) | now)
+            heads, row, total = self._kept_rows(pairs >> 16, counts)
+            self.row_1[heads] = np.arange(1, len(heads) + 1)
+            self.pairs = pairs[counts >= OFTEN]
+            tails.append(heads.astype(np.int64))
+            kept = self._most(counts, LISTED[0])
+            ids = (pairs[kept] & 0xFFFF).astype(np.int64)
+            self._add(row[kept], ids, counts[kept], ids_0[ids], 1, len(now), total)
+        if len(self.pairs):
+            twos = (before.astype(np.uint32) << 16) | last
+            self.marks[_mark(self.pairs)] = True
+            own = self.marks.take(_mark(twos)).nonzero()[0]
+            threes, counts = _runs((twos[own].astype(_U) << _U(16)) | now[own])
+            at = np.minimum(np.searchsorted(self.pairs, (threes >> _U(16)).astype(np.uint32)), len(self.pairs) - 1)
+            own = self.pairs[at] == (threes >> _U(16))
+            threes, counts = threes[own], counts[own]
+            self.pairs, row, total = self._kept_rows((threes >> _U(16)).astype(np.uint32), counts)
+            tails.append((self.pairs & 0xFFFF).astype(np.int64))
+            kept = self._most(counts, LISTED[1])
+            threes = threes[kept]
+            ids = (threes & _U(0xFFFF)).astype(np.int64)
+            key = (self.row_1[((threes >> _U(16)) & _U(0xFFFF)).view(np.int64)] << 17) | ids
+            at = np.minimum(np.searchsorted(self.keys[1], key), len(self.keys[1]) - 1)
+            self._add(row[kept], ids, counts[kept], np.where(self.keys[1][at] == key, self._share_of(1, at), 0), len(self.row_1.nonzero()[0]) + 1, len(now), total)
+        keys, starts, shares, bits = (np.concatenate(x) for x in (self.keys, self.starts, self.shares, self.bits))
+        self.keys, self.bits = keys, bits
+        rows = keys >> 17
+        self.fresh = np.flatnonzero((keys & 0x1FFFF) == FRESH)
+        slot = np.cumsum(1 << bits) - (1 << bits)
+        self.states = ((slot << 5) | bits).astype(_U)
+        self.entries = (starts.astype(_U) << _START) | (shares.astype(_U) << _SHARE) | (keys & 0x1FFFF).astype(_U)
+        self.slots = np.repeat(np.arange(len(keys), dtype=np.int32), shares)
+        self.tails, self.rows = np.concatenate(tails), rows
+
+    @staticmethod
+    def _kept_rows(heads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts, ascending; each entry's context among them; occurrences of each."""
+        new = np.concatenate([[True], heads[1:] != heads[:-1]])
+        row = np.cumsum(new) - 1
+        return heads[new], row, np.add.reduceat(counts, np.flatnonzero(new))
+
+    @staticmethod
+    def _most(counts: np.ndarray, most: int) -> np.ndarray:
+        """Entries of the highest counts, at most so many; what isn't listed is FRESH."""
+        least = 1
+        while np.count_nonzero(counts >= least) > most:
+            least += 1
+        return np.flatnonzero(counts >= least)
+
+    def _share_of(self, order: int, at: np.ndarray) -> np.ndarray:
+        """The share of entries of an order in 2**16."""
+        return (self.shares[order][at] << 16) >> self.bits[order][(self.keys[order][at] >> 17) - (self.keys[order][0] >> 17)]
+
+    def _add(self, row: np.ndarray, ids: np.ndarray, counts: np.ndarray, lower: np.ndarray, first: int, seen: int, total: np.ndarray) -> None:
+        """Append rows; an entry has its row, id, count and share of the next shorter context, a row has all that it counted."""
+        n = np.bincount(row, minlength=len(total))
+        fade = max(0, int(seen).bit_length() - 26)
+        weight = (counts << 16 >> fade) + n[row] * lower
+        rest = ((total - np.bincount(row, counts, len(total)).astype(np.int64)) << 16 >> fade) + n * np.maximum(WORD - np.bincount(row, lower, len(total)).astype(np.int64), 64) + 1
+        ends = np.cumsum(n)
+        ids, row, weight = np.insert(ids, ends, FRESH), np.insert(row, ends, np.arange(len(total))), np.insert(weight, ends, rest)
+        n = n + 1
+        bits = np.minimum(np.ceil(np.log2(16 * n)).astype(np.int64), 17)
+        begin = np.cumsum(n) - n
+        upto = np.cumsum(weight)
+        whole = np.add.reduceat(weight, begin)
+        below = upto - weight - (upto - weight)[begin][row]
+        starts = np.arange(len(ids)) - begin[row] + below * ((1 << bits) - n)[row] // whole[row]
+        stop = np.append(starts[1:], 0)
+        stop[begin + n - 1] = 1 << bits
+        self.keys.append(((row + first) << 17) | ids)
+        self.starts.append(starts)
+        self.shares.append(stop - starts)
+        self.bits.append(bits)
+
+    def row(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The row behind two ids: their own, else that of the last, else order 0."""
+        row = self.row_1.take(last)
+        twos = (before.astype(np.uint32) << 16) | last.astype(np.uint32)
+        own = self.marks.take(_mark(twos)).nonzero()[0]
+        if len(own):
+            at = _places(self.pairs, twos[own])
+            row[own[at >= 0]] = at[at >= 0] + (len(self.states) - len(self.pairs))
+        return row
+
+    def following(self) -> np.ndarray:
+        """The state behind each entry; behind FRESH it means nothing."""
+        ids = np.minimum(self.keys & 0x1FFFF, WORD - 1)
+        return self.states[self.row(self.tails[self.rows], ids)]
+
+
+def _generations(steps: int, blocks: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the steps between which the model is learnt anew: from half as many ids again, then from twice as many."""
+    t = 0
+    while t < steps:
+        yield t, (t := min(steps, t + max(1, t // 2 if t * blocks < 1 << 17 else t)))
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The payload of ids below 2**32."""
     ids = np.asarray(ids).astype(np.int64)
-    blocks = -(-len(ids) // block)
     if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 2**32:
         raise ValueError("ids must be below 2**32")
-    parts = [ids[k * block : (k + 1) * block] for k in range(blocks)]
-    steps = min(block, len(ids))
-    wide = bool(len(ids)) and int(ids.max()) >= WORD
-    numbers, literals = np.zeros((steps, blocks), np.int64), np.zeros((steps, blocks), np.int64)
-    for k, p in enumerate(parts):
-        numbers[: len(p), k], literals[: len(p), k] = _first_seen(p), p
-    # The last block may be shorter: its lane runs on with zeros.
-    m = _Model(blocks, steps)
-    low, width = np.zeros(blocks, _U), np.full(blocks, 2**64 - 1, _U)
-    columns = 4 * steps + 8
-    flat = np.zeros(blocks * columns, np.uint16)
+    if len(ids) and int(ids.max()) >= WORD:
+        low = encode(ids & (WORD - 1), block)
+        return struct.pack(_HEAD, MAGIC, len(ids), len(low), True) + low + encode(ids >> 16, block)
+    blocks = -(-len(ids) // block)
+    head = struct.pack(_HEAD, MAGIC, len(ids), blocks, False)
+    if not blocks:
+        return head
+    steps = -(-len(ids) // blocks)
+    # The last block may be shorter: it runs on with ids of the first.
+    seen = np.zeros((steps + 2, blocks), np.uint16)
+    seen[2:] = np.resize(ids, blocks * steps).reshape(blocks, steps).T
+    low, width = np.zeros(blocks, _U), np.full(blocks, _FULL)
+    columns = 2 * steps + 4
+    flat = np.zeros(blocks * columns, np.uint32)
     used = np.arange(blocks) * columns
-    place = m.order.copy()
 
     def renew() -> None:
         go = (width < _BOTTOM).nonzero()[0]
-        while len(go):
-            x, w, at = low.take(go), width.take(go), used.take(go)
-            flat[at] = x >> _LEAD
+        if len(go):
+            x, at = low.take(go), used.take(go)
+            flat[at] = x >> _HALF
             used[go] = at + 1
-            x <<= _BITS
-            w <<= _BITS
-            low[go], width[go] = x, w
-            go = go[w < _BOTTOM]
-
-    def narrow(ends: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Take symbol k's share of the width; returns how far its lower end lies."""
-        at = m.base8 + k
-        begin = ends.take(at).astype(_U)
-        share = ends.take(at + 1).astype(_U) - begin
-        np.floor_divide(width, ends[7::8].astype(_U), out=width)
-        begin *= width
-        np.multiply(width, share, out=width)
-        return begin
-
-    def forward(gain: np.ndarray) -> None:
-        """Move the lower ends; a carry goes into what is written already."""
-        np.add(low, gain, out=low)
-        back = used.take((low < gain).nonzero()[0])
+            low[go] = x << _HALF
+            width[go] = width.take(go) << _HALF
+
+    def carry(over: np.ndarray) -> None:
+        """Lanes whose lower end went over: that goes into what is written already."""
+        back = used.take(over.nonzero()[0])
         while len(back):
             back -= 1
-            flat[back] += np.uint16(1)
+            flat[back] += np.uint32(1)
             back = back[flat.take(back) == 0]
 
-    for t in range(steps):
-        now = numbers[t]
-        own, n1 = m.base + now, now + 1
-        ends = m.predict()
-        count = m.counts.take(own)
-        symbol = m.symbol.take(count)
-        np.putmask(symbol, m.by1 == n1, 1)
-        np.putmask(symbol, m.by2 == n1, 0)
-        hi, lo = _HI.take(symbol), _LO.take(symbol)
-        gain = narrow(ends, hi)
-        gain += narrow(m.detail(hi), lo)
-        f = m.base_s + symbol
-        a, p = m.first.take(f), place.take(own)
-        offset = p - a
-        deep, fresh = symbol >= 2, symbol == 2
-        if wide:
-            width >>= np.where(fresh, _BITS, _U(0))
-            gain += np.where(fresh, literals[t] >> 16, 0).astype(_U) * width
-            forward(gain)
-            renew()
-            gain = _U(0)
-        np.putmask(offset, fresh, literals[t] & (WORD - 1))
-        offset *= deep
-        width //= m.sizes.take(f).view(_U)
-        gain += offset.view(_U) * width
-        forward(gain)
-        m.counts[own] = count + deep
-        up = (m.rises.take(count) & deep).nonzero()[0]
-        if len(up):
-            a, p, base, number = a.take(up), p.take(up), m.base.take(up), now.take(up)
-            other = m.rise(number, a, p, f.take(up), base)
-            place[base + other] = p
-            place[base + number] = a.astype(np.int32)
+    def narrow(own: np.ndarray, start: np.ndarray, share: np.ndarray, bits: np.ndarray) -> None:
+        """The same for some of the lanes only, after renewal."""
         renew()
-        m.update(n1, hi, lo)
-    for _ in range(4):
-        flat[used] = low >> _LEAD
+        r = width.take(own) >> bits
+        width[own] = r * share
+        r *= start
+        x = low.take(own) + r
+        low[own] = x
+        over = np.zeros(blocks, bool)
+        over[own] = x < r
+        carry(over)
+
+    for begin, end in _generations(steps, blocks):
+        m = _Model(seen[: begin + 2])
+        before, last, now = (seen[begin + k : end + k].reshape(-1) for k in range(3))
+        row = m.row(before, last)
+        at = _places(m.keys, (row << 17) | now)
+        missing = at < 0
+        at[missing] = m.fresh.take(row[missing])
+        entries, bits = m.entries.take(at).reshape(-1, blocks), m.bits.take(row).astype(_U).reshape(-1, blocks)
+        missing, from_0 = missing.reshape(-1, blocks), (row == 0).reshape(-1, blocks)
+        size_0 = _U(m.bits[0])
+        for t in range(end - begin):
+            e = entries[t]
+            np.right_shift(width, bits[t], out=width)
+            gain = e >> _START
+            gain *= width
+            np.multiply(width, (e >> _SHARE) & _SHARES, out=width)
+            np.add(low, gain, out=low)
+            over = low < gain
+            if over.any():
+                carry(over)
+            own = missing[t].nonzero()[0]
+            if len(own):
+                new = seen[begin + t + 2].take(own).astype(np.int64)
+                at_0 = np.minimum(np.searchsorted(m.keys[: m.fresh[0]], new), m.fresh[0])
+                at_0 = np.where(m.keys[at_0] == new, at_0, m.fresh[0])
+                once = ~from_0[t].take(own)
+                x = m.entries.take(at_0[once])
+                if len(x):
+                    narrow(own[once], x >> _START, (x >> _SHARE) & _SHARES, size_0)
+                new, own = new[at_0 == m.fresh[0]], own[at_0 == m.fresh[0]]
+                if len(own):
+                    narrow(own, new.view(_U), _U(1), _U(16))
+            renew()
+    for _ in range(2):
+        flat[used] = low >> _HALF
         used += 1
-        low <<= _BITS
+        low <<= _HALF
     size = (used - np.arange(blocks) * columns).tolist()
-    head = struct.pack(_HEAD, MAGIC, len(ids), block, blocks, wide)
-    sums = np.array([(2 * n, crc32(p.astype("<u4").tobytes())) for n, p in zip(size, parts)], "<u4")
+    sums = np.array([(n, crc32(ids[k * steps : (k + 1) * steps].astype("<u4").tobytes())) for k, n in enumerate(size)], "<u4")
     return head + sums.tobytes() + b"".join(flat[k * columns : k * columns + n].tobytes() for k, n in enumerate(size))
 
 
-@np.errstate(divide="ignore")
 def decode(payload: bytes) -> np.ndarray:
     """The ids of a payload; a block whose checksum is wrong raises ValueError."""
-    magic, total, block, blocks, wide = struct.unpack_from(_HEAD, payload)
+    magic, total, blocks, wide = struct.unpack_from(_HEAD, payload)
     if magic != MAGIC:
         raise ValueError("not a token payload")
-    sums = np.frombuffer(payload, "<u4", 2 * blocks, _HEAD_BYTES).reshape(blocks, 2)
+    if wide:
+        payload = payload[_HEAD_BYTES:]
+        return decode(payload[:blocks]) | (decode(payload[blocks:]) << np.uint32(16))
     if not blocks:
         return np.empty(0, np.uint32)
-    size = sums[:, 0].astype(np.int64) // 2
-    words = np.frombuffer(payload, np.uint16, int(size.sum()), _HEAD_BYTES + 8 * blocks)
-    words = np.concatenate([words, np.zeros(8, np.uint16)])
-    at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    steps = min(block, total)
-    m = _Model(blocks, steps)
+    sums = np.frombuffer(payload, "<u4", 2 * blocks, _HEAD_BYTES).reshape(blocks, 2)
+    size = sums[:, 0].astype(np.int64)
+    words = np.frombuffer(payload, np.uint32, int(size.sum()), _HEAD_BYTES + 8 * blocks).copy()  # aligned
+    at = np.cumsum(size) - size
+    steps = -(-total // blocks)
     # code is what the words hold above the lower end.
-    width, code = np.full(blocks, 2**64 - 1, _U), np.zeros(blocks, _U)
-    for _ in range(4):
-        code = (code << _BITS) | words[at].astype(_U)
-        at += 1
+    width, code = np.full(blocks, _FULL), (words.take(at).astype(_U) << _HALF) | words.take(at + 1, mode="clip")
+    at += 2
 
     def renew() -> None:
         go = (width < _BOTTOM).nonzero()[0]
-        while len(go):
-            here, w = at.take(go), width.take(go)
-            if not w.all():
-                raise ValueError("damaged payload")
-            w <<= _BITS
-            code[go] = (code.take(go) << _BITS) | words.take(here, mode="clip")
+        if len(go):
+            here = at.take(go)
+            code[go] = (code.take(go) << _HALF) | words.take(here, mode="clip")
             at[go] = here + 1
-            width[go] = w
-            go = go[w < _BOTTOM]
-
-    ones = _U(0x0101010101010101)
-
-    def find(ends: np.ndarray) -> np.ndarray:
-        """The symbol whose share holds the code."""
-        np.floor_divide(width, ends[7::8].astype(_U), out=width)
-        value = (code // width).astype(np.uint16)
-        k = (((ends.reshape(-1, 8) <= value[:, None]).view(_U)[:, 0] * ones) >> _U(56)).view(np.int64)
-        k -= 1
-        here = m.base8 + k
-        begin = ends.take(here).astype(_U)
-        share = ends.take(here + 1).astype(_U) - begin
-        np.subtract(code, begin * width, out=code)
-        np.multiply(width, share, out=width)
-        return k
-
-    seen = np.zeros(blocks * steps, np.uint32)
-    ids = np.zeros((steps, blocks), np.uint32)
-    for t in range(steps):
-        hi = find(m.predict())
-        lo = find(m.detail(hi))
-        symbol = hi * GROUP + lo
-        f = m.base_s + symbol
-        a = m.first.take(f)
-        deep, fresh = symbol >= 2, symbol == 2
-        new = fresh.nonzero()[0]
-        high = _U(0)
-        if wide:
-            width >>= np.where(fresh, _BITS, _U(0))
-            high = code // width * fresh
-            code -= high * width
-            high = high.take(new) << _BITS
+            width[go] = width.take(go) << _HALF
+
+    seen = np.zeros((steps + 2, blocks), np.uint16)
+    for begin, end in _generations(steps, blocks):
+        m = _Model(seen[: begin + 2])
+        slots, entries, following = m.slots, m.entries, m.following()
+        state = m.states.take(m.row(seen[begin], seen[begin + 1]))
+        size_0 = _U(m.bits[0])
+        for t in range(begin + 2, end + 2):
+            np.right_shift(width, state & _BITS, out=width)
+            slot = code // width
+            slot += state >> _SIZE
+            e = slots.take(slot.view(np.int64), mode="clip")  # a damaged payload may point anywhere; its checksum tells
+            x = entries.take(e)
+            code -= (x >> _START) * width
+            np.multiply(width, (x >> _SHARE) & _SHARES, out=width)
+            x &= _ID
+            own = (x == FRESH).nonzero()[0]
+            if len(own):
+                once = own[(state.take(own) >> _SIZE) != 0]
+                if len(once):
+                    renew()
+                    w, c = width.take(once) >> size_0, code.take(once)
+                    y = entries.take(slots.take((c // w).view(np.int64), mode="clip"))
+                    code[once], width[once] = c - (y >> _START) * w, w * ((y >> _SHARE) & _SHARES)
+                    x[once] = y & _ID
+                new = own[x.take(own) == FRESH]
+                if len(new):
+                    renew()
+                    w, c = width.take(new) >> _U(16), code.take(new)
+                    y = c // w
+                    code[new], width[new] = c - y * w, w
+                    x[new] = y
+            seen[t] = x
+            state = following.take(e)
+            if len(own):
+                state[own] = m.states.take(m.row(seen[t - 1].take(own), seen[t].take(own)))
             renew()
-        width //= m.sizes.take(f).view(_U)
-        k = code // width
-        code -= k * width
-        k = k.view(np.int64)
-        p = a + k
-        p[new] = a.take(new)
-        p *= deep
-        number = m.order.take(m.base + p, mode="clip")  # a damaged payload may point anywhere; its checksum tells
-        np.putmask(number, symbol == 0, m.by2 - 1)
-        np.putmask(number, symbol == 1, m.by1 - 1)
-        number = np.maximum(number, 0).astype(np.int64)
-        own = m.base + number
-        seen[own.take(new)] = k.view(_U).take(new) + high
-        ids[t] = seen.take(own)
-        count = m.counts.take(own)
-        m.counts[own] = count + deep
-        up = (m.rises.take(count) & deep).nonzero()[0]
-        if len(up):
-            m.rise(number.take(up), a.take(up), p.take(up), f.take(up), m.base.take(up))
-        renew()
-        m.update(number + 1, hi, lo)
-    out = np.ascontiguousarray(ids.T)
-    parts = [out[k, : min(block, total - k * block)] for k in range(blocks)]
-    for k, p in enumerate(parts):
-        if crc32(p.astype("<u4").tobytes()) != sums[k, 1]:
+    out = np.ascontiguousarray(seen[2:].T).reshape(-1)[:total].astype(np.uint32)
+    for k, n in enumerate(sums[:, 1].tolist()):
+        if crc32(out[k * steps : (k + 1) * steps].astype("<u4").tobytes()) != n:
             raise ValueError(f"block {k}: wrong checksum")
-    return np.concatenate(parts)
+    return out
 
 
 def _latin_pattern() -> str:
@@ -355,46 +378,65 @@ def _latin_pattern() -> str:
 
 #: Characters below U+0300 whose lower case isn't one character below U+0300.
 _GROWING = "".join(c for c in map(chr, range(0x300)) if len(c.lower()) > 1 or c.lower() >= "\u0300")
-#: Text that only the library itself handles: those, marks and scripts from U+0300 on, and what may be a special token.
-_OTHER = re.compile(f"[{_GROWING}\u0300-\U0010ffff]|<\\|")
+#: Pieces with one of those, marks or scripts from U+0300 on only the library itself handles, and what may be a special token.
+_OTHER = re.compile(f"[{_GROWING}\u0300-\U0010ffff]")
 
 
 class _Words(dict):
-    """Word -> bytes of its ids by the library's model, remembered up to a bound."""
+    """Word -> bytes of its ids by the library's model. When full, it begins anew and takes from the words before what is asked for again."""
 
     def __init__(self, model, most: int) -> None:
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.tokens, self.most = model.tokenize, most
+        self.tokens, self.most, self.before = model.tokenize, most, {}
         self.spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.most:
+            self.before = dict(self)
             self.clear()
-        ids = [t.id for t in self.tokens(word if word.isascii() and word.isprintable() else self.spelled(word)[0][0])]
-        self[word] = found = struct.pack(f"={len(ids)}H", *ids)
+        found = self.before.get(word)
+        if found is None:
+            ids = [t.id for t in self.tokens(word if word.isascii() and word.isprintable() else self.spelled(word)[0][0])]
+            found = struct.pack(f"={len(ids)}H", *ids)
+        self[word] = found
         return found
 
 
 class WordEncoder:
     """Ids of whole texts as tokenizers gives them for word_bpe_49k.json without added special tokens.
 
-    Ids of a word don't depend on its neighbours, so the library's model is asked once for each word. Splitting at words
-    is done here for texts below U+0300, where the library's normal form is lower case alone; other texts go to it whole.
+    No word, special token or composed character reaches over ASCII white space, so texts are split there and each
+    distinct piece of a batch is encoded once; Arrow splits, numbers the pieces and puts their ids in place. Ids of a word
+    don't depend on its neighbours either, so the library's model is asked once for each word. Splitting a piece into
+    words is done here below U+0300, where the library's normal form is lower case alone; other pieces go to it whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.words = re.compile(_latin_pattern())
         self.known = _Words(self.library.model, most)
 
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii() and _OTHER.search(piece) or "<|" in piece:
+            return np.array(self.library.encode(piece, add_special_tokens=False).ids, np.uint16).tobytes()
+        return b"".join(map(self.known.__getitem__, self.words.findall(piece.lower())))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind the other, and how many each text has."""
+        pieces = pc.ascii_split_whitespace(texts)
+        coded = pieces.flatten().dictionary_encode()
+        known = self.known.get  # a word that is known is a piece of one word
+        found = [self._piece(p) if (ids := known(p)) is None else ids for p in coded.dictionary.to_numpy(zero_copy_only=False)]
+        ends = np.cumsum(np.fromiter(chain([0], map(len, found)), np.int32, len(found) + 1), dtype=np.int32) >> 1
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.uint16))).take(coded.indices)
+        return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy().take(pieces.offsets.to_numpy()))
+
     def __call__(self, text: str) -> np.ndarray:
-        if _OTHER.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.words.findall(text.lower()))), np.uint16)
+        return self.batch(pa.array([text], pa.string()))[0]
 
 
 @lru_cache(1)
@@ -403,6 +445,15 @@ def _word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The columns of a batch in runs of rows with some 16 MB of text, or of one row."""
+    at = pc.cumulative_sum(pc.binary_length(batch.column(1)).cast(pa.int64())).to_numpy() >> 24
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+    for begin, end in zip(cuts, cuts[1:]):
+        if end > begin:
+            yield batch.column(0)[begin:end], batch.column(1)[begin:end]
+
+
 _SEGMENTS = "shard int, segment int, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
 
 
@@ -420,15 +471,18 @@ def _segments(path: str, end_id: int, block: int, segment: int):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((shard, number, docs, [len(p) for p in parts], len(ids), encode(ids, block)), schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = np.append(words(text.as_py()), np.uint16(end_id))
-                if parts and size + len(ids) > segment:
-                    yield row()
-                    number, size = number + 1, 0
-                    docs, parts = [], []
-                docs.append(doc_id.as_py())
-                parts.append(ids)
-                size += len(ids)
+            for doc_ids, texts in _slices(batch):
+                ids, lengths = words.batch(texts)
+                ends = np.cumsum(lengths)
+                ids = np.insert(ids, ends, np.uint16(end_id))
+                for doc_id, own in zip(doc_ids.to_pylist(), np.split(ids, ends[:-1] + np.arange(1, len(ends)))):
+                    if parts and size + len(own) > segment:
+                        yield row()
+                        number, size = number + 1, 0
+                        docs, parts = [], []
+                    docs.append(doc_id)
+                    parts.append(own)
+                    size += len(own)
         if parts:
             yield row()
 
