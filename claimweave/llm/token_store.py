@@ -42,8 +42,8 @@ BLOCK = 2048
 SEGMENT = 1 << 22
 #: An id of one stream has 16 bits; FRESH stands for an id that a row doesn't list.
 WORD = FRESH = 1 << 16
-#: Occurrences from which two ids are a context of their own, and the most ids listed behind one and behind two.
-OFTEN, LISTED = 256, (1 << 19, 1 << 18)
+#: Two ids are a context of their own from so many occurrences, and one more for each 2**12 ids; the most ids listed behind one and behind two.
+OFTEN, LISTED = 16, (1 << 19, 1 << 18)
 _U = np.uint64
 _HEAD = "<4sIIB"
 _HEAD_BYTES = struct.calcsize(_HEAD)
@@ -82,10 +82,14 @@ def _places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _mark(twos: np.ndarray) -> np.ndarray:
-    """20 bits of a hash of two ids, by which most that have no row are told at once."""
+    """20 bits of a hash of two ids."""
     return (twos * np.uint32(0x9E3779B1)) >> np.uint32(12)
 
 
+def _hashed(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.view(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).view(np.int64)
+
+
 class _Model:
     """Rows of what follows a context, from ids that coder and decoder both know: seen has two lines before the first step, a column a block.
 
@@ -97,40 +101,42 @@ class _Model:
     def __init__(self, seen: np.ndarray) -> None:
         before, last, now = (seen[k : len(seen) - 2 + k].reshape(-1) for k in range(3))
         self.keys, self.starts, self.shares, self.bits, self.ends = [], [], [], [], []
-        counts = np.bincount(now, minlength=1)
+        pairs, of_pairs = _runs((last.astype(np.uint32) << 16) | now) if len(now) else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        counts = np.bincount(pairs & 0xFFFF, of_pairs, 1).astype(np.int64)
         ids = np.flatnonzero(counts)
         self._add(np.zeros(len(ids), np.int64), ids, counts[ids], np.ones(len(ids), np.int64), 0, len(now), np.array([len(now)]))
         ids_0 = np.zeros(WORD, np.int64)
         ids_0[ids] = self._share_of(0, np.arange(len(ids)))
         self.row_1 = np.zeros(WORD, np.int64)
-        self.pairs, self.marks, tails = np.empty(0, np.uint32), np.zeros(1 << 20, bool), [np.array([WORD])]
+        self.pairs, tails = np.empty(0, np.uint32), [np.array([0])]
         if len(now):
-            pairs, counts = _runs((last.astype(np.uint32) << 16) | now)
+            counts = of_pairs
             heads, row, total = self._kept_rows(pairs >> 16, counts)
             self.row_1[heads] = np.arange(1, len(heads) + 1)
-            self.pairs = pairs[counts >= OFTEN]
+            self.pairs = pairs[counts >= OFTEN + (len(now) >> 12)]
+            self.index = self._index()
             tails.append(heads.astype(np.int64))
             kept = self._most(counts, LISTED[0])
             ids = (pairs[kept] & 0xFFFF).astype(np.int64)
             self._add(row[kept], ids, counts[kept], ids_0[ids], 1, len(now), total)
-        if len(self.pairs):
-            twos = (before.astype(np.uint32) << 16) | last
-            self.marks[_mark(self.pairs)] = True
-            own = self.marks.take(_mark(twos)).nonzero()[0]
-            threes, counts = _runs((twos[own].astype(_U) << _U(16)) | now[own])
-            at = np.minimum(np.searchsorted(self.pairs, (threes >> _U(16)).astype(np.uint32)), len(self.pairs) - 1)
-            own = self.pairs[at] == (threes >> _U(16))
-            threes, counts = threes[own], counts[own]
-            self.pairs, row, total = self._kept_rows((threes >> _U(16)).astype(np.uint32), counts)
+        twos = (before.astype(np.uint32) << 16) | last
+        at, own = self._paired(twos)
+        own = own.nonzero()[0]
+        if len(own):
+            threes, counts = _runs((at[own].astype(_U) << _U(16)) | now[own])
+            heads, row, total = self._kept_rows((threes >> _U(16)).view(np.int64), counts)
+            self.pairs = self.pairs[heads]
             tails.append((self.pairs & 0xFFFF).astype(np.int64))
             kept = self._most(counts, LISTED[1])
-            threes = threes[kept]
-            ids = (threes & _U(0xFFFF)).astype(np.int64)
-            key = (self.row_1[((threes >> _U(16)) & _U(0xFFFF)).view(np.int64)] << 17) | ids
+            ids = (threes[kept] & _U(0xFFFF)).astype(np.int64)
+            key = (self.row_1[tails[-1]][row[kept]] << 17) | ids
             at = np.minimum(np.searchsorted(self.keys[1], key), len(self.keys[1]) - 1)
             self._add(row[kept], ids, counts[kept], np.where(self.keys[1][at] == key, self._share_of(1, at), 0), len(self.row_1.nonzero()[0]) + 1, len(now), total)
+        else:
+            self.pairs = self.pairs[:0]
+        self.index = self._index()
         keys, starts, shares, bits = (np.concatenate(x) for x in (self.keys, self.starts, self.shares, self.bits))
-        self.keys, self.bits = keys, bits
+        self.keys, self.bits = keys, bits.astype(_U)
         rows = keys >> 17
         self.fresh = np.flatnonzero((keys & 0x1FFFF) == FRESH)
         slot = np.cumsum(1 << bits) - (1 << bits)
@@ -139,6 +145,19 @@ class _Model:
         self.slots = np.repeat(np.arange(len(keys), dtype=np.int32), shares)
         self.tails, self.rows = np.concatenate(tails), rows
 
+    def _index(self) -> np.ndarray:
+        """By a hash of two ids, where they stand among the pairs; of pairs that share a hash one alone has a row."""
+        index = np.zeros(1 << 20, np.int32)
+        index[_mark(self.pairs)] = np.arange(len(self.pairs), dtype=np.int32)
+        return index
+
+    def _paired(self, twos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each two ids stand among the pairs, and whether they do."""
+        if not len(self.pairs):
+            return np.zeros(len(twos), np.int32), np.zeros(len(twos), bool)
+        at = self.index.take(_mark(twos))
+        return at, self.pairs.take(at) == twos
+
     @staticmethod
     def _kept_rows(heads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts, ascending; each entry's context among them; occurrences of each."""
@@ -180,27 +199,44 @@ class _Model:
         self.shares.append(stop - starts)
         self.bits.append(bits)
 
+    def place(self, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The entry of each id in its row; -1: not listed. Most are found by a hash of both, those that share theirs by sorting."""
+        bits = max(12, len(self.keys).bit_length() + 1)
+        index = np.zeros(1 << bits, np.int32)
+        index[_hashed(self.keys, bits)] = np.arange(len(self.keys), dtype=np.int32)
+        out = np.empty(len(ids), np.int32)
+        for k in range(0, len(ids), 1 << 18):
+            keys = (row[k : k + (1 << 18)] << 17) | ids[k : k + (1 << 18)]
+            at = index.take(_hashed(keys, bits))
+            own = (self.keys.take(at) != keys).nonzero()[0]
+            at[own] = _places(self.keys, keys[own])
+            out[k : k + (1 << 18)] = at
+        return out
+
     def row(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The row behind two ids: their own, else that of the last, else order 0."""
         row = self.row_1.take(last)
-        twos = (before.astype(np.uint32) << 16) | last.astype(np.uint32)
-        own = self.marks.take(_mark(twos)).nonzero()[0]
-        if len(own):
-            at = _places(self.pairs, twos[own])
-            row[own[at >= 0]] = at[at >= 0] + (len(self.states) - len(self.pairs))
+        if len(self.pairs):
+            at, own = self._paired((before.astype(np.uint32) << 16) | last.astype(np.uint32))
+            row = np.where(own, at + (len(self.states) - len(self.pairs)), row)
         return row
 
     def following(self) -> np.ndarray:
         """The state behind each entry; behind FRESH it means nothing."""
         ids = np.minimum(self.keys & 0x1FFFF, WORD - 1)
-        return self.states[self.row(self.tails[self.rows], ids)]
+        row = self.row(self.tails[self.rows], ids)
+        # Where order 0 is the state, the last id has no row, and none of the pairs begins with it.
+        own = slice(self.fresh[0] + 1)
+        row[own] = self.row_1[ids[own]]
+        return self.states[row]
 
 
 def _generations(steps: int, blocks: int) -> Iterator[tuple[int, int]]:
-    """(begin, end) of the steps between which the model is learnt anew: from half as many ids again, then from twice as many."""
-    t = 0
-    while t < steps:
-        yield t, (t := min(steps, t + max(1, t // 2 if t * blocks < 1 << 17 else t)))
+    """(begin, end) of the steps between which the model is learnt anew."""
+    ends = [steps]
+    while ends[-1]:
+        ends.append(ends[-1] // 4 if ends[-1] * blocks > 1 << 18 else ends[-1] * 2 // 3)
+    return zip(ends[:0:-1], ends[-2::-1])
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -224,8 +260,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     flat = np.zeros(blocks * columns, np.uint32)
     used = np.arange(blocks) * columns
 
-    def renew() -> None:
-        go = (width < _BOTTOM).nonzero()[0]
+    def renew(go: np.ndarray) -> None:
         if len(go):
             x, at = low.take(go), used.take(go)
             flat[at] = x >> _HALF
@@ -234,35 +269,34 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
             width[go] = width.take(go) << _HALF
 
     def carry(over: np.ndarray) -> None:
-        """Lanes whose lower end went over: that goes into what is written already."""
-        back = used.take(over.nonzero()[0])
+        """The lower ends of these lanes went over: that goes into what is written already."""
+        back = used.take(over)
         while len(back):
             back -= 1
             flat[back] += np.uint32(1)
             back = back[flat.take(back) == 0]
 
     def narrow(own: np.ndarray, start: np.ndarray, share: np.ndarray, bits: np.ndarray) -> None:
-        """The same for some of the lanes only, after renewal."""
-        renew()
+        """Narrow the range of some of the lanes, renewed before."""
+        renew(own[width.take(own) < _BOTTOM])
         r = width.take(own) >> bits
         width[own] = r * share
         r *= start
         x = low.take(own) + r
         low[own] = x
-        over = np.zeros(blocks, bool)
-        over[own] = x < r
-        carry(over)
+        carry(own[x < r])
 
     for begin, end in _generations(steps, blocks):
         m = _Model(seen[: begin + 2])
         before, last, now = (seen[begin + k : end + k].reshape(-1) for k in range(3))
         row = m.row(before, last)
-        at = _places(m.keys, (row << 17) | now)
+        at = m.place(row, now)
         missing = at < 0
         at[missing] = m.fresh.take(row[missing])
-        entries, bits = m.entries.take(at).reshape(-1, blocks), m.bits.take(row).astype(_U).reshape(-1, blocks)
+        entries, bits = m.entries.take(at).reshape(-1, blocks), m.bits.take(row).reshape(-1, blocks)
         missing, from_0 = missing.reshape(-1, blocks), (row == 0).reshape(-1, blocks)
-        size_0 = _U(m.bits[0])
+        size_0, place_0 = m.bits[0], np.full(WORD, m.fresh[0])
+        place_0[m.keys[: m.fresh[0]]] = np.arange(m.fresh[0])
         for t in range(end - begin):
             e = entries[t]
             np.right_shift(width, bits[t], out=width)
@@ -270,14 +304,13 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
             gain *= width
             np.multiply(width, (e >> _SHARE) & _SHARES, out=width)
             np.add(low, gain, out=low)
-            over = low < gain
-            if over.any():
+            over = (low < gain).nonzero()[0]
+            if len(over):
                 carry(over)
             own = missing[t].nonzero()[0]
             if len(own):
                 new = seen[begin + t + 2].take(own).astype(np.int64)
-                at_0 = np.minimum(np.searchsorted(m.keys[: m.fresh[0]], new), m.fresh[0])
-                at_0 = np.where(m.keys[at_0] == new, at_0, m.fresh[0])
+                at_0 = place_0.take(new)
                 once = ~from_0[t].take(own)
                 x = m.entries.take(at_0[once])
                 if len(x):
@@ -285,7 +318,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
                 new, own = new[at_0 == m.fresh[0]], own[at_0 == m.fresh[0]]
                 if len(own):
                     narrow(own, new.view(_U), _U(1), _U(16))
-            renew()
+            renew((width < _BOTTOM).nonzero()[0])
     for _ in range(2):
         flat[used] = low >> _HALF
         used += 1
@@ -314,8 +347,7 @@ def decode(payload: bytes) -> np.ndarray:
     width, code = np.full(blocks, _FULL), (words.take(at).astype(_U) << _HALF) | words.take(at + 1, mode="clip")
     at += 2
 
-    def renew() -> None:
-        go = (width < _BOTTOM).nonzero()[0]
+    def renew(go: np.ndarray) -> None:
         if len(go):
             here = at.take(go)
             code[go] = (code.take(go) << _HALF) | words.take(here, mode="clip")
@@ -327,7 +359,7 @@ def decode(payload: bytes) -> np.ndarray:
         m = _Model(seen[: begin + 2])
         slots, entries, following = m.slots, m.entries, m.following()
         state = m.states.take(m.row(seen[begin], seen[begin + 1]))
-        size_0 = _U(m.bits[0])
+        size_0 = m.bits[0]
         for t in range(begin + 2, end + 2):
             np.right_shift(width, state & _BITS, out=width)
             slot = code // width
@@ -341,14 +373,14 @@ def decode(payload: bytes) -> np.ndarray:
             if len(own):
                 once = own[(state.take(own) >> _SIZE) != 0]
                 if len(once):
-                    renew()
+                    renew(once[width.take(once) < _BOTTOM])
                     w, c = width.take(once) >> size_0, code.take(once)
                     y = entries.take(slots.take((c // w).view(np.int64), mode="clip"))
                     code[once], width[once] = c - (y >> _START) * w, w * ((y >> _SHARE) & _SHARES)
                     x[once] = y & _ID
                 new = own[x.take(own) == FRESH]
                 if len(new):
-                    renew()
+                    renew(new[width.take(new) < _BOTTOM])
                     w, c = width.take(new) >> _U(16), code.take(new)
                     y = c // w
                     code[new], width[new] = c - y * w, w
@@ -357,7 +389,7 @@ def decode(payload: bytes) -> np.ndarray:
             state = following.take(e)
             if len(own):
                 state[own] = m.states.take(m.row(seen[t - 1].take(own), seen[t].take(own)))
-            renew()
+            renew((width < _BOTTOM).nonzero()[0])
     out = np.ascontiguousarray(seen[2:].T).reshape(-1)[:total].astype(np.uint32)
     for k, n in enumerate(sums[:, 1].tolist()):
         if crc32(out[k * steps : (k + 1) * steps].astype("<u4").tobytes()) != n:

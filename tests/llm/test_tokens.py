@@ -146,6 +146,57 @@ def test_coder_beats_plain_frequencies(sample):
     assert len(S.encode(ids)) * 8 / len(ids) < -(share * np.log2(share)).sum() + 0.1  # without the cost of a table
 
 
+def test_blocks_learn_from_each_other():
+    rng = np.random.default_rng(7)
+    after, ids = rng.integers(0, 65_536, (600, 2)), [0]
+    number = {int(v): k for k, v in enumerate(np.unique(after))}
+    for k in rng.integers(0, 2, 80_000):
+        ids.append(int(after[number.get(ids[-1], 0) % 600, k]))
+    payload = S.encode(np.array(ids))
+    assert S.decode(payload).tolist() == ids
+    assert len(payload) * 8 < 2.2 * len(ids)  # one bit of choice an id
+
+
+def test_contexts_of_two_ids():
+    rng = np.random.default_rng(8)
+    ids = [1, 2]
+    for k in rng.random(60_000):
+        ids.append((ids[-1] * 7 + ids[-2] * 3 + 1) % 11 if k < 0.95 else int(k * 1e6) % 11)
+    payload = S.encode(np.array(ids))
+    assert S.decode(payload).tolist() == ids
+    assert len(payload) * 8 < 1.2 * len(ids)
+
+
+def test_many_blocks_that_begin_alike():
+    rng = np.random.default_rng(9)
+    for ids in (rng.integers(0, 3, (600, 40)), rng.zipf(1.5, (3000, 100)) % 3000):
+        ids[:, 0] = 5
+        for zero in (5, 0):
+            own = np.where(ids == 5, zero, ids).reshape(-1)
+            assert (S.decode(S.encode(own, ids.shape[1])) == own).all()
+
+
+def test_pieces_are_encoded_once_a_batch():
+    import pyarrow as pa
+
+    words = S.WordEncoder(path("word_bpe_49k.json"), most=50)
+    library, asked = words.library, []
+
+    class Asked:
+        def encode(self, text, **more):
+            asked.append(text)
+            return library.encode(text, **more)
+
+    rng = random.Random(9)
+    texts = ["\u201ca\u201d b, \u201ca\u201d c.", "", " "] * 40
+    texts += ["".join(rng.choices(["a", "H", "\u0331", "\u0301", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", "\u2003", "\u1112", "\u1161", "'s", "<|endoftext|>", "<|", ".", "7", "\u0130"], k=12)) for _ in range(800)]
+    words.library = Asked()
+    ids, lengths = words.batch(pa.array(texts))
+    assert len(asked) == len(set(asked)) and asked.count("\u201ca\u201d") == 1
+    for text, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+        assert own.tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_words_agree_with_the_library():
     words = S.WordEncoder(path("word_bpe_49k.json"))
     more = ["É\x1c a b\x85c 's don't DON'T ½² ª", "Σας", "ŉ ß ǅ ĳ", "a´b", "x" * 3000]
