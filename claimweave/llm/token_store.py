@@ -453,6 +453,8 @@ class WordEncoder:
         self.known = _Words(self.library.model, most)
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[:-1].isalpha():  # a word, or one with a mark or digit behind it
+            return self.known[piece.lower()] if piece.isalpha() else self.known[piece[:-1].lower()] + self.known[piece[-1]]
         if not piece.isascii() and _OTHER.search(piece) or "<|" in piece:
             return np.array(self.library.encode(piece, add_special_tokens=False).ids, np.uint16).tobytes()
         return b"".join(map(self.known.__getitem__, self.words.findall(piece.lower())))
