@@ -88,12 +88,12 @@ def trimmed(quote: Column | str) -> Column:
 
 
 #: Characters whose upper case has another lower case than they have, with that one: both count as the same letter.
-_TWINS = {c: c.upper().lower() for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) == 1 and len(c.upper().lower()) == 1 and c.upper().lower() != c.lower()}
+TWINS = {c: c.upper().lower() for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) == 1 and len(c.upper().lower()) == 1 and c.upper().lower() != c.lower()}
 
 
 def _caseless(text: Column) -> Column:
     """text in lower case, with as many characters as before."""
-    return F.translate(F.lower(F.translate(text, "\u0130", "i")), "".join(_TWINS), "".join(_TWINS.values()))
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), "".join(TWINS), "".join(TWINS.values()))
 
 
 def near(page: Column, quote: Column) -> Column:
@@ -135,7 +135,7 @@ def widen_to_lines(page: Column, start: Column, end: Column) -> Column:
 
 
 def has_identifying_context(span: Column) -> Column:
-    return F.exists(F.regexp_extract_all(F.lower(span), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(NOT_IDENTIFYING))
+    return F.lower(span).rlike(f"(?<![a-z])(?!(?:{'|'.join(NOT_IDENTIFYING)})(?![a-z]))[a-z]{{3,}}")
 
 
 def value_appears(kind: Column, raw: Column, quote: Column) -> Column:
@@ -148,7 +148,8 @@ def value_appears(kind: Column, raw: Column, quote: Column) -> Column:
         share = F.size(F.filter(mine, lambda w: F.array_contains(theirs, w))) / F.size(mine)
         return (want != "") & (have.contains(want) | (share >= 0.8))
 
-    text = let(normalize_text(raw), lambda want: let(normalize_text(quote), lambda have: words(want, have)))
+    # An ASCII letter or digit stays in a normal form.
+    text = F.when(raw == quote, raw.rlike("[A-Za-z0-9]") | (normalize_text(raw) != "")).otherwise(let(normalize_text(raw), lambda want: let(normalize_text(quote), lambda have: words(want, have))))
     return F.coalesce(F.when(kind == "number", number).otherwise(text), F.lit(False))
 
 
@@ -164,18 +165,23 @@ def page_not_found() -> Column:
     return _status("page_not_found")
 
 
-def judged(page: Column, hit: Column, quote: Column, kind: Column, raw: Column) -> Column:
-    """The status of a claim whose quote was looked for in page and found at hit, or nowhere."""
+def quote_not_found() -> Column:
+    return _status("quote_not_found")
+
 
-    def lined(line: Column) -> Column:
-        span = F.substr(page, line["start"] + 1, line["end"] - line["start"])
-        return (
-            F.when(~has_identifying_context(span), _status("quote_lacks_context", hit["method"], hit))
-            .when(~value_appears(kind, raw, quote), _status("value_not_in_quote", hit["method"], line))
-            .otherwise(_status("grounded", hit["method"], line))
-        )
+def judged_lines(lines: Column, place: Column, hit: Column, quote: Column, kind: Column, raw: Column) -> Column:
+    """The status of a claim whose quote was found at hit, within lines at place."""
+    return (
+        F.when(~has_identifying_context(lines), _status("quote_lacks_context", hit["method"], hit))
+        .when(~value_appears(kind, raw, quote), _status("value_not_in_quote", hit["method"], place))
+        .otherwise(_status("grounded", hit["method"], place))
+    )
 
-    return F.when(hit.isNull(), _status("quote_not_found")).otherwise(let(widen_to_lines(page, hit["start"], hit["end"]), lined))
+
+def judged(page: Column, hit: Column, quote: Column, kind: Column, raw: Column) -> Column:
+    """The status of a claim whose quote was looked for in page and found at hit, or nowhere."""
+    lined = lambda line: judged_lines(F.substr(page, line["start"] + 1, line["end"] - line["start"]), line, hit, quote, kind, raw)
+    return F.when(hit.isNull(), quote_not_found()).otherwise(let(widen_to_lines(page, hit["start"], hit["end"]), lined))
 
 
 def ground(page: Column | str, quote: Column | str, kind: Column | str, raw: Column | str) -> Column:

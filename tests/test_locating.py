@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from claimweave.functions.columns import SPACE
 from claimweave.operators.grounding import ground_claims, locate
-from claimweave.operators.locating import ground_by_index
+from claimweave.operators.locating import _WHITE, TOGETHER, ground_by_index, hits
 
 CLAIM = "document_id string, page_number int, quote string, value_kind string, value_raw string, note string"
 PAGES = "document_id string, page_number int, text string"
@@ -66,3 +69,32 @@ def test_letters_of_other_cases(spark):
     rows = spark.createDataFrame(claims, CLAIM).join(spark.createDataFrame(pages, PAGES), ["document_id", "page_number"])
     found = {r.page_number: (r.l.method, r.text[r.l.start : r.l.end]) for r in rows.select("page_number", "text", locate("text", "quote").alias("l")).collect()}
     assert found == {1: ("caseless", "alpha İx ΟΔΟΣ  x Straße ſome"), 2: ("caseless", "one ΟΔΟΣ  two")}
+
+
+def test_a_page_is_taken_to_its_claims_once(spark):
+    """Not once for each claim; claims beyond TOGETHER share it with so many others each."""
+    pages = [("a", 1, "one two three\nfour five"), ("b", 1, "six  seven eight\n\nnine")]
+    claims = [("a", 1, f"four five {k % 3}" if k % 2 else "two  THREE", "text", "four", str(k)) for k in range(2 * TOGETHER)] + [("b", 1, "SEVEN eight nine", "text", "eight", "x")]
+    found = both(spark, claims, pages)
+    assert sum(g.method == "caseless" for g in found) == TOGETHER + 1
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    texts = spark.createDataFrame(pages, PAGES).withColumn("text", F.udf(counted, "string")("text"))
+    joined = spark.createDataFrame(claims, CLAIM).coalesce(1).groupBy("document_id").agg(F.collect_list(F.struct("quote")).alias("claims")).join(texts, "document_id")
+    rows = hits(joined, "text", "claims").collect()
+    assert read.value == 2 and sorted(len(r.hits) for r in rows) == [1, 2 * TOGETHER]
+
+
+def test_hits_of_nulls_and_lines_around_them(spark):
+    rows = spark.createDataFrame([(1, "\nalpha\n beta\n", ["alpha", None, "  be ", "ALPHA  BETA", "x"]), (2, None, ["alpha"]), (3, "alpha", None)], "id int, text string, quotes array<string>").select("id", "text", F.transform("quotes", lambda q: F.struct(q.alias("quote"))).alias("claims"))
+    got = {r.id: [h and (h.method, h.start, h.end, h.first, h.last, h.lines) for h in r.hits] for r in hits(rows, "text", "claims").collect()}
+    assert got == {1: [("exact", 1, 6, 1, 6, "alpha"), None, None, ("caseless", 1, 12, 1, 12, "alpha\n beta"), None], 2: [None], 3: []}
+
+
+def test_white_space_and_letters_are_those_of_the_expressions(spark):
+    white = spark.range(1).select(F.regexp_replace(F.lit("".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x10000)]))), SPACE, "").alias("c")).first().c
+    assert set(_WHITE) == {chr(k) for k in [*range(1, 0xD800), *range(0xE000, 0x10000)]} - set(white)
