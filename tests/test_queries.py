@@ -71,6 +71,11 @@ def test_every_document_is_grounded(spark):
     assert sum(r.kept for r in rates) == sum(r.rejected for r in rates) == len(rows)
 
 
+def test_quotes_of_the_quarantine_are_located_once(spark):
+    """Kept and rejected quotes come from one table of what was located, not each from the documents again."""
+    assert not [f for f in core.QUERIES["quarantine_rate"](spark, SF).inputFiles() if "documents.parquet" in f]
+
+
 def test_units_lie_in_their_pages(spark):
     pages = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for u in core.QUERIES["segment_units"](spark, SF).collect():
