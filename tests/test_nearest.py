@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from claimweave.functions.vectors import cosine
 from claimweave.operators import nearest, registry
+from claimweave.plans import reads  # noqa: F401 - registers its queries
+from claimweave.plans import queries as core
 
 SCHEMA = "namespace string, normal long, embedding array<float>"
 
@@ -54,3 +56,10 @@ def test_a_task_returns_its_best_alone(spark):
     e = spark.createDataFrame([("x", k, [1.0, k / 100]) for k in range(600)], SCHEMA).repartition(2)
     found = nearest.nearest(nearest.Vectors(*e.filter("normal < 10").toArrow().combine_chunks().to_batches()[0].columns), e.toArrow().to_batches(), None, 3)
     assert len(found[0]) == 30
+
+
+@pytest.mark.parametrize("name", ["adjudicated_labels"])
+def test_queries_score_no_pairs_by_expressions(spark, name):
+    """Tasks find their best by matrices; no row is made for each pair of a label and an entry."""
+    plan = core.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "__other" not in plan
