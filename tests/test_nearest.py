@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from claimweave.functions.vectors import cosine
 from claimweave.operators import nearest, registry
-from claimweave.plans import reads  # noqa: F401 - registers its queries
+from claimweave.plans import cases, reads  # noqa: F401 - register their queries
 from claimweave.plans import queries as core
 
 SCHEMA = "namespace string, normal long, embedding array<float>"
@@ -58,7 +58,7 @@ def test_a_task_returns_its_best_alone(spark):
     assert len(found[0]) == 30
 
 
-@pytest.mark.parametrize("name", ["adjudicated_labels"])
+@pytest.mark.parametrize("name", ["adjudicated_labels", "shortlist_cut"])
 def test_queries_score_no_pairs_by_expressions(spark, name):
     """Tasks find their best by matrices; no row is made for each pair of a label and an entry."""
     plan = core.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
