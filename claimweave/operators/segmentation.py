@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,35 +159,64 @@ def render_prompt(title: Column | str, page: Column | str, headings: Column | st
     )
 
 
+#: Items of a page.
+ITEM = ["str", "x", "y", "width", "height", "page_height"]
+#: Pages that are laid out at a time.
+PAGES = 256
+
+
 def layout_pages(items: DataFrame, tolerance: float = 3.0, widest_gap: int = 12) -> DataFrame:
     """Text and spans of pages from positioned items (document_id, page, str, x, y, width, height, page_height).
 
     Items whose heights differ by at most tolerance from a line's first item share the line; gaps become spaces.
     """
+    item = F.struct("str", *[F.col(c).cast("double").alias(c) for c in ITEM[1:]])
+    return layout_items(items.groupBy("document_id", "page").agg(F.collect_list(item).alias("items")), tolerance, widest_gap)
+
 
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        page = page[page["str"].str.len() > 0].sort_values(["y", "x"], ascending=[False, True], kind="stable")
-        lines: list[list] = []
-        for item in page.itertuples():
-            if lines and abs(lines[-1][0].y - item.y) <= tolerance:
-                lines[-1].append(item)
+def layout_items(pages: DataFrame, tolerance: float = 3.0, widest_gap: int = 12) -> DataFrame:
+    """layout_pages of pages (document_id, page, items) whose items are an array of structs."""
+    kinds = dict(pages.dtypes)
+    span = pa.struct([("s", pa.int32()), ("e", pa.int32()), *[(c, pa.float64()) for c in "xywh"]])
+    padding = pa.array([" " * k for k in range(widest_gap + 1)])
+
+    def laid(batch: pa.RecordBatch) -> pa.RecordBatch:
+        told = batch.column("items")
+        items = told.flatten()
+        sizes = np.asarray(pc.fill_null(pc.utf8_length(items.field("str")), 0))
+        page = np.repeat(np.arange(len(told)), np.asarray(pc.fill_null(pc.list_value_length(told), 0)))
+        x, y, width, height, top = (np.asarray(pc.fill_null(items.field(c), np.nan)) for c in ITEM[1:])
+        order = np.lexsort((x, -y, page))
+        order = order[sizes[order] > 0]
+        # Where the height changes, an item may begin a line: it does if it is too far from the line's first.
+        p, level = page[order], y[order]
+        begins = np.r_[True, (p[1:] != p[:-1]) | (level[1:] != level[:-1])][: len(order)]
+        own, first = -1, 0.0
+        for k in np.flatnonzero(begins):
+            if p[k] == own and abs(first - level[k]) <= tolerance:
+                begins[k] = False
             else:
-                lines.append([item])
-        text, spans = "", []
-        for line in lines:
-            right = None
-            for item in sorted(line, key=lambda i: i.x):
-                if right is not None and item.width > 0:
-                    text += " " * min(max(int((item.x - right) / (item.width / len(item.str)) + 0.5), 0), widest_gap)
-                height = abs(item.height) or 10.0
-                spans.append({"s": len(text), "e": len(text) + len(item.str), "x": item.x, "y": item.page_height - item.y - height, "w": item.width, "h": height})
-                text += item.str
-                right = item.x + item.width
-            text += "\n"
-        return pd.DataFrame([{"text": text, "spans": spans}])
-
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        return one(page).assign(document_id=key[0], page_number=key[1])[["document_id", "page_number", "text", "spans"]]
-
-    kinds = dict(items.dtypes)
-    return items.groupBy("document_id", "page").applyInPandas(run, f"document_id {kinds['document_id']}, page_number {kinds['page']}, text string, spans array<struct<s:int,e:int,x:double,y:double,w:double,h:double>>")
+                own, first = p[k], level[k]
+        line = np.cumsum(begins)
+        order = order[np.lexsort((x[order], line))]
+        x, y, width, height, top, n = x[order], y[order], width[order], height[order], top[order], sizes[order]
+        with np.errstate(all="ignore"):
+            gaps = np.trunc((x - np.r_[0.0, (x + width)[:-1]][: len(x)]) / (width / n) + 0.5)
+        gaps = np.where(begins | ~(width > 0), 0, np.clip(np.nan_to_num(gaps), 0, widest_gap)).astype(np.int64)
+        ends = np.r_[begins[1:], True][: len(order)]
+        taken = np.cumsum(gaps + n + ends)
+        edges = np.searchsorted(p, np.arange(len(told) + 1))
+        start = taken - ends - n - np.repeat(np.r_[0, taken][edges[:-1]], np.diff(edges))
+        height = np.where(height == 0, 10.0, np.abs(height))
+        spans = pa.StructArray.from_arrays([pa.array(c) for c in (start.astype(np.int32), (start + n).astype(np.int32), x, top - y - height, width, height)], fields=list(span))
+        words = pc.binary_join_element_wise(padding.take(pa.array(gaps)), items.field("str").take(pa.array(order)), pa.array(["", "\n"]).take(pa.array(ends.astype(np.int64))), "")
+        edges = pa.array(edges.astype(np.int32))
+        columns = [batch.column("document_id"), batch.column("page"), pc.binary_join(pa.ListArray.from_arrays(edges, words), ""), pa.ListArray.from_arrays(edges, spans)]
+        return pa.RecordBatch.from_arrays(columns, names=["document_id", "page_number", "text", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                yield laid(batch.slice(at, PAGES))
+
+    return pages.select("document_id", "page", "items").mapInArrow(run, f"document_id {kinds['document_id']}, page_number {kinds['page']}, text string, spans array<struct<s:int,e:int,x:double,y:double,w:double,h:double>>")

@@ -1,6 +1,7 @@
 """Files of laid-out items, and functions called from SQL."""
 
 import json
+import random
 
 import pytest
 
@@ -58,3 +59,43 @@ def test_odd_arguments_of_page_units(spark):
         spark.sql("SELECT * FROM page_units(1, array('x'))").collect()
     with pytest.raises(Exception, match="array of strings"):
         spark.sql("SELECT * FROM page_units('x', 'y')").collect()
+
+
+def laid(items, tolerance=3.0, widest=12):
+    """Text and spans of one page, item after item."""
+    lines = []
+    for i in sorted((i for i in items if i[0]), key=lambda i: (-i[2], i[1])):
+        if lines and abs(lines[-1][0][2] - i[2]) <= tolerance:
+            lines[-1].append(i)
+        else:
+            lines.append([i])
+    text, spans = "", []
+    for line in lines:
+        right = None
+        for word, x, y, width, height, top in sorted(line, key=lambda i: i[1]):
+            if right is not None and width > 0:
+                text += " " * min(max(int((x - right) / (width / len(word)) + 0.5), 0), widest)
+            h = abs(height) or 10.0
+            spans.append((len(text), len(text) + len(word), x, top - y - h, width, h))
+            text, right = text + word, x + width
+        text += "\n"
+    return text, spans
+
+
+def test_layout_against_one_item_after_the_other(spark, monkeypatch):
+    """Close heights, gaps, items over each other, widths of 0, pages without letters; more pages than are laid out at a time."""
+    monkeypatch.setattr(S, "PAGES", 7)
+    draw = random.Random(2)
+    rows = {}
+    for page in range(60):
+        words = draw.choices(["", "a", "wörd", "東京 x", "𝒳y", "long-word"], k=draw.choice([1, 2, 30])) if page else ["", ""]
+        rows["d", page] = [(w, k + draw.uniform(0, 900), draw.choice([700.0, 698.5, 696.0, 693.5, 500.0, 10.25]), draw.choice([0.0, 6.5 * len(w)]), draw.choice([0.0, -9.0, 11.0]), 800.0) for k, w in enumerate(words)]
+    items = spark.createDataFrame([(d, p, *i) for (d, p), own in rows.items() for i in own], "document_id string, page int, str string, x double, y double, width double, height double, page_height double").repartition(3)
+    got = {(r.document_id, r.page_number): (r.text, [tuple(s) for s in r.spans]) for r in S.layout_pages(items).collect()}
+    assert got == {key: laid(own) for key, own in rows.items()} and got["d", 0] == ("", [])
+
+
+def test_words_of_documents_are_not_rows(spark):
+    """A page's items go to its layout as one row, and only texts are shuffled."""
+    plan = evidence.laid_out_pages(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "FlatMapGroups" not in plan
