@@ -85,15 +85,16 @@ SELECT doc_id, sha256(string_agg(line || chr(10), '' ORDER BY k)) AS text_sha256
 @query(_ITEMS)
 def laid_out_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words as positioned items, laid out as a page, and the box of the page's last printed line."""
+
     def item(word: Column, j: Column, k: Column) -> Column:
         place = [(j * 60.0).alias("x"), (800.0 - k * 12.0).alias("y"), (F.length(word) * 6.0).alias("width"), F.lit(10.0).alias("height"), F.lit(800.0).alias("page_height")]
         return F.struct(word.alias("str"), *place)
 
-    words = lambda line, k: F.filter(F.transform(F.split(line, " "), lambda word, j: item(word, j, k)), lambda x: x["str"] != "")
-    # Rows of one doc_id are one page.
+    words = lambda line, k: F.transform(F.split(line, " "), lambda word, j: item(word, j, k))
+    # Rows of one doc_id are one page; a page without words has no text.
     own = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
     items = F.flatten(F.transform("texts", lambda text: F.flatten(F.transform(F.split(text, "\n"), words))))
-    pages = layout_items(own.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), items.alias("items")).filter(F.size("items") > 0))
+    pages = layout_items(own.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), items.alias("items"))).filter("text <> ''")
     last = F.substring_index(F.expr("left(text, length(text) - 1)"), "\n", -1)
     boxes = pages.select(F.col("document_id").alias("doc_id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), F.length("text").alias("n_chars"), F.inline(boxes_for_range("spans", F.length("text") - 1 - F.length(last), F.length("text"))))
     return boxes.select("doc_id", "text_sha256", "n_chars", *[F.col(c).cast("int").alias(c) for c in ("x", "y", "w", "h")])
