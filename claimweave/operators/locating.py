@@ -32,7 +32,7 @@ _WHITE = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))
 _WIDE = re.compile(f"[{_WHITE}]{{2,}}|[{_WHITE[1:]}]")
 _TWIN, _TWINS = re.compile(f"[{''.join(G.TWINS)}]"), str.maketrans(G.TWINS)
 #: Characters that have a letter or digit of ASCII in their lower case, one each.
-_LETTERS = re.compile("[A-Za-z0-9\u0130\u212a]+")
+_LETTERS, _OTHERS = re.compile("[A-Za-z0-9\u0130\u212a]+"), re.compile("[^A-Za-z0-9\u0130\u212a]+")
 _TOKEN = re.compile("[a-z0-9][a-z0-9.]+")
 
 
@@ -63,15 +63,19 @@ class _Page:
     def caseless(self) -> str:
         return _caseless(self.single[0])
 
+    @cached_property
+    def runs(self) -> list[str]:
+        return _LETTERS.findall(self.text)
+
     @cached_property
     def folded(self) -> str:
-        return "".join(_LETTERS.findall(self.text)).replace("\u0130", "i").lower()
+        return "".join(self.runs).replace("\u0130", "i").lower()
 
     @cached_property
     def letters(self) -> tuple[list[int], list[int]]:
-        """Of each run of letters and digits its place among them and in the text."""
-        runs = [m.span() for m in _LETTERS.finditer(self.text)]
-        return list(accumulate([end - start for start, end in runs], initial=0)), [start for start, _ in runs]
+        """Of each run of letters and digits its place among them, and how many other characters are before it."""
+        others = list(accumulate(map(len, _OTHERS.findall(self.text)), initial=0))
+        return list(accumulate(map(len, self.runs), initial=0)), others if _LETTERS.match(self.text) else others[1:]
 
     @cached_property
     def words(self) -> dict[str, list[int]]:
@@ -119,9 +123,9 @@ class _Page:
             return "caseless", *self._place(at, at + len(quote))
         letters = "".join(_LETTERS.findall(quote)).replace("\u0130", "i").lower()
         if len(letters) >= 8 and (at := self.folded.find(letters)) >= 0:
-            folds, starts = self.letters
-            first, last = (bisect_left(folds, x + 1) - 1 for x in (at, at + len(letters) - 1))
-            return "folded", starts[first] + at - folds[first], starts[last] + at + len(letters) - folds[last]
+            folds, others = self.letters
+            first, last = (others[bisect_left(folds, x + 1) - 1] for x in (at, at + len(letters) - 1))
+            return "folded", at + first, at + len(letters) + last
         if (place := self._scattered(quote)) is not None:
             return "scattered", *place
         if (place := self._anchored(quote)) is not None:
